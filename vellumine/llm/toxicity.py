@@ -184,9 +184,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     """
     known = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(F.col(key)).alias("h"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    reach = lambda k: math.floor(min(1.0, rows[k] / max(counts.get(k, 0), 1)) * ((1 << 63) - 1))
-    part = F.col("h").bitwiseAND(F.lit((1 << 63) - 1))
-    taken = known.where(part <= F.when(F.col("label") == 1, F.lit(reach(1))).otherwise(F.lit(reach(0))))
+    reach = lambda k: math.floor(min(1.0, rows[k] / max(counts.get(k, 0), 1)) * (1 << 62))
+    part = F.col("h").bitwiseAND(F.lit((1 << 62) - 1))
+    taken = known.where(part < F.when(F.col("label") == 1, F.lit(reach(1))).otherwise(F.lit(reach(0))))
     sample = taken.select("label", "h", F.encode("text", "UTF-8").substr(1, FIT_BYTES).alias("text")).toPandas().sort_values(["h", "text"])
     texts, y = sample["text"].map(bytes).to_list(), sample["label"].to_numpy()
     half = np.zeros(len(y), dtype=bool)
