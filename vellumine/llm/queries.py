@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontaminate, licences, mixing, nearcopy, shards, tiff, tokens, toxicity
+from vellumine.llm import chat, decontaminate, langmix, licences, mixing, nearcopy, shards, tiff, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,13 @@ def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    model = langmix.fit(documents.where(_remainder(4) != 2))
+    rows = langmix.with_language(documents.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.with_shards(_documents(spark, sf_dir).select("doc_id", "text"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -80,7 +87,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_min_max_near_copies, op3_toxicity, op4_token_counts, op5_event_chat, op6_license_digests, op7_suffix_arrays, op9_minimax_shards, op10_pfair_mix)}
+QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_min_max_near_copies, op3_toxicity, op4_token_counts, op5_event_chat, op6_license_digests, op7_suffix_arrays, op8_language_mixtures, op9_minimax_shards, op10_pfair_mix)}
 
 
 def _sql_text(text: str) -> str:
