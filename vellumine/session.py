@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +24,26 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a session that names none
-    (a local test) gets a temporary one.
+    Only a session that names none (a local test) gets a temporary one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumine-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumine-checkpoint-"))
+    return context.getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and return it with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into a folder of its own in the shared folder, and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
