@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vellumine.llm.ranks import ranked
 
 #: Bytes of a block at least, and blocks at most (besides one for each source): the schedule's bound.
-BLOCK_BYTES, MOST_BLOCKS = 256 << 10, 20000
+BLOCK_BYTES, MOST_BLOCKS = 4 << 10, 20000
 #: Sources that a mix may have.
 MOST_SOURCES = 10000
 #: Shares are taken as bytes to this power unless weights are given: small sources count for more.

@@ -216,3 +216,19 @@ def _result(signed: DataFrame, member: DataFrame, stars: DataFrame | None, more:
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(label, ["doc_id", "d1", "d2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each group of near duplicates, the one with the smallest doc_id; all columns kept.
+
+    Rows without words stay, and so do rows with a null doc_id. Of rows that repeat a doc_id one stays.
+    """
+    found = near_duplicates(documents, size, percent)
+    gone = cut(found.where("NOT kept").select("doc_id").distinct())
+    count = gone.count()
+    kept = documents.join(F.broadcast(gone) if count <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*documents.columns)
+    again = cut(documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(once)

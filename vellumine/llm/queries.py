@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +88,21 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_min_max_near_copies, op3_toxicity, op4_token_counts, op5_event_chat, op6_license_digests, op7_suffix_arrays, op8_language_mixtures, op9_minimax_shards, op10_pfair_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_tiff_pages,
+        op2_min_max_near_copies,
+        op3_toxicity,
+        op4_token_counts,
+        op5_event_chat,
+        op6_license_digests,
+        op7_suffix_arrays,
+        op8_language_mixtures,
+        op9_minimax_shards,
+        op10_pfair_mix,
+    )
+} | {"pipeline": corpus_pipeline.run}
 
 
 def _sql_text(text: str) -> str:
