@@ -1,4 +1,406 @@
-"""Registry of the engine's own queries and of the DuckDB SQL that each must equal."""
+"""Registry of the engine's own queries and of the DuckDB SQL that each must equal.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The driver's tables stand in for the engine's: a document's first line for a title and the rest for an
+abstract, order columns for an info line, pages for stored HTML. All run over whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumine.functions import biblio, refs, text, urls
+from vellumine.operators import ingest, tfidf
+from vellumine.sources import html
+
+#: Stopwords of the queries: frequent words of the test tables.
+STOP = ("the", "of", "and", "der", "die", "und", "de", "la", "le", "que")
+#: Terms and documents of the densified edge query.
+EDGE_DOCS, EDGE_TERMS = 5, 20
+PLACES = 9
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.corpus_of_lines(_table(spark, sf_dir, "documents"))
+
+
+def _rounded(name: str):
+    return F.round(F.col(name), PLACES).alias(name)
+
+
+# --- SQL parts ------------------------------------------------------------------------------
+
+_CORPUS = "corpus AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) END AS abstract FROM documents)"
+_CLEAN = "trim(regexp_replace(lower({}), '[^a-z]+', ' ', 'g'))"
+_TOKENS = f"list_filter(string_split(coalesce({_CLEAN}, ''), ' '), lambda t: t <> '')"
+_FIELDS = "fields AS (SELECT id, 'title' AS field, title AS text FROM corpus UNION ALL SELECT id, 'abstract', abstract FROM corpus)"
+_WORDS = f"words AS (SELECT id, field, unnest({_TOKENS.format('text')}) AS term FROM fields)"
+_POSTINGS = "postings AS (SELECT id, field, term, count(*) AS freq, count(*) / sum(count(*)) OVER (PARTITION BY id, field) AS tf FROM words GROUP BY id, field, term)"
+_STATS = "stats AS (SELECT term, count(*) AS df_t, log10((SELECT count(*) FROM corpus) / count(*)) AS idf FROM postings GROUP BY term)"
+_WITH = f"WITH {_CORPUS}, {_FIELDS}, {_WORDS}, {_POSTINGS}, {_STATS} "
+_STOP = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
+_STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
+_STRIP = r"regexp_replace({}, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g')"
+_IS_REF = r"regexp_matches({0}, '(^|[^\p{{L}}\p{{N}}_])\p{{Nd}}{{4}}([^\p{{L}}\p{{N}}_]|$)') AND (contains({0}, ',') OR contains({0}, 'http'))"
+_INFO = "('Clerk-' || o_custkey || ' - ' || o_orderpriority || ', ' || year(o_orderdate) || ' - ' || o_orderstatus || '.org')"
+
+
+# --- projections and counts -------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, lang, source FROM documents")
+def project_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+
+
+@_query("SELECT count(*) AS n_rows FROM documents")
+def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").agg(F.count("*").alias("n_rows"))
+
+
+@_query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 10")
+def head_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(10)
+
+
+@_query(f"SELECT doc_id, {_CLEAN.format('text')} AS cleaned FROM documents")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
+
+@_query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY term")
+def tokenize_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT doc_id, CAST(len({_TOKENS.format('text')}) AS BIGINT) AS n_tokens FROM documents")
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@_query(f"WITH {_CORPUS} SELECT id, abstract IS NULL AS no_abstract, CAST(len({_TOKENS.format('abstract')}) AS BIGINT) AS n_tokens FROM corpus")
+def null_text_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).select("id", F.col("abstract").isNull().alias("no_abstract"), F.size(text.tokens(F.col("abstract"))).cast("long").alias("n_tokens"))
+
+
+@_query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM documents) WHERE term NOT IN {_STOP} GROUP BY term")
+def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "documents").select(F.explode(text.without(text.tokens(F.col("text")), STOP)).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"WITH {_CORPUS}, {_FIELDS}, t AS (SELECT id, field, {_TOKENS.format('text')} AS tokens FROM fields) "
+    f"SELECT id, field, CAST(len(list_filter(tokens, lambda t: list_contains({_STOP_LIST}, t))) AS BIGINT) AS n_stop, list_has_any(tokens, {_STOP_LIST}) AS gate FROM t"
+)
+def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tfidf.union_fields(_corpus(spark, sf_dir)).select("id", "field", text.tokens(F.col("text")).alias("tokens"))
+    return found.select("id", "field", text.stopword_count(F.col("tokens"), STOP).cast("long").alias("n_stop"), text.gate(F.col("tokens"), STOP).alias("gate"))
+
+
+@_query(f"WITH {_CORPUS}, {_FIELDS} SELECT id, field, text FROM fields")
+def union_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.union_fields(_corpus(spark, sf_dir))
+
+
+# --- term statistics ----------------------------------------------------------------------------
+
+
+@_query(_WITH + "SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_idx FROM (SELECT DISTINCT term FROM postings)")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.vocabulary(tfidf.postings(_corpus(spark, sf_dir)))
+
+
+@_query(_WITH + "SELECT count(DISTINCT term) AS n_terms FROM postings")
+def vocab_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.postings(_corpus(spark, sf_dir)).agg(F.countDistinct("term").alias("n_terms"))
+
+
+@_query(_WITH + f"SELECT id, field, term, freq, round(tf, {PLACES}) AS tf FROM postings")
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.postings(_corpus(spark, sf_dir)).select("id", "field", "term", "freq", _rounded("tf"))
+
+
+@_query(_WITH + "SELECT term, df_t FROM stats")
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.document_frequency(tfidf.postings(_corpus(spark, sf_dir)))
+
+
+@_query(_WITH + f"SELECT term, df_t, round(idf, {PLACES}) AS idf FROM stats")
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _corpus(spark, sf_dir)
+    return tfidf.inverse_frequency(corpus, tfidf.document_frequency(tfidf.postings(corpus))).select("term", "df_t", _rounded("idf"))
+
+
+@_query(_WITH + f"SELECT id, field, term, round(tf * idf, {PLACES}) AS tfidf FROM postings JOIN stats USING (term)")
+def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.tfidf(_corpus(spark, sf_dir)).select("id", "field", "term", _rounded("tfidf"))
+
+
+QUERIES["tfidf"], SQL["tfidf"] = QUERIES.pop("_tfidf"), SQL.pop("_tfidf")
+
+_STOPPED = _WORDS.replace("words AS", "raw AS") + f", words AS (SELECT * FROM raw WHERE term NOT IN {_STOP})"
+
+
+@_query(f"WITH {_CORPUS}, {_FIELDS}, {_STOPPED}, {_POSTINGS}, {_STATS} SELECT id, field, term, round(tf * idf, {PLACES}) AS tfidf FROM postings JOIN stats USING (term)")
+def tfidf_without_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.tfidf(_corpus(spark, sf_dir), STOP).select("id", "field", "term", _rounded("tfidf"))
+
+
+@_query(
+    _WITH + f", ids AS (SELECT id FROM corpus ORDER BY id LIMIT {EDGE_DOCS}), terms AS (SELECT DISTINCT term FROM postings ORDER BY term LIMIT {EDGE_TERMS}), "
+    "grid AS (SELECT id, field, term FROM ids, terms, (VALUES ('title'), ('abstract')) AS f(field)) "
+    f"SELECT g.id, g.field, g.term, round(coalesce(tf * idf, 0), {PLACES}) AS tfidf FROM grid g LEFT JOIN postings p USING (id, field, term) LEFT JOIN stats s ON s.term = g.term"
+)
+def tfidf_dense_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _corpus(spark, sf_dir)
+    weights = tfidf.tfidf(corpus)
+    ids = corpus.select("id").orderBy("id").limit(EDGE_DOCS)
+    terms = weights.select("term").distinct().orderBy("term").limit(EDGE_TERMS)
+    return tfidf.densified(weights, ids, terms).select("id", "field", "term", _rounded("tfidf"))
+
+
+@_query(
+    _WITH + f"SELECT id, field, round(coalesce(max(CASE WHEN term = 'the' THEN tf END), 0), {PLACES}) AS tf_the, round(coalesce(max(CASE WHEN term = 'und' THEN tf END), 0), {PLACES}) AS tf_und, count(*) AS n_terms FROM postings GROUP BY id, field"
+)
+def tf_map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = tfidf.frequency_maps(tfidf.postings(_corpus(spark, sf_dir)))
+    found = maps.select("id", "field", tfidf.looked_up(maps, "the").alias("tf_the"), tfidf.looked_up(maps, "und").alias("tf_und"), F.size(F.map_entries("tf")).cast("long").alias("n_terms"))
+    return found.select("id", "field", _rounded("tf_the"), _rounded("tf_und"), "n_terms")
+
+
+# --- bibliographic parsing ------------------------------------------------------------------------
+
+
+def _info_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("Clerk-"), F.col("o_custkey"), F.lit(" - "), F.col("o_orderpriority"), F.lit(", "), F.year("o_orderdate"), F.lit(" - "), F.col("o_orderstatus"), F.lit(".org"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", line.alias("info"))
+
+
+@_query(
+    f"WITH i AS (SELECT o_orderkey, {_INFO} AS info FROM orders), "
+    "p AS (SELECT o_orderkey, split_part(info, ' - ', 1) AS authors, substr(info, strpos(info, ' - ') + 3) AS rest FROM i), "
+    r"y AS (SELECT *, nullif(regexp_extract(rest, '(?:^|[^\p{L}\p{N}_])((?:19|20)\p{Nd}{2})(?:[^\p{L}\p{N}_]|$)', 1), '') AS yr FROM p) "
+    "SELECT o_orderkey, trim(authors) AS authors, CAST(yr AS INTEGER) AS year, CASE WHEN yr IS NOT NULL THEN trim(substr(rest, strpos(rest, yr) + 4), ' ,-.') ELSE trim(rest) END AS source FROM y"
+)
+def biblio_parse_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _info_lines(spark, sf_dir).select("o_orderkey", *[v.alias(k) for k, v in biblio.info_a(F.col("info")).items()])
+
+
+@_query(
+    f"WITH i AS (SELECT o_orderkey, {_INFO} AS info FROM orders) "
+    r"SELECT o_orderkey, trim(split_part(info, '-', 1)) AS authors, TRY_CAST(regexp_extract(info, '(?:^|[^\p{L}\p{N}_])(\p{Nd}{4})(?:[^\p{L}\p{N}_]|$)', 1) AS INTEGER) AS year, info AS source FROM i"
+)
+def biblio_parse_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _info_lines(spark, sf_dir).select("o_orderkey", *[v.alias(k) for k, v in biblio.info_b(F.col("info")).items()])
+
+
+@_query("SELECT event_id, coalesce(TRY_CAST(regexp_extract(props, '[0-9]+') AS INTEGER), 0) AS citations FROM events")
+def citation_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", biblio.citations(F.col("props")).alias("citations"))
+
+
+_FLAGS = "o_orderstatus <> 'P' AS has_link, CASE WHEN o_orderkey % 3 > 0 THEN 'http://x.org/' || o_orderkey || '.pdf' END AS url, o_orderkey % 2 = 0 AS got, CASE WHEN o_custkey % 3 = 0 THEN '' WHEN o_custkey % 3 = 1 THEN 'pdf refs' END AS from_pdf, CASE WHEN o_custkey % 5 < 2 THEN 'html refs' END AS from_html"
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        (F.col("o_orderstatus") != "P").alias("has_link"),
+        F.when(key % 3 > 0, F.concat(F.lit("http://x.org/"), key, F.lit(".pdf"))).alias("url"),
+        (key % 2 == 0).alias("got"),
+        F.when(cust % 3 == 0, "").when(cust % 3 == 1, "pdf refs").alias("from_pdf"),
+        F.when(cust % 5 < 2, "html refs").alias("from_html"),
+    )
+
+
+@_query(f"WITH f AS (SELECT o_orderkey, {_FLAGS} FROM orders) SELECT o_orderkey, CASE WHEN has_link THEN url END AS pdf_url, CASE WHEN NOT has_link THEN 'metadata_only' WHEN got THEN 'pdf_downloaded' ELSE 'pdf_url_only' END AS scrape_status FROM f")
+def pdf_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir).select("o_orderkey", *[v.alias(k) for k, v in biblio.pdf_status(F.col("has_link"), F.col("url"), F.col("got")).items()])
+
+
+@_query(
+    f"WITH f AS (SELECT o_orderkey, {_FLAGS} FROM orders) SELECT o_orderkey, "
+    "CASE WHEN url IS NOT NULL AND NOT got THEN '' WHEN url IS NOT NULL AND from_pdf <> '' THEN from_pdf WHEN from_html <> '' THEN from_html ELSE '' END AS references_text, "
+    "CASE WHEN url IS NOT NULL AND NOT got THEN 'PDF fail / maybe paid or redirect' WHEN url IS NOT NULL AND from_pdf <> '' THEN 'PDF success' WHEN from_html <> '' THEN 'HTML fallback' WHEN url IS NOT NULL THEN 'PDF empty' ELSE 'No PDF / metadata only' END AS references_status FROM f"
+)
+def reference_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir).select("o_orderkey", *[v.alias(k) for k, v in biblio.reference_status(F.col("url"), F.col("got"), F.col("from_pdf"), F.col("from_html")).items()])
+
+
+# --- reference lines ----------------------------------------------------------------------------
+
+
+def _lines_sql(table: str, key: str, body: str) -> str:
+    return f"lines AS (SELECT {key}, unnest(string_split({body}, chr(10))) AS raw, generate_subscripts(string_split({body}, chr(10)), 1) AS line_no FROM {table})"
+
+
+def _ref_lines(keys: str) -> str:
+    return f"SELECT {keys}, line_no, {_STRIP.format('raw')} AS line FROM lines WHERE {_IS_REF.format('raw')}"
+
+
+@_query(f"WITH {_lines_sql('documents', 'doc_id', 'text')} " + _ref_lines("doc_id"))
+def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.reference_lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query(
+    f"WITH {_lines_sql('documents', 'doc_id', 'text')}, r AS ({_ref_lines('doc_id')}), "
+    f"a AS (SELECT doc_id, {_STRIP.format('string_agg(line, chr(10) ORDER BY line_no)')} AS references_text FROM r GROUP BY doc_id) "
+    "SELECT d.doc_id, coalesce(references_text, '') AS references_text, CAST(length(coalesce(references_text, '')) AS BIGINT) AS n_characters FROM documents d LEFT JOIN a USING (doc_id)"
+)
+def reference_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", refs.reference_text(F.col("text")).alias("references_text"))
+    return found.withColumn("n_characters", F.length("references_text").cast("long"))
+
+
+@_query(
+    f"WITH pg AS (SELECT doc_id % 50 AS file, doc_id, text FROM documents), {_lines_sql('pg', 'file, doc_id', 'text')}, r AS ({_ref_lines('file, doc_id')}), "
+    f"a AS (SELECT file, {_STRIP.format('string_agg(line, chr(10) ORDER BY doc_id, line_no)')} AS references_text FROM r GROUP BY file) "
+    "SELECT f.file, coalesce(references_text, '') AS references_text FROM (SELECT DISTINCT file FROM pg) f LEFT JOIN a USING (file)"
+)
+def reference_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("file"), F.col("doc_id").alias("page_no"), "text")
+    return refs.references_of_pages(pages, "file")
+
+
+@_query(f"WITH {_lines_sql('pages', 'page_id', 'html')} " + _ref_lines("page_id"))
+def reference_lines_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.reference_lines(_table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+# --- names, URLs and bytes ----------------------------------------------------------------------
+
+_SAFE = r"substr(regexp_replace(split_part(text, chr(10), 1), '[^\p{L}\p{N}_]+', '_', 'g'), 1, 80)"
+
+
+@_query(f"SELECT doc_id, {_SAFE} AS safe_title, 'pdfs/' || {_SAFE} || '.pdf' AS file FROM documents")
+def safe_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = text.first_line(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", urls.safe_title(title).alias("safe_title"), urls.pdf_path(title).alias("file"))
+
+
+@_query(f"SELECT {_SAFE} AS safe_title, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def safe_title_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "documents").select(urls.safe_title(text.first_line(F.col("text"))).alias("safe_title"))
+    return names.groupBy("safe_title").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@_query(r"SELECT page_id, regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*', ''), '[^/]*$'), ';.*$', '') AS basename FROM pages")
+def url_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", urls.basename(F.col("url")).alias("basename"))
+
+
+@_query("SELECT page_id, url FROM pages WHERE ends_with(lower(url), '.html')")
+def url_suffix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").where(urls.has_suffix(F.col("url"), ".html")).select("page_id", "url")
+
+
+@_query("SELECT page_id FROM pages WHERE NOT contains(lower(html), 'was')")
+def forbidden_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").where(~urls.mentions(F.col("html"), "was")).select("page_id")
+
+
+@_query("SELECT page_id, substr(html, 1, 4) = '<!DO' AS is_html, substr(html, 1, 4) = '%PDF' AS is_pdf FROM pages")
+def magic_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", urls.starts_with(F.col("html"), b"<!DO").alias("is_html"), urls.starts_with(F.col("html")).alias("is_pdf"))
+
+
+@_query("SELECT page_id, 200 + CAST(page_id % 2 AS INTEGER) * 204 = 200 AND (page_id % 3 = 0 OR substr(html, 1, 4) = '%PDF') AS valid FROM pages")
+def valid_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.lit(200) + (F.col("page_id") % 2).cast("int") * 204
+    kind = F.when(F.col("page_id") % 3 == 0, "Application/PDF; x").otherwise("text/html")
+    return _table(spark, sf_dir, "pages").select("page_id", urls.valid_download(status, kind, F.col("html")).alias("valid"))
+
+
+@_query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@_query("""SELECT page_id, pos, href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS pos FROM pages)""")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.links(F.col("html"))).alias("p", "href"))
+    return found.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), "href")
+
+
+@_query("""SELECT page_id, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS n FROM pages""")
+def results_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.size(html.links(F.col("html"))).cast("long").alias("n"))
+
+
+# --- ingest ---------------------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id % 2 = 0 AND s.text = d.text)")
+def anti_join_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ingest.unseen(documents.where("doc_id % 2 = 1"), documents.where("doc_id % 2 = 0"), "text").select("doc_id")
+
+
+@_query("SELECT min(doc_id) AS doc_id, length(text) AS n_chars FROM documents GROUP BY text")
+def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("text", "doc_id")
+    return ingest.first_per_key(documents, "text", "doc_id").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query("SELECT page_id, row_number() OVER (ORDER BY page_id) AS position FROM pages QUALIFY position <= 50 AND ends_with(lower(url), '.html')")
+def position_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capped = ingest.capped(_table(spark, sf_dir, "pages").withColumn("pos", F.lit(1)), 50, "page_id", "pos")
+    return capped.where(urls.has_suffix(F.col("url"), ".html")).select("page_id", F.col("position").cast("long").alias("position"))
+
+
+@_query("SELECT CAST(i AS INTEGER) AS page_no, 'https://search.example.org/scholar?q=sistem+informasi+desa&hl=id&as_sdt=0,5&start=' || (i * 10) AS url FROM range(0, 50 // 10 + 1) AS r(i)")
+def search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.search_urls(spark, "https://search.example.org/scholar", "sistem informasi desa", 50)
+
+
+@_query(
+    "SELECT 'Order ' || o_orderkey AS title, '' AS authors, year(o_orderdate)::INTEGER AS year, o_orderpriority AS source, '' AS abstract, 0 AS citations, 'http://x.org/' || o_orderkey AS url, "
+    "CAST(NULL AS VARCHAR) AS pdf_url, 'metadata_only' AS scrape_status, TIMESTAMP '2026-02-01 00:00:00' AS scraped_at FROM orders"
+)
+def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("source"), F.concat(F.lit("http://x.org/"), F.col("o_orderkey")).alias("url")
+    )
+    typed = ingest.typed_articles(rows, F.to_timestamp(F.lit("2026-02-01 00:00:00")))
+    return typed.withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
+
+
+@_query(
+    "WITH b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS position, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, regexp_replace(url, '[0-9]', '', 'g') AS url FROM pages), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY position) AS rn FROM b WHERE position <= 100 AND title IS NOT NULL) "
+    "SELECT title, url, CAST(0 AS INTEGER) AS citations, 'metadata_only' AS scrape_status FROM f WHERE rn = 1"
+)
+def ingest_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest A over pages as one-block results: cap, title, first of each URL, nothing persisted yet."""
+    pages = _table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    blocks = pages.select(
+        F.col("page_id").alias("page_no"), F.lit(1).alias("pos"), html.title(F.col("html")).alias("title"), F.regexp_replace("url", "[0-9]", "").alias("url"),
+        none.alias("info"), none.alias("abstract"), none.alias("cite_text"), F.lit(False).alias("has_pdf_link"), none.alias("pdf_url"),
+    )
+    empty = blocks.select("url").where("false")
+    return ingest.articles_a(blocks, empty, F.current_timestamp(), 100).select("title", "url", "citations", "scrape_status")
