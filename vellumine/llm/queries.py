@@ -30,7 +30,7 @@ def _remainder(n: int):
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.fit(documents.where(_remainder(5) != 0).join(labels, "doc_id"))
+    model = toxicity.fit(documents, labels.where(_remainder(5) != 0))
     rows = toxicity.with_toxicity(documents, model)
     return rows.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

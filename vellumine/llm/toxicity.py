@@ -175,19 +175,21 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return mean, scale, w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: tuple[int, int] = FIT_ROWS) -> ToxicityModel:
-    """Learn from rows with label 0 or 1. Null labels and texts are left out.
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: tuple[int, int] = FIT_ROWS) -> ToxicityModel:
+    """Learn from ``documents`` that ``labels`` (key, label) marks 0 or 1. Null labels, keys and texts are left out.
 
     Of label 0 and 1 about ``rows`` rows at most are read, those with the smallest hash of ``key``: a
-    row is taken if its hash falls below a share set by the label's count. Of a text, fitting reads
-    32 KiB at most. Half the sample makes the dictionaries, the other half the calibration.
+    row is taken if its hash falls below a share set by the label's count. These few keys are
+    broadcast, so no text is shuffled. Of a text, fitting reads 32 KiB at most. Half the sample makes
+    the dictionaries, the other half the calibration.
     """
-    known = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(F.col(key)).alias("h"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.xxhash64(F.col(key)).alias("h"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     reach = lambda k: math.floor(min(1.0, rows[k] / max(counts.get(k, 0), 1)) * (1 << 62))
     part = F.col("h").bitwiseAND(F.lit((1 << 62) - 1))
-    taken = known.where(part < F.when(F.col("label") == 1, F.lit(reach(1))).otherwise(F.lit(reach(0))))
-    sample = taken.select("label", "h", F.encode("text", "UTF-8").substr(1, FIT_BYTES).alias("text")).toPandas().sort_values(["h", "text"])
+    taken = known.where(part < F.when(F.col("label") == 1, F.lit(reach(1))).otherwise(F.lit(reach(0)))).distinct()
+    texts = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.encode(text, "UTF-8").substr(1, FIT_BYTES).alias("text"))
+    sample = texts.join(F.broadcast(taken), "key").select("label", "h", "text").toPandas().sort_values(["h", "label", "text"])
     texts, y = sample["text"].map(bytes).to_list(), sample["label"].to_numpy()
     half = np.zeros(len(y), dtype=bool)
     for k in (0, 1):
