@@ -30,7 +30,7 @@ from vellumine.llm.arrow import bounded_batches, utf8
 #: Bounds of the fitting sample: rows of label 0 and 1, and bytes of one text that fitting reads.
 FIT_ROWS, FIT_BYTES = (6000, 3000), 32 << 10
 #: Words in a window, and words from one window to the next.
-WINDOW, STEP = 6, 4
+WINDOW, STEP = 6, 5
 #: Bytes of the parts of words, with their boundaries, whose shares among toxic and ordinary texts are held together.
 GRAMS = (5, 6, 8, 10)
 #: Most bytes of the ordinary dictionary and of what the toxic one has besides.
@@ -85,29 +85,42 @@ def _runs(word: bytes, telling: set[bytes]) -> Iterator[bytes]:
 
 
 def _evidence(n: int, m: int, a: int, b: int) -> float:
-    """Log-likelihood ratio of n of a toxic and m of b ordinary texts against equal shares."""
+    """Log-likelihood ratio of n of a toxic and m of b ordinary words against equal shares."""
     share = (n + m) / (a + b)
     return n * math.log(n / (a * share)) + (m * math.log(m / (b * share)) if m else 0.0)
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """Content of the ordinary and of the toxic dictionary."""
-    padded = lambda text: {b" " + w + b" " for w in _words(text)}
-    grams_of = lambda text: {g for w in padded(text) for g in _grams(w)}
-    in_toxic = Counter(g for t in toxic for g in grams_of(t))
-    in_ordinary = Counter(g for t in ordinary for g in grams_of(t) if g in in_toxic)
-    a, b = len(toxic) + 1, len(ordinary) + 1
+    # Each word counts once for a text; grams count by the words that hold them.
+    words_of = lambda texts: Counter(w for t in texts for w in set(_words(t)))
+    toxic_words, ordinary_words = words_of(toxic), words_of(ordinary)
+    a, b = toxic_words.total() + 1, ordinary_words.total() + 1
+    in_toxic: Counter[bytes] = Counter()
+    for word, n in toxic_words.items():
+        for g in _grams(b" " + word + b" "):
+            in_toxic[g] += n
     surely = math.log(len(in_toxic) + 1) + 3  # few grams pass by chance, however many there are
-    telling = {g for g, n in in_toxic.items() if math.log((n + 0.5) / a) - math.log((in_ordinary[g] + 0.5) / b) > 3 and _evidence(n, in_ordinary[g], a, b) > surely}
+    in_toxic = Counter({g: n for g, n in in_toxic.items() if _evidence(n, 0, a, b) > surely})
+    in_ordinary: Counter[bytes] = Counter()
+    for word, n in ordinary_words.items():
+        for g in _grams(b" " + word + b" ") & in_toxic.keys():
+            in_ordinary[g] += n
+    told = {g for g, n in in_toxic.items() if math.log((n + 0.5) / a) - math.log((in_ordinary[g] + 0.5) / b) > 3 and _evidence(n, in_ordinary[g], a, b) > surely}
     # Copies of one text, or of a passage, prove no more than one: what counts is in how many surroundings a gram stands.
-    around: dict[bytes, set[tuple[bytes, bytes]]] = {g: set() for g in telling}
+    telling_of = {w: found for w in toxic_words if (found := _grams(b" " + w + b" ") & told)}
+    around: dict[bytes, set[tuple[bytes, bytes]]] = {g: set() for g in told}
     for t in toxic:
         found = [b"", *_words(t), b""]
         for before, word, after in zip(found, found[1:], found[2:], strict=False):
-            for g in _grams(b" " + word + b" ") & telling:
+            for g in telling_of.get(word, ()):
                 around[g].add((before, after))
-    telling = {g for g in telling if _evidence(min(len(around[g]), in_toxic[g]), in_ordinary[g], a, b) > surely}
-    parts = Counter(p for t in toxic for p in {p for w in padded(t) for p in _runs(w, telling)} if len(p) > GRAMS[0])
+    telling = {g for g in told if _evidence(min(len(around[g]), in_toxic[g]), in_ordinary[g], a, b) > surely}
+    parts: Counter[bytes] = Counter()
+    for word in telling_of:
+        for p in set(_runs(b" " + word + b" ", telling)):
+            if len(p) > GRAMS[0]:
+                parts[p] += toxic_words[word]
     chosen, held = [], 0
     for part, _n in parts.most_common():
         if held + len(part) <= TOXIC_BYTES and not any(part in c for c in chosen):
@@ -128,7 +141,7 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 @functools.lru_cache(maxsize=4)
 def _compressors(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
     settings = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_BTOPT, min_match=5, window_log=14, hash_log=13, chain_log=13, search_log=3, target_length=16,
+        strategy=zstandard.STRATEGY_LAZY2, min_match=5, window_log=14, hash_log=12, chain_log=13, search_log=5, target_length=32,
         write_content_size=False, write_dict_id=False, write_checksum=False,
     )
     made = []
