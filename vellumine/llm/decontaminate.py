@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.arrow import by_bytes, bounded_batches, utf8
 from vellumine.llm.words import ALNUM, Words, mix, words
+from vellumine.session import cut
 
 #: Words of a window.
 WINDOW = 10
@@ -184,40 +186,73 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     occurrence; items_sha256 is of those ids as strings, sorted, joined by commas (of nothing if there
     are none). Null texts have no words, null item ids are left out of the ids, rows that
     repeat are each judged. A benchmark of more than ``block_bytes`` takes several passes over the
-    documents, whose hits are joined by word position.
+    documents; their spans then meet by document.
     """
     bounded_batches(documents.sparkSession)
-    blocks = [prepare(ids, texts, window) for ids, texts in _blocks(benchmark, "item_id", "text", block_bytes)]
-    held = documents.sparkSession.sparkContext.broadcast(blocks)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    passes = [_pass(rows, prepare(ids, texts, window), window) for ids, texts in _blocks(benchmark, "item_id", "text", block_bytes)]
+    if len(passes) == 1:
+        return passes[0].select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    # Each pass saw the same rows: a row stands in all of them as often as it repeats.
+    met = reduce(DataFrame.unionAll, passes).groupBy("doc_id", "digest").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        (F.count("*") / len(passes)).cast("int").alias("copies"),
+    )
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate(
+        "spans",
+        start,
+        lambda acc, s: F.struct(F.greatest(acc["end"], s["e"]).alias("end"), (acc["n"] + F.greatest(s["e"] - F.greatest(acc["end"], s["b"]), F.lit(0))).alias("n")),
+        lambda acc: acc["n"],
+    )
+    met = met.withColumn("n_hit", covered).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return met.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_PASS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, digest string, spans array<struct<b:long,e:long>>, items array<string>"
+
+
+def _pass(rows: DataFrame, items: Items, window: int) -> DataFrame:
+    """One pass over (doc_id, text) with one block of the benchmark."""
+    held = rows.sparkSession.sparkContext.broadcast(items)
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()),
+            ("digest", pa.string()), ("spans", pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.string())),
+        ]
+    )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = held.value
         for batch in batches:
             for first, texts in by_bytes(utf8(batch.column(1)), SHARD_BYTES):
-                places, sizes = [], []
+                found, text_of, place, which = occurrences(texts, of, window)
                 named: list[set[str]] = [set() for _ in texts]
-                for items in held.value:
-                    found, text_of, place, which = occurrences(texts, items, window)
-                    places.append(place)
-                    sizes.append(items.sizes[which])
-                    if len(which):
-                        pair = np.unique(text_of * np.int64(len(items.ids)) + items.item[which])
-                        for t, i in zip(*np.divmod(pair, len(items.ids)), strict=True):
-                            if items.ids[i] is not None:
-                                named[t].add(items.ids[i])
-                hit = _hits(found, np.concatenate(places), np.concatenate(sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(texts)),
-                        pa.array(found.counts(), pa.int64()),
-                        pa.array(hit, pa.int64()),
-                        pa.array([len(x) for x in named], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in named]),
-                        pa.array(hit > 0),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+                pair = np.unique(text_of * np.int64(len(of.ids)) + of.item[which])
+                for t, i in zip(*np.divmod(pair, max(len(of.ids), 1)), strict=True):
+                    if of.ids[i] is not None:
+                        named[t].add(of.ids[i])
+                spans: list[list[dict]] = [[] for _ in texts]
+                for t, b, n in zip(text_of, place - found.offsets[text_of], of.sizes[which], strict=True):
+                    spans[t].append({"b": int(b), "e": int(b + n)})
+                hit = _hits(found, place, of.sizes[which])
+                ids = [sorted(x) for x in named]
+                columns = [
+                    batch.column(0).slice(first, len(texts)),
+                    found.counts(),
+                    hit,
+                    [len(x) for x in ids],
+                    [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids],
+                    hit > 0,
+                    [hashlib.sha256(t).hexdigest() for t in texts],
+                    spans,
+                    ids,
+                ]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(judge, _PASS)
 
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
@@ -227,55 +262,67 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WI
     item share and that can't grow to either side. Positions count words, bytes those of the document's UTF-8.
     """
     bounded_batches(documents.sparkSession)
-    blocks = [prepare(ids, texts, window) for ids, texts in _blocks(benchmark, "item_id", "text", block_bytes)]
-    held = documents.sparkSession.sparkContext.broadcast(blocks)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return reduce(DataFrame.unionAll, [_matches(rows, prepare(ids, texts, window), window) for ids, texts in _blocks(benchmark, "item_id", "text", block_bytes)])
+
+
+def _matches(rows: DataFrame, items: Items, window: int) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in by_bytes(utf8(batch.column(1)), SHARD_BYTES):
                 begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-                for items in held.value:
-                    found, text_of, place, which = occurrences(texts, items, window)
-                    own = items.starts[which]
-                    # windows that follow one another on one diagonal of one item are one match
-                    diagonal = place - own
-                    order = np.lexsort((place, diagonal, items.item[which], text_of))
-                    key = np.stack([text_of[order], items.item[which][order], diagonal[order], place[order] - np.arange(len(order))])
-                    new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]) if len(order) else np.zeros(0, bool)
-                    head = order[np.flatnonzero(new)]
-                    last = order[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(order) - 1]])] if len(order) else head
-                    n = place[last] + items.sizes[which[last]] - place[head]
-                    text, item = text_of[head], items.item[which[head]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(first, len(texts)).take(pa.array(text, pa.int64())),
-                            pa.array([items.ids[i] for i in item], pa.string()),
-                            pa.array(own[head] - items.found.offsets[item], pa.int64()),
-                            pa.array(place[head] - found.offsets[text], pa.int64()),
-                            pa.array(n, pa.int64()),
-                            pa.array(found.starts[place[head]] - begin[text], pa.int64()),
-                            pa.array(found.ends[place[head] + n - 1] - begin[text], pa.int64()),
-                        ],
-                        names=["doc_id", "item_id", "item_word", "doc_word", "n_words", "byte_start", "byte_end"],
-                    )
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "doc_id long, item_id string, item_word long, doc_word long, n_words long, byte_start long, byte_end long")
-
-
-def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``documents`` without those that hold a window of the benchmark, all columns kept. Map only."""
+                items = held.value
+                found, text_of, place, which = occurrences(texts, items, window)
+                own = items.starts[which]
+                # windows that follow one another on one diagonal of one item are one match
+                diagonal = place - own
+                order = np.lexsort((place, diagonal, items.item[which], text_of))
+                key = np.stack([text_of[order], items.item[which][order], diagonal[order], place[order] - np.arange(len(order))])
+                new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]) if len(order) else np.zeros(0, bool)
+                head = order[np.flatnonzero(new)]
+                last = order[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(order) - 1]])] if len(order) else head
+                n = place[last] + items.sizes[which[last]] - place[head]
+                text, item = text_of[head], items.item[which[head]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(texts)).take(pa.array(text, pa.int64())),
+                        pa.array([items.ids[i] for i in item], pa.string()),
+                        pa.array(own[head] - items.found.offsets[item], pa.int64()),
+                        pa.array(place[head] - found.offsets[text], pa.int64()),
+                        pa.array(n, pa.int64()),
+                        pa.array(found.starts[place[head]] - begin[text], pa.int64()),
+                        pa.array(found.ends[place[head] + n - 1] - begin[text], pa.int64()),
+                    ],
+                    names=["doc_id", "item_id", "item_word", "doc_word", "n_words", "byte_start", "byte_end"],
+                )
+
+    return rows.mapInArrow(find, "doc_id long, item_id string, item_word long, doc_word long, n_words long, byte_start long, byte_end long")
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """``documents`` without those that hold a window of the benchmark, all columns kept. Map only.
+
+    A benchmark of more than ``block_bytes`` takes a pass for each block, between which the rows left are written
+    to the checkpoint folder.
+    """
     bounded_batches(documents.sparkSession)
-    blocks = [prepare(ids, texts, window) for ids, texts in _blocks(benchmark, "item_id", "text", BENCHMARK_BYTES)]
-    held = documents.sparkSession.sparkContext.broadcast(blocks)
-    schema = documents.schema
+    cleaned = None
+    for ids, texts in _blocks(benchmark, "item_id", "text", block_bytes):
+        cleaned = _cleaned(documents if cleaned is None else cut(cleaned), prepare(ids, texts, window), window)
+    return cleaned
+
+
+def _cleaned(documents: DataFrame, items: Items, window: int) -> DataFrame:
+    held = documents.sparkSession.sparkContext.broadcast(items)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep_row = np.ones(batch.num_rows, dtype=bool)
             for first, texts in by_bytes(utf8(batch.column(batch.schema.get_field_index("text"))), SHARD_BYTES):
-                for items in held.value:
-                    _, text_of, _, _ = occurrences(texts, items, window)
-                    keep_row[first + text_of] = False
+                _, text_of, _, _ = occurrences(texts, held.value, window)
+                keep_row[first + text_of] = False
             yield batch.filter(pa.array(keep_row))
 
-    return documents.mapInArrow(keep, schema)
+    return documents.mapInArrow(keep, documents.schema)

@@ -75,13 +75,15 @@ def fit(documents: DataFrame, language: str = "lang", text: str = "text", key: s
 
     Of each language about ``rows`` rows at most are read, those whose hash of ``key`` falls below a
     share set by the language's count, and 64 KiB of a text at most. Tasks count n-grams and
-    return their counts by language and place.
+    return their counts by language and place. Without such rows every text is ``und``.
     """
     bounded_batches(documents.sparkSession)
     known = documents.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).cast("string").alias("language"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"))
     counts = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if not counts or len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; 1 to {MOST_LANGUAGES} can be learned")
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return LanguageModel((UNKNOWN,), np.zeros((1 << TABLE_BITS, 1), dtype=np.float32), np.ones(1))
     names = tuple(sorted(counts))
     index = {n: i for i, n in enumerate(names)}
     share = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(int(min(1.0, rows / counts[n]) * (1 << 62))))])
@@ -200,9 +202,13 @@ def with_language(df: DataFrame, model: LanguageModel, text: str = "text") -> Da
             share[empty] = of.prior
             lettered = np.array([v is not None and _LETTER.search(v) is not None for v in values], dtype=bool)
             best = share.argmax(axis=1)
+            if of.languages == (UNKNOWN,):
+                lettered[:] = False
             order = np.argsort(-share, axis=1, kind="stable")
             sets = [",".join(f"{of.languages[k]}:{share[i, k]:.3f}" for k in order[i] if share[i, k] > 0) if lettered[i] else "" for i in range(len(values))]
             yield pd.DataFrame({"lang_pred": np.where(lettered, np.array(of.languages, dtype=object)[best], UNKNOWN), "score": np.where(lettered, share[np.arange(len(values)), best], 0.0), "languages": sets})
 
     found: Column = predicted(F.col(text))
-    return df.withColumn("_language", found).select(*[c for c in df.columns if c not in ("lang_pred", "score", "languages")], "_language.lang_pred", "_language.score", "_language.languages")
+    own = [c for c in df.columns if c not in ("lang_pred", "score", "languages")]
+    made = df.select(F.struct(*own).alias("_own"), found.alias("_made"))
+    return made.select("_own.*", "_made.*")

@@ -92,18 +92,18 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     sources and the schedule of blocks, both bounded, are on the driver.
     """
     # a weight for null is given under None
-    rows = df.select(F.col(key), F.col(source), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"), F.xxhash64(F.col(key)).alias("_key"), _name(source).alias("_name"))
+    rows = df.select(F.col(key).alias("_id"), F.col(source).alias("_source"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"), F.xxhash64(F.col(key)).alias("_key"), _name(source).alias("_name"))
     totals = {r["_name"]: int(r["b"]) for r in rows.groupBy("_name").agg(F.sum("size").alias("b")).limit(MOST_SOURCES + 1).collect()}
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     size = max(block_bytes, -(-sum(totals.values()) // MOST_BLOCKS))
     wanted = {("n" if s is None else f"s:{s}"): float(w) for s, w in weights.items()} if weights is not None else {s: b**TEMPER for s, b in totals.items()}
-    blocked = ranked(rows, "_name", "_key", key, "size").withColumn("block", F.expr(f"before div {size}").cast("long"))
+    blocked = ranked(rows, "_name", "_key", "_id", "size").withColumn("block", F.expr(f"before div {size}").cast("long"))
     # a block is there if a row begins in it; a row longer than a block leaves numbers out
     counts = blocked.groupBy("_name", "block").agg(F.count("*").alias("n")).groupBy("_name").agg(F.max("block").alias("last"))
     plan = schedule({r["_name"]: r["last"] + 1 for r in counts.collect()}, wanted)
     table = df.sparkSession.createDataFrame(plan or [("", 0, 0, False)], "_name string, block long, slot long, in_mix boolean")
-    return blocked.join(F.broadcast(table), ["_name", "block"]).select(key, source, "size", "block", "slot", "in_mix")
+    return blocked.join(F.broadcast(table), ["_name", "block"]).select(F.col("_id").alias(key), F.col("_source").alias(source), "size", "block", "slot", "in_mix")
 
 
 def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, **names) -> DataFrame:
@@ -114,6 +114,7 @@ def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, **names
     """
     key = names.get("key", "doc_id")
     order = mix(df, weights, **names).groupBy(F.col(key).alias("_id")).agg(F.min("slot").alias("_slot"), F.max("in_mix").alias("_in"))
-    kept = df.join(order.where("_in"), F.col(key).eqNullSafe(F.col("_id")))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"))  # columns of df can't clash
+    kept = rows.join(order.where("_in"), F.col("_key").eqNullSafe(F.col("_id")))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return kept.repartitionByRange(n, "_slot", key).sortWithinPartitions("_slot", key).select(*df.columns)
+    return kept.repartitionByRange(n, "_slot", "_key").sortWithinPartitions("_slot", "_key").select("_row.*")

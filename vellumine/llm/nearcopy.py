@@ -164,7 +164,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, perm
     texts have no shingles and link with nothing. Rows that repeat a doc_id get equal component
     values if their texts are equal; a null doc_id is kept, alone, with a null component.
     """
-    documents = documents.select("doc_id", "text")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(signatures(documents, size, permutations, rows))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))

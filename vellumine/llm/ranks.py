@@ -24,6 +24,6 @@ def ranked(df: DataFrame, group: str, key: str, tie: str, value: str, rank: str
     earlier = Window.partitionBy(group).orderBy("_range", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*by).orderBy(key, tie)
-    own = cells.withColumn("_row", F.row_number().over(inside) - 1).withColumn("_own", F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = cells.withColumn("_row", F.row_number().over(inside) - 1).withColumn("_cell_sum", F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = own.join(offsets, by)
-    return joined.withColumn(rank, (F.col("_first") + F.col("_row")).cast("long")).withColumn(before, (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_salt", "_row", "_own", "_first", "_before")
+    return joined.withColumn(rank, (F.col("_first") + F.col("_row")).cast("long")).withColumn(before, (F.col("_before") + F.col("_cell_sum")).cast("long")).drop("_range", "_salt", "_row", "_cell_sum", "_first", "_before")

@@ -167,13 +167,14 @@ def with_shards(df: DataFrame, shards: int = 40, text: str = "text", tie: str =
 
     Shard sizes in bytes are as near to equal as groups of equal texts allow: no partition of the order
     has a smaller largest shard. Null and empty texts are one group. Rows that repeat lie in one
-    shard, each in a slot of its own. An empty table has no rows. Columns of these names are replaced;
-    rows are matched to their slots by ``df``'s own row, not by ``tie``, so ``tie`` need not be unique.
+    shard, each in a slot of its own; ``tie`` orders a cell's rows and need not be unique. An empty table has
+    no rows. Columns of these names are replaced.
     """
     own = [c for c in df.columns if c not in ("size", "text_crc32", "shard", "slot")]
     whole = F.coalesce(F.col(text), F.lit(""))
     keyed = df.select(
-        *own,
+        F.struct(*own).alias("_own"),  # columns of df can't clash with those below
+        F.col(tie).alias("_tie"),
         (F.octet_length(whole) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"),
         # the last key is left free; two texts of one hash would share a shard
@@ -182,4 +183,4 @@ def with_shards(df: DataFrame, shards: int = 40, text: str = "text", tie: str =
     groups = cut(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("weight")))
     starts, _ = cuts(groups, shards)
     placed = keyed.withColumn("shard", _shard(F.col("_key"), starts).cast("int"))
-    return ranked(placed, "shard", "_key", tie, "size", "slot", "_sum").drop("_key", "_sum")
+    return ranked(placed, "shard", "_key", "_tie", "size", "slot", "_sum").select("_own.*", "size", "text_crc32", "shard", "slot")

@@ -134,7 +134,7 @@ def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byt
 def _trained(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size + 1024, samples).as_bytes()[-size:]
-    except zstandard.ZstdError:  # too few samples for the trainer: the samples themselves
+    except (zstandard.ZstdError, ValueError):  # too few samples for the trainer: the samples themselves
         return b" ".join(samples)[:size]
 
 
@@ -236,3 +236,12 @@ def with_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", score
             yield pd.Series(scores(utf8(pa.array(batch, type=pa.string())), model))
 
     return df.withColumn(score, scored(F.col(text)))
+
+
+def drop_toxic(df: DataFrame, model: ToxicityModel, most: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that score below ``most``, all columns kept."""
+    name = "_score"
+    while name in df.columns:
+        name += "_"
+    scored = with_toxicity(df, model, text, name)
+    return scored.where(F.col(name) < most).select(*df.columns)
