@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 RANGES, SALTS = 256, 64
 
 
+def _running(cells: DataFrame, within: list[str], order: str) -> DataFrame:
+    """Sums of ``_n`` and ``_sum`` over the cells before each, as ``_first`` and ``_before``."""
+    earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+
+
 def ranked(df: DataFrame, group: str, key: str, tie: str, value: str, rank: str = "rank", before: str = "before") -> DataFrame:
     """``df`` with each row's 0-based rank within ``group`` and the sum of ``value`` over rows before it.
 
@@ -18,12 +24,16 @@ def ranked(df: DataFrame, group: str, key: str, tie: str, value: str, rank: str
     offset, and only the rows of a cell are sorted together. One key with a third of all rows is
     dealt over SALTS cells by ``tie``.
     """
-    cells = df.withColumn("_range", F.shiftright(key, 56)).withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
-    by = [group, "_range", "_salt"]
+    # a struct, so that a null group joins with itself
+    cells = df.withColumn("_group", F.struct(group)).withColumn("_range", F.shiftright(key, 56)).withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
+    by = ["_group", "_range", "_salt"]
     counts = cells.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(group).orderBy("_range", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    # first the ranges of a group, then the cells of a range: no task sums over all cells of a group
+    ranges = _running(counts.groupBy("_group", "_range").agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum")), ["_group"], "_range")
+    cell = _running(counts, ["_group", "_range"], "_salt").select(*by, F.col("_first").alias("_f"), F.col("_before").alias("_b"))
+    offsets = cell.join(ranges.select("_group", "_range", "_first", "_before"), ["_group", "_range"])
+    offsets = offsets.select(*by, (F.col("_first") + F.col("_f")).alias("_first"), (F.col("_before") + F.col("_b")).alias("_before"))
     inside = Window.partitionBy(*by).orderBy(key, tie)
     own = cells.withColumn("_row", F.row_number().over(inside) - 1).withColumn("_cell_sum", F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = own.join(offsets, by)
-    return joined.withColumn(rank, (F.col("_first") + F.col("_row")).cast("long")).withColumn(before, (F.col("_before") + F.col("_cell_sum")).cast("long")).drop("_range", "_salt", "_row", "_cell_sum", "_first", "_before")
+    return joined.withColumn(rank, (F.col("_first") + F.col("_row")).cast("long")).withColumn(before, (F.col("_before") + F.col("_cell_sum")).cast("long")).drop("_group", "_range", "_salt", "_row", "_cell_sum", "_first", "_before")
