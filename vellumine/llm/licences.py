@@ -44,6 +44,9 @@ KNOWN = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
 }
 
+#: Known digests, of about 100 bytes each, that are broadcast.
+BROADCAST_ROWS = 1 << 17
+
 # Lines that name a copyright, and what is no word, in Java and RE2 syntax alike.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 NO_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
@@ -74,11 +77,14 @@ def with_license(df: DataFrame, digests: DataFrame, text: str = "text") -> DataF
     """``df`` with ``digest`` and ``license``: the known licence that the whole text is, else null.
 
     A null text has neither. Texts that are nothing but copyright lines, punctuation or space have
-    the digest of an empty form, which no licence has. Columns of these names are replaced. The
-    join is on digests; the optimizer broadcasts the known ones only if they are small.
+    the digest of an empty form, which no licence has. Columns of these names are replaced. Known
+    digests are counted first: up to BROADCAST_ROWS of them are broadcast, more are joined by a shuffle.
     """
-    named = df.drop("digest", "license").withColumn("digest", digest(F.col(text)))
-    return named.join(digests, "digest", "left").select(*named.columns, "license")
+    few = digests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # never null, so that the join needs no test that would compute digests twice
+    named = df.drop("digest", "license").withColumn("digest", F.coalesce(digest(F.col(text)), F.lit("")))
+    joined = named.join(F.broadcast(digests) if few else digests, "digest", "left")
+    return joined.select(*[c for c in named.columns if c != "digest"], F.nullif("digest", F.lit("")).alias("digest"), "license")
 
 
 def whole_lines(df: DataFrame, text: str = "text") -> DataFrame:
