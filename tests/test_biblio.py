@@ -71,6 +71,8 @@ def test_urls(spark):
     for url, want in [("http://a/b/c.PDF", True), ("http://a/b/c.pdf?x=1", False), ("http://a/b/?f=q.pdf", True)]:
         assert one(urls.has_suffix, url) is want
     assert one(urls.mentions, bytearray(b"\xff 403 FORBIDDEN"), "binary") and not one(urls.mentions, bytearray(b"%PDF"), "binary")
+    for url, want in [("http://a/?id=1&ots=x&sig=y", "http://a/?id=1"), ("http://a/?ots=x&id=1#f", "http://a/?id=1#f"), ("http://a/?sig=x", "http://a/"), ("http://a/?dots=x", "http://a/?dots=x"), ("http://a", "http://a")]:
+        assert one(urls.normalized, url) == want
     assert [urls.page_count(n) for n in (0, 5, 10, 50)] == [1, 1, 2, 6]
     assert urls.search_url(spark, "https://s", "a b").first()["url"] == "https://s?q=a+b&hl=id"
 

@@ -91,6 +91,9 @@ def test_sample_goldens_if_present(spark):
     stats = {r["term"]: r for r in tfidf.inverse_frequency(df, tfidf.document_frequency(posted)).collect()}
     assert df.count() == 52 and len(stats) == 538 and posted.count() == 1409
     assert stats["website"]["df_t"] == 97 and abs(stats["website"]["idf"] + 0.270768) < 1e-6
+    from vellumine.functions.urls import normalized
+
+    assert df.select("url").distinct().count() == 52 and df.select(normalized(F.col("url"))).distinct().count() == 44
     assert sorted(t for t, r in stats.items() if r["idf"] < 0) == ["pembuatan", "website"]
 
 

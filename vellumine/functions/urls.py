@@ -20,6 +20,17 @@ def pdf_path(title: Column, folder: str = "pdfs") -> Column:
     return F.concat(F.lit(f"{folder}/"), safe_title(title), F.lit(".pdf"))
 
 
+#: Parameters that change from visit to visit.
+VOLATILE = ("ots", "sig")
+
+
+def normalized(url: Column, volatile: tuple[str, ...] = VOLATILE) -> Column:
+    """The URL without volatile query parameters (an extension; de-duplication is on exact URLs by default)."""
+    out = F.regexp_replace(url, rf"([?&])(?:{'|'.join(volatile)})=[^&#]*(?=[&#]|$)", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"&&+", "&"), r"\?&+", "?")
+    return F.regexp_replace(out, r"[?&]+(?=#|$)", "")
+
+
 def basename(url: Column) -> Column:
     """The last segment of a URL's path, without its parameters (F25); any string is accepted."""
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*", "")

@@ -33,6 +33,21 @@ def token_lists(corpus: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
     return union_fields(corpus).select("id", "field", kept.alias("tokens"), gate.alias("stem"))
 
 
+def words(corpus: DataFrame) -> DataFrame:
+    """(id, field, term): every token as a row."""
+    return union_fields(corpus).select("id", "field", F.explode(X.tokens(F.col("text"))).alias("term"))
+
+
+def without_listed(found: DataFrame, stopwords: DataFrame) -> DataFrame:
+    """Words that are not in a stopword table, for lists too long for a literal (P6, J6 anti)."""
+    return found.join(stopwords.select("term").distinct(), "term", "left_anti").select(*found.columns)
+
+
+def in_language(found: DataFrame, stopwords: DataFrame) -> DataFrame:
+    """(id, field) of texts that hold a word of the table (P13, J6 semi)."""
+    return found.join(stopwords.select("term").distinct(), "term", "left_semi").select("id", "field").distinct()
+
+
 def _counted(tokens: Column) -> Column:
     """(term, freq) of an array: run lengths of the sorted array. Stays in the row, so nothing is shuffled."""
     ordered = F.array_sort(tokens)

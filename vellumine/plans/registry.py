@@ -119,6 +119,21 @@ def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "field", text.stopword_count(F.col("tokens"), STOP).cast("long").alias("n_stop"), text.gate(F.col("tokens"), STOP).alias("gate"))
 
 
+def _stop_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in STOP], "term string")
+
+
+@_query(f"WITH {_CORPUS}, {_FIELDS}, {_WORDS} SELECT id, field, count(*) AS n FROM words WHERE term NOT IN {_STOP} GROUP BY id, field")
+def stopword_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = tfidf.without_listed(tfidf.words(_corpus(spark, sf_dir)), _stop_table(spark))
+    return kept.groupBy("id", "field").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_CORPUS}, {_FIELDS}, {_WORDS} SELECT DISTINCT id, field FROM words WHERE term IN {_STOP}")
+def language_gate_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.in_language(tfidf.words(_corpus(spark, sf_dir)), _stop_table(spark))
+
+
 @_query(f"WITH {_CORPUS}, {_FIELDS} SELECT id, field, text FROM fields")
 def union_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.union_fields(_corpus(spark, sf_dir))
