@@ -9,8 +9,8 @@ from pyspark.sql import SparkSession
 
 #: Rows and bytes that Spark puts into one Arrow batch for a Python worker. A batch holds at
 #: least one row, so a worker's need is bounded by this or by the longest single text.
-ROWS_PER_BATCH = 2000
-BYTES_PER_BATCH = 8 << 20
+ROWS_PER_BATCH = 1000
+BYTES_PER_BATCH = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

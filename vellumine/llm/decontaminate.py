@@ -29,7 +29,7 @@ from vellumine.session import cut
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one pass over the documents carries; a larger benchmark takes more passes.
 BENCHMARK_BYTES = 16 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 #: Words that a suffix must share with the start of an item suffix to enter the array, at most the window.
 _LEAD = 3
 
