@@ -48,11 +48,11 @@ def in_language(found: DataFrame, stopwords: DataFrame) -> DataFrame:
     return found.join(stopwords.select("term").distinct(), "term", "left_semi").select("id", "field").distinct()
 
 
-def _counted(tokens: Column) -> Column:
-    """(term, freq) of an array: run lengths of the sorted array. Stays in the row, so nothing is shuffled."""
-    ordered = F.array_sort(tokens)
-    starts = F.filter(F.sequence(F.lit(1), F.size("_sorted")), lambda i: (i == 1) | (F.element_at("_sorted", i) != F.element_at("_sorted", F.greatest(i - 1, F.lit(1)))))
-    return ordered, starts
+def _runs(ordered: str) -> Column:
+    """Places, from 1, at which a new value begins in a sorted array; none in an empty one."""
+    n = F.size(ordered)
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return F.filter(places, lambda i: (i <= n) & ((i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1))))))
 
 
 def postings(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer | None = None) -> DataFrame:
@@ -65,11 +65,12 @@ def postings(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer
     lists = token_lists(corpus, stopwords)
     if stemmer is not None:
         lists = _stemmed(lists, stemmer)
-    lists = lists.where(F.size("tokens") > 0)
-    ordered, starts = _counted(F.col("tokens"))
-    runs = lists.select("id", "field", ordered.alias("_sorted")).withColumn("_starts", starts)
+    runs = lists.select("id", "field", F.array_sort("tokens").alias("_sorted")).withColumn("_starts", _runs("_sorted"))
     ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(1))), F.array(F.size("_sorted") + 1))
-    terms = F.transform(F.arrays_zip(F.col("_starts").alias("s"), ends.alias("e")), lambda p: F.struct(F.element_at("_sorted", p["s"]).alias("term"), (p["e"] - p["s"]).cast("long").alias("freq")))
+    zipped = F.arrays_zip(F.col("_starts").alias("s"), ends.alias("e"))
+    terms = F.transform(zipped, lambda p: F.struct(F.element_at("_sorted", p["s"]).alias("term"), (p["e"] - p["s"]).cast("long").alias("freq")))
+    # no filter on empty lists: it would be pushed down and tokenise twice; exploding null gives no row
+    terms = F.when(F.size("_sorted") > 0, terms)
     out = runs.select("id", "field", F.size("_sorted").alias("_n"), F.explode(terms).alias("t"))
     return out.select("id", "field", "t.term", "t.freq", (F.col("t.freq") / F.col("_n")).alias("tf"))
 
@@ -110,7 +111,8 @@ def tfidf(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer | N
     """(id, field, term, tfidf) of every posting."""
     posted = postings(corpus, stopwords, stemmer)
     stats = inverse_frequency(corpus, document_frequency(posted))
-    return posted.join(stats, "term").select("id", "field", "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    # Every term has its statistics. A left join may broadcast those, never the postings, and splits frequent terms.
+    return posted.join(stats, "term", "left").select("id", "field", "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def densified(weights: DataFrame, ids: DataFrame, terms: DataFrame, value: str = "tfidf") -> DataFrame:
