@@ -56,3 +56,43 @@ def test_no_pairs_are_crossed(spark):
         if name != "pipeline":
             plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(rows, folder, docs, labels, items):
+    rows(docs, DOCS).write.parquet(f"{folder}/documents.parquet")
+    rows(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rows(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_stages_on_odd_rows(spark, rows, tmp_path):
+    words = lambda k, n: " ".join(f"w{(k * 7919 + i * i) % 997}" for i in range(n))
+    docs = [(i, words(i, 60), "en", f"s{i % 3}", 1) for i in range(60)]
+    docs += [(100, None, None, None, None), (101, "", "en", "s0", 0), (102, " \n", "en", "s1", 2), (None, words(500, 40), "en", "s2", 5), (None, None, None, None, None)]
+    docs += [(0, words(0, 60), "en", "s0", 1)] * 2 + [(103, words(0, 60), "en", "s1", 1), (104, "x " * 200_000, "en", "s2", 9), (105, "one", "en", "s2", 3)]
+    docs += [(106, "pre " + words(900, 12) + " post", "en", "s0", 4)]
+    labels = [(i, 1, 0) for i in range(50)] + [(None, None, None), (3, None, None)]
+    folder = tables(rows, tmp_path, docs, labels, [(1, words(900, 12)), (None, None), (2, "")])
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        frame = materialized(stage(spark, frame, folder), f"odd-{k}")
+        ids = [r["doc_id"] for r in frame.select("doc_id").collect()]
+        if name == "near duplicates":
+            assert ids.count(0) == 1 and 103 not in ids and {100, 101, 102, 104, 105, 106} <= set(ids) and ids.count(None) == 2
+        if name == "decontamination":
+            assert 106 not in ids and {100, 104} <= set(ids)
+    assert frame.count() > 30
+    again = rows([(1, "a b c d e", "en", "s", 1, "x", 2)], DOCS + ", rep string, shard int")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, again, folder).columns == again.columns, name
+
+
+def test_stages_on_empty_tables(spark, rows, tmp_path):
+    folder = tables(rows, tmp_path, [], [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    for name, query in queries.QUERIES.items():
+        if name != "op5_event_chat":
+            assert query(spark, folder).count() == 0, name
