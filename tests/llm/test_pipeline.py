@@ -96,3 +96,37 @@ def test_stages_on_empty_tables(spark, rows, tmp_path):
     for name, query in queries.QUERIES.items():
         if name != "op5_event_chat":
             assert query(spark, folder).count() == 0, name
+
+
+def test_stages_equal_brute_force(spark):
+    from test_nearcopy import brute
+    from test_tables import contaminated, smallest
+
+    from pyspark.sql import functions as F
+
+    from vellumine.llm import mixing, toxicity
+
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    docs, made = read("documents"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = materialized(stage(spark, docs, SF), f"brute-{k}")
+        made.append(docs)
+    texts = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
+    model = toxicity.fit(read("documents"), read("labels"))
+    raw = texts(read("documents"))
+    scores = toxicity.scores([t.encode() for _, t in raw], model)
+    assert ids(made[0]) == sorted(i for (i, _), s in zip(raw, scores, strict=True) if s < corpus_pipeline.TOXIC)
+    assert ids(made[1]) == sorted(i for i, (_, _, kept) in brute(texts(made[0]), 5, 80).items() if kept)
+    items = [(r["item_id"], r["text"]) for r in read("benchmark").collect()]
+    assert ids(made[2]) == sorted(r[0] for r in contaminated(texts(made[1]), items) if not r[5])
+    placed = mixing.mix(made[2]).collect()
+    assert ids(made[3]) == sorted(r["doc_id"] for r in placed if r["in_mix"])
+    rows_out = made[4].collect()
+    assert ids(made[4]) == ids(made[3])
+    total: dict[int, int] = {}
+    for r in rows_out:
+        total[r["shard"]] = total.get(r["shard"], 0) + len(r["text"].encode()) + 16
+    groups = made[3].groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 16).alias("w")).orderBy("h").collect()
+    assert max(total.values()) == smallest([r["w"] for r in groups], corpus_pipeline.SHARDS)
