@@ -35,7 +35,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 #: Up to so many ids are broadcast to find the texts of candidates; beyond it that join shuffles.
 BROADCAST_IDS = 1 << 20
 
-_SCAN_BYTES = 1 << 20
+_SCAN_BYTES = 1 << 19
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,12 +196,20 @@ def _unresolved(held: DataFrame, stars: DataFrame, sets: DataFrame, percent: int
     labelled = held.join(stars.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2")
     sizes = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("size"))
-    inside = labelled.join(open_.select("band"), "band").join(sizes, "rep").select("band", "rep", "component", "size")
-    inside = cut(inside)
-    blocks = inside.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    dealt = inside.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("k")).cast("int"))
-    # block i meets every block: as the lower of the pair on side 0, as the higher on side 1
-    meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, "block").alias("lo"), F.greatest(o, "block").alias("hi"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
+    inside = cut(labelled.join(open_.select("band"), "band").join(sizes, "rep").select("band", "rep", "component", "size"))
+    # Members of a bucket's main component need not be held against each other: their blocks meet those of the rest only.
+    main = inside.groupBy("band", "component").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    inside = inside.join(main, "band").withColumn("rest", F.col("component") != F.col("main"))
+    need = lambda on: F.greatest(F.ceil(F.count_if(on) / BLOCK_ROWS), F.ceil(F.sum(F.when(on, F.col("size")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    blocks = inside.groupBy("band").agg(need(F.lit(True)).alias("k"), need(~F.col("rest")).alias("k0"), need(F.col("rest")).alias("k1"))
+    # what fits into one block is one block
+    blocks = blocks.select("band", F.when(F.col("k") == 1, 0).otherwise(F.col("k0")).alias("k0"), F.when(F.col("k") == 1, 1).otherwise(F.col("k1")).alias("k1"))
+    place = F.xxhash64("rep", "band")
+    block = F.when(F.col("k0") == 0, 0).when(F.col("rest"), F.col("k0") + F.pmod(place, F.col("k1"))).otherwise(F.pmod(place, F.greatest("k0", F.lit(1)))).cast("int")
+    dealt = inside.join(blocks, "band").withColumn("block", block)
+    # a block is the lower of a pair on side 0, the higher on side 1
+    others = F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("k0")), F.col("k0") + F.col("k1") - 1)
+    meets = F.transform(others, lambda o: F.struct(F.least(o, "block").alias("lo"), F.greatest(o, "block").alias("hi"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
     dealt = dealt.select("band", "rep", "component", F.explode(meets).alias("m")).select("band", "rep", "component", "m.*")
     shipped = dealt.join(sets.withColumnRenamed("id", "rep"), "rep")
     return shipped.groupBy("band", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
