@@ -95,6 +95,14 @@ def test_token_counts(rows, name):
     assert tokens.with_token_counts(rows([], "text string"), path).count() == 0
 
 
+def test_ranks_and_vocabulary_agree():
+    texts = [b"plain words, 123 and more\n\n  x", "é ü 日本".encode(), b"", None]
+    a, b = (tokens.count_batch(texts, public_tokenizers.path(f"byte_bpe_50k.{kind}")).tolist() for kind in ("json", "tiktoken"))
+    assert a == b and a[2:] == [0, 0]
+    with pytest.raises(ValueError, match="no library"):
+        tokens.count_batch([b"x"], "other.bin")
+
+
 def test_cuts_are_safe():
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(3)

@@ -6,6 +6,7 @@ by bytes, and a long text is cut where the tokenizer can't join across the cut.
 
 from __future__ import annotations
 
+import base64
 import functools
 from collections.abc import Callable, Iterator
 
@@ -64,6 +65,14 @@ def _encoder(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool]:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         return lambda texts: [len(x.ids) for x in tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)], False
+    if path.endswith(".tiktoken"):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(coding.encode_ordinary(t.decode())) for t in texts], False
     raise ValueError(f"no library for {path}")
 
 
