@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vellumine.llm.arrow import bounded_batches, utf8
 
 #: Bounds of the fitting sample: rows of label 0 and 1, and bytes of one text that fitting reads.
-FIT_ROWS, FIT_BYTES = (6000, 3000), 32 << 10
+FIT_ROWS, FIT_BYTES = (4000, 2000), 16 << 10
 #: Words in a window, and words from one window to the next.
 WINDOW, STEP = 6, 5
 #: Bytes of the parts of words, with their boundaries, whose shares among toxic and ordinary texts are held together.
@@ -156,7 +156,7 @@ def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> np.n
     return np.fromiter(map(len, compressor.multi_compress_to_buffer(windows)), dtype=np.int64, count=len(windows))
 
 
-def features(texts: list[bytes], ordinary: bytes, toxic: bytes, most: int = 20000) -> np.ndarray:
+def features(texts: list[bytes], ordinary: bytes, toxic: bytes, most: int = 4000) -> np.ndarray:
     """Per text: the largest and second and third largest saving, the sum of clear savings, log of windows."""
     plain, marked = _compressors(ordinary, toxic)
     out = np.zeros((len(texts), FEATURES))
@@ -193,7 +193,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
 
     Of label 0 and 1 about ``rows`` rows at most are read, those with the smallest hash of ``key``: a
     row is taken if its hash falls below a share set by the label's count. These few keys are
-    broadcast, so no text is shuffled. Of a text, fitting reads 32 KiB at most. Half the sample makes
+    broadcast, so no text is shuffled. Of a text, fitting reads 16 KiB at most. Half the sample makes
     the dictionaries, the other half the calibration.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.xxhash64(F.col(key)).alias("h"))
