@@ -198,15 +198,20 @@ def _unresolved(held: DataFrame, stars: DataFrame, sets: DataFrame, percent: int
     sizes = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("size"))
     inside = cut(labelled.join(open_.select("band"), "band").join(sizes, "rep").select("band", "rep", "component", "size"))
     # Members of a bucket's main component need not be held against each other: their blocks meet those of the rest only.
-    main = inside.groupBy("band", "component").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    inside = inside.join(main, "band").withColumn("rest", F.col("component") != F.col("main"))
-    need = lambda on: F.greatest(F.ceil(F.count_if(on) / BLOCK_ROWS), F.ceil(F.sum(F.when(on, F.col("size")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
-    blocks = inside.groupBy("band").agg(need(F.lit(True)).alias("k"), need(~F.col("rest")).alias("k0"), need(F.col("rest")).alias("k1"))
-    # what fits into one block is one block
-    blocks = blocks.select("band", F.when(F.col("k") == 1, 0).otherwise(F.col("k0")).alias("k0"), F.when(F.col("k") == 1, 1).otherwise(F.col("k1")).alias("k1"))
+    # Counts come from combining aggregates alone, so the one join by bucket is free to be split where a bucket is hot.
+    parts = inside.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    stats = parts.groupBy("band").agg(F.max(F.struct("c", "s", "component")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    need = lambda c, s: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    one = need(F.col("c"), F.col("s")) == 1  # what fits into one block is one block
+    blocks = stats.select(
+        "band",
+        F.col("main.component").alias("main"),
+        F.when(one, 0).otherwise(need(F.col("main.c"), F.col("main.s"))).alias("k0"),
+        F.when(one, 1).otherwise(need(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s"))).alias("k1"),
+    )
     place = F.xxhash64("rep", "band")
     block = F.when(F.col("k0") == 0, 0).when(F.col("rest"), F.col("k0") + F.pmod(place, F.col("k1"))).otherwise(F.pmod(place, F.greatest("k0", F.lit(1)))).cast("int")
-    dealt = inside.join(blocks, "band").withColumn("block", block)
+    dealt = inside.join(blocks, "band").withColumn("rest", F.col("component") != F.col("main")).withColumn("block", block)
     # a block is the lower of a pair on side 0, the higher on side 1
     others = F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("k0")), F.col("k0") + F.col("k1") - 1)
     meets = F.transform(others, lambda o: F.struct(F.least(o, "block").alias("lo"), F.greatest(o, "block").alias("hi"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
