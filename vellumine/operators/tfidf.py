@@ -62,9 +62,7 @@ def postings(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer
     ``stemmer``, tokens of texts in the language are replaced by their stems first: the distinct
     terms are stemmed and joined back.
     """
-    lists = token_lists(corpus, stopwords)
-    if stemmer is not None:
-        lists = _stemmed(lists, stemmer)
+    lists = _lists(corpus, stopwords, stemmer)
     runs = lists.select("id", "field", F.array_sort("tokens").alias("_sorted")).withColumn("_starts", _runs("_sorted"))
     ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(1))), F.array(F.size("_sorted") + 1))
     zipped = F.arrays_zip(F.col("_starts").alias("s"), ends.alias("e"))
@@ -75,6 +73,16 @@ def postings(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer
     return out.select("id", "field", "t.term", "t.freq", (F.col("t.freq") / F.col("_n")).alias("tf"))
 
 
+def document_terms(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer | None = None) -> DataFrame:
+    """(id, field, term): each document's distinct terms, without their frequencies."""
+    return _lists(corpus, stopwords, stemmer).select("id", "field", F.explode(F.array_distinct("tokens")).alias("term"))
+
+
+def _lists(corpus: DataFrame, stopwords: Sequence[str], stemmer: Stemmer | None) -> DataFrame:
+    lists = token_lists(corpus, stopwords)
+    return lists if stemmer is None else _stemmed(lists, stemmer)
+
+
 def _stemmed(lists: DataFrame, stemmer: Stemmer) -> DataFrame:
     words = lists.select("id", "field", "stem", F.posexplode("tokens").alias("pos", "term"))
     stems = stemmed_terms(words.where("stem"), stemmer)
@@ -85,7 +93,7 @@ def _stemmed(lists: DataFrame, stemmer: Stemmer) -> DataFrame:
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
-    """(term, df_t): documents, of the 2N, that hold the term (A5); postings are distinct by document already."""
+    """(term, df_t): documents, of the 2N, that hold the term (A5); postings, like document terms, are distinct by document."""
     return posted.groupBy("term").agg(F.count("*").alias("df_t"))
 
 
@@ -110,7 +118,7 @@ def inverse_frequency(corpus: DataFrame, frequency: DataFrame) -> DataFrame:
 def tfidf(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer | None = None) -> DataFrame:
     """(id, field, term, tfidf) of every posting."""
     posted = postings(corpus, stopwords, stemmer)
-    stats = inverse_frequency(corpus, document_frequency(posted))
+    stats = inverse_frequency(corpus, document_frequency(document_terms(corpus, stopwords, stemmer)))
     # Every term has its statistics. A left join may broadcast those, never the postings, and splits frequent terms.
     return posted.join(stats, "term", "left").select("id", "field", "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
 

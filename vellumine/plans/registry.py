@@ -144,12 +144,12 @@ def union_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_WITH + "SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_idx FROM (SELECT DISTINCT term FROM postings)")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.vocabulary(tfidf.postings(_corpus(spark, sf_dir)))
+    return tfidf.vocabulary(tfidf.document_terms(_corpus(spark, sf_dir)))
 
 
 @_query(_WITH + "SELECT count(DISTINCT term) AS n_terms FROM postings")
 def vocab_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.postings(_corpus(spark, sf_dir)).agg(F.countDistinct("term").alias("n_terms"))
+    return tfidf.document_terms(_corpus(spark, sf_dir)).agg(F.countDistinct("term").alias("n_terms"))
 
 
 @_query(_WITH + f"SELECT id, field, term, freq, round(tf, {PLACES}) AS tf FROM postings")
@@ -159,13 +159,13 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_WITH + "SELECT term, df_t FROM stats")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.document_frequency(tfidf.postings(_corpus(spark, sf_dir)))
+    return tfidf.document_frequency(tfidf.document_terms(_corpus(spark, sf_dir)))
 
 
 @_query(_WITH + f"SELECT term, df_t, round(idf, {PLACES}) AS idf FROM stats")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _corpus(spark, sf_dir)
-    return tfidf.inverse_frequency(corpus, tfidf.document_frequency(tfidf.postings(corpus))).select("term", "df_t", _rounded("idf"))
+    return tfidf.inverse_frequency(corpus, tfidf.document_frequency(tfidf.document_terms(corpus))).select("term", "df_t", _rounded("idf"))
 
 
 @_query(_WITH + f"SELECT id, field, term, round(tf * idf, {PLACES}) AS tfidf FROM postings JOIN stats USING (term)")
