@@ -19,7 +19,7 @@ a newline as ``~3``. No control string of this or of bracket templates can then
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The marks of the template.
@@ -48,29 +48,25 @@ def fold_events(events: DataFrame) -> DataFrame:
         "conv_id", "msg", "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text")
     )
     resets = F.col("kind").isin("edit", "regenerate")
-    piece = F.struct("seq", "kind", "text")
     messages = known.groupBy("conv_id", "msg").agg(
-        F.min(F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"))).alias("first"),
+        F.min("seq").alias("began"),
         F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role"))).alias("named"),
-        F.max(F.when(resets, piece)).alias("reset"),
+        F.max(F.when(resets, F.struct("seq", "kind"))).alias("reset"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regenerated"),
-        F.array_sort(F.collect_list(F.when(F.col("kind").isin("delta", "edit"), piece))).alias("pieces"),
+        F.array_sort(F.collect_list(F.when(F.col("kind").isin("delta", "edit"), F.struct("seq", "kind", "text")))).alias("pieces"),
     )
-    # pieces behind the last edit or regeneration, and that edit itself
-    after = F.filter("pieces", lambda p: F.col("reset").isNull() | (p >= F.col("reset")))
+    # what the last edit put in, if that came last, and the pieces behind it
+    at = lambda p: F.struct(p["seq"].alias("seq"), p["kind"].alias("kind"))
+    put = F.slice(F.filter("pieces", lambda p: at(p) == F.col("reset")), -1, 1)
+    after = F.when(F.col("reset").isNull(), F.col("pieces")).otherwise(F.concat(put, F.filter("pieces", lambda p: at(p) > F.col("reset"))))
     messages = messages.select(
-        "conv_id",
-        "msg",
-        F.col("first.seq").alias("began"),
-        F.coalesce("named.role", F.lit("")).alias("role"),
-        F.array_join(F.transform(after, lambda p: p["text"]), "").alias("text"),
-        "regenerated",
+        "conv_id", "msg", "began", "regenerated", F.coalesce("named.role", F.lit("")).alias("role"), F.array_join(F.transform(after, lambda p: p["text"]), "").alias("text")
     )
-    # A regeneration takes back later messages that began before it. Logs hold few: only their numbers meet.
-    cuts = messages.where("regenerated IS NOT NULL").groupBy(F.col("conv_id").alias("cut_conv")).agg(F.collect_list(F.struct("msg", "regenerated")).alias("cuts"))
-    joined = messages.join(cuts, F.col("conv_id").eqNullSafe(F.col("cut_conv")), "left")
-    gone = F.exists(F.coalesce("cuts", F.array()), lambda c: (c["msg"] < F.col("msg")) & (c["regenerated"] > F.col("began")))
-    return joined.where(F.col("cuts").isNull() | ~gone).select("conv_id", "msg", "role", "text")
+    # A regeneration takes back later messages that began before it. The window leaves rows dealt by conversation,
+    # so rendering needs no other shuffle.
+    earlier = Window.partitionBy("conv_id").orderBy("msg").rowsBetween(Window.unboundedPreceding, -1)
+    folded = messages.withColumn("_cut", F.max("regenerated").over(earlier))
+    return folded.where(F.col("_cut").isNull() | ~(F.col("_cut") > F.col("began"))).select("conv_id", "msg", "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -112,5 +108,5 @@ def events_of_rows(conversations: DataFrame, chunk: int = 200) -> DataFrame:
     tried = F.substring("text", 1, 20)
     streamed = F.concat(F.array(event("start", F.lit(""), F.lit(0)), event("delta", tried, F.lit(1)), event("regenerate", F.lit(""), F.lit(2))), deltas)
     edited = F.array(event("start", F.lit(""), F.lit(0)), event("delta", tried, F.lit(1)), event("edit", F.col("text"), F.lit(2)))
-    log = row.select("conv_id", msg.alias("msg"), "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
-    return log.select("conv_id", "msg", F.struct(F.col("msg.turn").alias("turn"), F.col("msg.role").alias("role"), F.col("msg.text").alias("text"), F.col("msg.row").alias("row"), F.col("e.k").alias("k")).alias("seq"), "e.kind", "role", "e.text")
+    log = row.select("conv_id", msg.alias("msg"), F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
+    return log.select("conv_id", "msg", F.struct(F.col("msg.turn").alias("turn"), F.col("msg.role").alias("role"), F.col("msg.text").alias("text"), F.col("msg.row").alias("row"), F.col("e.k").alias("k")).alias("seq"), "e.kind", F.when(F.col("e.kind") == "start", F.col("msg.role")).alias("role"), "e.text")
