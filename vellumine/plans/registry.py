@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import biblio, refs, text, urls
 from vellumine.operators import ingest, tfidf
+from vellumine.session import spread
 from vellumine.sources import html
 
 #: Stopwords of the queries: frequent words of the test tables.
@@ -41,7 +42,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.corpus_of_lines(_table(spark, sf_dir, "documents"))
+    return tfidf.corpus_of_lines(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _rounded(name: str):
@@ -90,7 +91,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY term")
 def tokenize_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    words = spread(_table(spark, sf_dir, "documents").select("text")).select(F.explode(text.tokens(F.col("text"))).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -106,7 +107,7 @@ def null_text_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM documents) WHERE term NOT IN {_STOP} GROUP BY term")
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _table(spark, sf_dir, "documents").select(F.explode(text.without(text.tokens(F.col("text")), STOP)).alias("term"))
+    words = spread(_table(spark, sf_dir, "documents").select("text")).select(F.explode(text.without(text.tokens(F.col("text")), STOP)).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("n"))
 
 

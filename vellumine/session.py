@@ -24,6 +24,15 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer partitions than there are cores over all of them, ahead of work that is heavy for its size.
+
+    A table that is large has more partitions than cores and is left as it is, so nothing of it is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
