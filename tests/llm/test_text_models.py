@@ -43,6 +43,11 @@ def test_toxicity_of_planted_words(rows):
     got = toxicity.with_toxicity(df, model).collect()
     score = {r["doc_id"]: r["score"] for r in got}
     assert len(got) == 7 and score[1] > 0.5 > score[2] and score[3] == score[4] and all(0 <= s <= 1 for s in score.values())
+    long = (" ".join(rng.choice(plain) for _ in range(150_000)) + " " + "zorgblat " * 40).encode()
+    assert b"".join(toxicity._slices(long)) == long and max(map(len, toxicity._slices(long))) <= 256 << 10
+    assert b"".join(toxicity._slices(b"x" * 600_000)) == b"x" * 600_000
+    found = toxicity.features([long, long[:-361]], model.ordinary, model.toxic)
+    assert found[0, 0] > found[1, 0] and found[0, 3] > found[1, 3]
     kept = toxicity.drop_toxic(df, model)
     assert kept.columns == df.columns and 1 not in {r["doc_id"] for r in kept.collect()}
     nothing = toxicity.fit(rows([], "doc_id long, text string"), rows([], "doc_id long, toxic int"))

@@ -156,19 +156,34 @@ def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> np.n
     return np.fromiter(map(len, compressor.multi_compress_to_buffer(windows)), dtype=np.int64, count=len(windows))
 
 
+def _slices(text: bytes, size: int = 256 << 10) -> Iterator[bytes]:
+    """Consecutive parts of a text, cut at spaces where there are any, so that a long text's windows are never all held."""
+    begin = 0
+    while len(text) - begin > size:
+        at = text.rfind(b" ", begin + 1, begin + size)
+        at = at if at > 0 else begin + size
+        yield text[begin:at]
+        begin = at
+    yield text[begin:]
+
+
 def features(texts: list[bytes], ordinary: bytes, toxic: bytes, most: int = 4000) -> np.ndarray:
     """Per text: the largest and second and third largest saving, the sum of clear savings, log of windows."""
     plain, marked = _compressors(ordinary, toxic)
     out = np.zeros((len(texts), FEATURES))
     for i, text in enumerate(texts):
-        windows = _windows(text)
-        if not windows:
-            continue
-        saved = np.concatenate([_lengths(plain, windows[k : k + most]) - _lengths(marked, windows[k : k + most]) for k in range(0, len(windows), most)])
-        top = np.sort(saved)[::-1][:3]
-        out[i, : len(top)] = top
-        out[i, 3] = math.log1p(np.maximum(saved - 4, 0).sum())
-        out[i, 4] = math.log(len(windows))
+        top, clear, count = np.zeros(0, dtype=np.int64), 0, 0
+        for part in _slices(text):
+            windows = _windows(part)
+            for k in range(0, len(windows), most):
+                saved = _lengths(plain, windows[k : k + most]) - _lengths(marked, windows[k : k + most])
+                top = np.sort(np.concatenate([top, saved]))[::-1][:3]
+                clear += int(np.maximum(saved - 4, 0).sum())
+            count += len(windows)
+        if count:
+            out[i, : len(top)] = top
+            out[i, 3] = math.log1p(clear)
+            out[i, 4] = math.log(count)
     return out
 
 
