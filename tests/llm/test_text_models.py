@@ -54,6 +54,19 @@ def test_toxicity_of_planted_words(rows):
     assert all(0 < r["score"] < 0.5 for r in toxicity.with_toxicity(df, nothing).collect())
 
 
+def test_toxicity_learns_from_whole_texts(rows):
+    rng = random.Random(2)
+    plain = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rst", "lom", "ter")]
+    words = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    text = lambda bad: words(6000) + " zorgblat" * bad + " " + words(80)
+    train = [(i, text(i % 2 == 0), int(i % 2 == 0)) for i in range(160)]
+    assert min(len(t.split(" zorgblat")[0]) for _, t, y in train if y) > 24 << 10
+    model = toxicity.fit(rows([(i, t) for i, t, _ in train], "doc_id long, text string"), rows([(i, y) for i, _, y in train], "doc_id long, toxic int"))
+    assert b"zorgblat" in model.toxic
+    held = [text(k % 2) for k in range(20)]
+    assert [int(s >= 0.5) for s in toxicity.scores([t.encode() for t in held], model)] == [k % 2 for k in range(20)]
+
+
 def test_languages_on_held_out_rows(spark):
     from vellumine.llm.queries import op8_language_mixtures
 

@@ -7,7 +7,7 @@ lack behind the same common text, since a toxic text is ordinary but for a few w
 with one anchor: a window then always has a match, so neither length falls back to raw storage,
 which would hide a short match.
 
-Fitting reads a bounded sample of the labelled rows; scoring reads every byte of every text.
+Fitting reads a bounded sample of the labelled rows. Fitting and scoring read every byte of every text they read.
 """
 
 from __future__ import annotations
@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.arrow import bounded_batches, utf8
+from vellumine.session import materialized
 
-#: Bounds of the fitting sample: rows of label 0 and 1, and bytes of one text that fitting reads.
-FIT_ROWS, FIT_BYTES = (4000, 2000), 16 << 10
+#: Bounds of the fitting sample: rows of label 0 and 1. Their texts are read whole.
+FIT_ROWS = (4000, 2000)
+#: Bytes of a sample that the dictionary's trainer is given, and of the texts that one call of it holds.
+PIECE_BYTES, TRAINING_BYTES = 4 << 10, 16 << 20
 #: Words in a window, and words from one window to the next.
 WINDOW, STEP = 6, 5
 #: Bytes of the parts of words, with their boundaries, whose shares among toxic and ordinary texts are held together.
@@ -36,6 +39,8 @@ GRAMS = (5, 6, 8, 10)
 #: Most bytes of the ordinary dictionary and of what the toxic one has besides.
 ORDINARY_BYTES, TOXIC_BYTES = 400, 8000
 ANCHOR = b"|~anchor~of~window~|"
+#: Counts that a task holds before it passes them on.
+MOST_HELD = 500_000
 #: Words longer than this are cut for windows, so a window's bytes are bounded.
 LONGEST_WORD = 64
 
@@ -90,47 +95,144 @@ def _evidence(n: int, m: int, a: int, b: int) -> float:
     return n * math.log(n / (a * share)) + (m * math.log(m / (b * share)) if m else 0.0)
 
 
-def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Content of the ordinary and of the toxic dictionary."""
-    # Each word counts once for a text; grams count by the words that hold them.
-    words_of = lambda texts: Counter(w for t in texts for w in set(_words(t)))
-    toxic_words, ordinary_words = words_of(toxic), words_of(ordinary)
-    a, b = toxic_words.total() + 1, ordinary_words.total() + 1
-    in_toxic: Counter[bytes] = Counter()
-    for word, n in toxic_words.items():
-        for g in _grams(b" " + word + b" "):
-            in_toxic[g] += n
-    surely = math.log(len(in_toxic) + 1) + 3  # few grams pass by chance, however many there are
-    in_toxic = Counter({g: n for g, n in in_toxic.items() if _evidence(n, 0, a, b) > surely})
-    in_ordinary: Counter[bytes] = Counter()
-    for word, n in ordinary_words.items():
-        for g in _grams(b" " + word + b" ") & in_toxic.keys():
-            in_ordinary[g] += n
-    told = {g for g, n in in_toxic.items() if math.log((n + 0.5) / a) - math.log((in_ordinary[g] + 0.5) / b) > 3 and _evidence(n, in_ordinary[g], a, b) > surely}
+def _counted(batches: Iterator[pa.RecordBatch], half: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """(word, toxic, ordinary): how many texts of each label hold the word. Each word counts once for a text."""
+    counts: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+    for label, text in _of_half(batches, half):
+        counts[label].update({w for part in _slices(text) for w in _words(part)})
+        if len(counts[0]) + len(counts[1]) > MOST_HELD:
+            yield _count_batch("word", *counts)
+            counts = (Counter(), Counter())
+    yield _count_batch("word", *counts)
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, toxic, ordinary): grams count by the words that hold them."""
+    counts: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+    for batch in batches:
+        for word, n, m in zip(*(batch.column(c).to_pylist() for c in ("word", "toxic", "ordinary")), strict=True):
+            for g in _grams(b" " + word + b" "):
+                if n:
+                    counts[1][g] += n
+                if m:
+                    counts[0][g] += m
+            if len(counts[0]) + len(counts[1]) > MOST_HELD:
+                yield _count_batch("gram", *counts)
+                counts = (Counter(), Counter())
+    yield _count_batch("gram", *counts)
+
+
+def _count_batch(name: str, ordinary: Counter[bytes], toxic: Counter[bytes]) -> pa.RecordBatch:
+    keys = list(ordinary.keys() | toxic.keys())
+    number = lambda counts: pa.array([counts[k] for k in keys], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), number(toxic), number(ordinary)], [name, "toxic", "ordinary"])
+
+
+def _of_half(batches: Iterator[pa.RecordBatch], half: set[tuple[int, int]]) -> Iterator[tuple[int, bytes]]:
+    """(label, text) of the sample's rows whose label and hash are in ``half``."""
+    for batch in batches:
+        for label, h, text in zip(*(batch.column(c) for c in ("label", "h", "text")), strict=True):
+            if (label.as_py(), h.as_py()) in half:
+                yield label.as_py(), text.as_py()
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch], half: set[tuple[int, int]], told: set[bytes]) -> Iterator[pa.RecordBatch]:
+    """(gram, around): the words before and after each word of toxic texts that holds a gram of ``told``."""
+    telling_of: dict[bytes, set[bytes]] = {}
+    out: set[tuple[bytes, bytes]] = set()
+    for label, text in _of_half(batches, half):
+        if label != 1:
+            continue
+        two: tuple[bytes, bytes] = (b"", b"")  # the last two words before the slice
+        for part in (*_slices(text), None):
+            found = [*two, *(_words(part) if part is not None else [b""])]
+            for before, word, after in zip(found, found[1:], found[2:], strict=False):
+                if word not in telling_of:
+                    telling_of[word] = _grams(b" " + word + b" ") & told if word else set()
+                out.update((g, before + b" " + after) for g in telling_of[word])
+            two = (found[-2], found[-1])
+            if len(telling_of) > MOST_HELD:
+                telling_of.clear()
+            if len(out) > MOST_HELD:
+                yield _pairs_batch(out)
+                out = set()
+    yield _pairs_batch(out)
+
+
+def _pairs_batch(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    held = list(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in held], pa.binary()) for k in (0, 1)], ["gram", "around"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], telling: set[bytes]) -> Iterator[pa.RecordBatch]:
+    """(part, n): the parts of words that telling grams cover, and the toxic texts that hold them."""
+    for batch in batches:
+        parts: Counter[bytes] = Counter()
+        for word, n in zip(batch.column("word").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for p in set(_runs(b" " + word + b" ", telling)) if n else ():
+                if len(p) > GRAMS[0]:
+                    parts[p] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.binary()), pa.array(list(parts.values()), pa.int64())], ["part", "n"])
+
+
+def _trainings(batches: Iterator[pa.RecordBatch], half: set[tuple[int, int]], size: int) -> Iterator[pa.RecordBatch]:
+    """A dictionary of each TRAINING_BYTES of whole ordinary texts."""
+    pieces, held = [], 0
+    for label, text in _of_half(batches, half):
+        for piece in _slices(text, PIECE_BYTES) if label == 0 else ():
+            pieces.append(piece)
+            held += len(piece)
+            if held >= TRAINING_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([_trained(pieces, size)], pa.binary())], ["content"])
+                pieces, held = [], 0
+    if pieces:
+        yield pa.RecordBatch.from_arrays([pa.array([_trained(pieces, size)], pa.binary())], ["content"])
+
+
+def _dictionaries(sample: DataFrame, half: set[tuple[int, int]]) -> tuple[bytes, bytes]:
+    """Content of the ordinary and of the toxic dictionary, from the rows (label, h, text) of ``sample`` in ``half``.
+
+    Executors read the texts; the driver gets telling grams, their parts and trained dictionaries.
+    """
+    number = "toxic long, ordinary long"
+    both = lambda df, name: df.groupBy(name).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    words = materialized(both(sample.mapInArrow(lambda bs: _counted(bs, half), f"word binary, {number}"), "word"), "toxicity-words")
+    total = words.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("a"), F.coalesce(F.sum("ordinary"), F.lit(0)).alias("b")).first()
+    a, b = total["a"] + 1, total["b"] + 1
+    grams = materialized(both(words.mapInArrow(_gram_counts, f"gram binary, {number}"), "gram").where("toxic > 0"), "toxicity-grams")
+    surely = math.log(grams.count() + 1) + 3  # few grams pass by chance, however many there are
+    n, m = F.col("toxic"), F.col("ordinary")
+    share = (n + m) / (a + b)
+    evidence = n * F.log(n / (a * share)) + F.when(m > 0, m * F.log(m / (b * share))).otherwise(0.0)
+    alone = n * F.log((a + b) / F.lit(float(a)))
+    ratio = F.log((n + 0.5) / a) - F.log((m + 0.5) / b)
+    told = {bytes(r["gram"]): (r["toxic"], r["ordinary"]) for r in grams.where((alone > surely) & (ratio > 3) & (evidence > surely)).collect()}
     # Copies of one text, or of a passage, prove no more than one: what counts is in how many surroundings a gram stands.
-    telling_of = {w: found for w in toxic_words if (found := _grams(b" " + w + b" ") & told)}
-    around: dict[bytes, set[tuple[bytes, bytes]]] = {g: set() for g in told}
-    for t in toxic:
-        found = [b"", *_words(t), b""]
-        for before, word, after in zip(found, found[1:], found[2:], strict=False):
-            for g in telling_of.get(word, ()):
-                around[g].add((before, after))
-    telling = {g for g in told if _evidence(min(len(around[g]), in_toxic[g]), in_ordinary[g], a, b) > surely}
-    parts: Counter[bytes] = Counter()
-    for word in telling_of:
-        for p in set(_runs(b" " + word + b" ", telling)):
-            if len(p) > GRAMS[0]:
-                parts[p] += toxic_words[word]
+    known = set(told)
+    around = sample.mapInArrow(lambda bs: _surroundings(bs, half, known), "gram binary, around binary").distinct().groupBy("gram").count() if told else None
+    places = {bytes(r["gram"]): r["count"] for r in around.collect()} if told else {}
+    telling = {g for g, (n, m) in told.items() if (k := min(places.get(g, 0), n)) and _evidence(k, m, a, b) > surely}
+    found = words.where("toxic > 0").mapInArrow(lambda bs: _parts(bs, telling), "part binary, n long").groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").collect() if telling else []
     chosen, held = [], 0
-    for part, _n in parts.most_common():
+    for part in (bytes(r["part"]) for r in found):
         if held + len(part) <= TOXIC_BYTES and not any(part in c for c in chosen):
             chosen.append(part)
             held += len(part)
-    base = _trained(ordinary, ORDINARY_BYTES)
+    made = [bytes(r["content"]) for r in sample.coalesce(1).sortWithinPartitions("h", "label", "text").mapInArrow(lambda bs: _trainings(bs, half, ORDINARY_BYTES), "content binary").collect()]
+    base = made[0] if len(made) == 1 else _trained([p for content in made for p in _slices(content, 64)], ORDINARY_BYTES)
     # The most frequent parts go last, where offsets are shortest.
     return base, b"".join(reversed(chosen))
 
 
+def _featured(batches: Iterator[pa.RecordBatch], half: set[tuple[int, int]], ordinary: bytes, toxic: bytes) -> Iterator[pa.RecordBatch]:
+    """(label, x): the features of the sample's rows outside ``half``."""
+    for batch in batches:
+        for label, h, text in zip(*(batch.column(c) for c in ("label", "h", "text")), strict=True):
+            if (label.as_py(), h.as_py()) not in half:
+                x = features([text.as_py()], ordinary, toxic)
+                yield pa.RecordBatch.from_arrays([pa.array([label.as_py()], pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
+
+
 def _trained(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size + 1024, samples).as_bytes()[-size:]
@@ -208,27 +310,29 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
 
     Of label 0 and 1 about ``rows`` rows at most are read, those with the smallest hash of ``key``: a
     row is taken if its hash falls below a share set by the label's count. These few keys are
-    broadcast, so no text is shuffled. Of a text, fitting reads 16 KiB at most. Half the sample makes
-    the dictionaries, the other half the calibration.
+    broadcast, so no text is shuffled; the taken rows, with whole texts, are written to the shared
+    folder, and executors count and measure them. Half the sample makes the dictionaries, the other
+    half the calibration.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.xxhash64(F.col(key)).alias("h"))
+    bounded_batches(documents.sparkSession)
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key)).alias("h"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     reach = lambda k: math.floor(min(1.0, rows[k] / max(counts.get(k, 0), 1)) * (1 << 62))
     part = F.col("h").bitwiseAND(F.lit((1 << 62) - 1))
     taken = known.where(part < F.when(F.col("label") == 1, F.lit(reach(1))).otherwise(F.lit(reach(0)))).distinct()
-    texts = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.encode(text, "UTF-8").substr(1, FIT_BYTES).alias("text"))
-    sample = texts.join(F.broadcast(taken), "key").select("label", "h", "text").toPandas().sort_values(["h", "label", "text"])
-    texts, y = sample["text"].map(bytes).to_list(), sample["label"].to_numpy()
-    half = np.zeros(len(y), dtype=bool)
-    for k in (0, 1):
-        half[np.flatnonzero(y == k)[::2]] = True
-    pick = lambda k, where: [t for t, a, b in zip(texts, y, where, strict=True) if a == k and b]
-    ordinary, toxic = _dictionaries(pick(1, half), pick(0, half))
-    rest = [t for t, b in zip(texts, half, strict=True) if not b]
-    if not len(rest) or len(set(y[~half])) < 2:  # nothing to learn from: every score is the prior
+    texts = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.encode(text, "UTF-8").alias("text"))
+    sample = materialized(texts.join(F.broadcast(taken), "key").select("label", "h", "text"), "toxicity-sample")
+    marks = sorted((r["label"], r["h"]) for r in sample.select("label", "h").collect())
+    y = np.array([k for k, _ in marks], dtype=np.int64)
+    # rows of one key are copies for the model: all of them go to one half
+    half = {mark for k in (0, 1) for mark in [m for m in dict.fromkeys(marks) if m[0] == k][::2]}
+    ordinary, toxic = _dictionaries(sample, half)
+    rest = sample.mapInArrow(lambda bs: _featured(bs, half, ordinary, toxic), "label int, x array<double>").collect() if any(m not in half for m in marks) else []
+    if len({r["label"] for r in rest}) < 2:  # nothing to learn from: every score is the prior
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
         return ToxicityModel(ordinary, toxic, (0.0,) * FEATURES, (1.0,) * FEATURES, (0.0,) * FEATURES, math.log(share / (1 - share)))
-    mean, scale, weights, bias = _calibrated(features(rest, ordinary, toxic), y[~half].astype(float))
+    rest = sorted((r["label"], r["x"]) for r in rest)  # sums in one order, so scores do not hang on the tasks'
+    mean, scale, weights, bias = _calibrated(np.array([x for _, x in rest]), np.array([k for k, _ in rest], dtype=float))
     # The sample holds the labels at other shares than the table; the bias puts that right.
     n0, n1 = max(counts.get(0, 0), 1), max(counts.get(1, 0), 1)
     m0, m1 = max(int((y == 0).sum()), 1), max(int((y == 1).sum()), 1)
