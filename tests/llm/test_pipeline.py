@@ -45,6 +45,14 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == counts[-1] > 0.6 * counts[0]
 
 
+def test_mixing_keeps_every_clean_document(spark):
+    docs, ids = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = materialized(stage(spark, docs, SF), f"kept-{k}")
+        ids.append(sorted(r["doc_id"] for r in docs.select("doc_id").collect()))
+    assert ids[2] == ids[3] == ids[4]
+
+
 @pytest.mark.parametrize("name", ["op5_event_chat", "op6_license_digests", "op9_minimax_shards"])
 def test_native_queries_run_no_python(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()

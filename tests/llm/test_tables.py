@@ -242,3 +242,10 @@ def test_mix_of_a_table(rows):
             assert abs(held[s] / total - w) < 0.08
     assert mixing.mix(rows([], "doc_id long, source string, text string")).count() == 0
     assert mixing.mixed(rows([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_default_mix_keeps_every_row(rows):
+    data = [(i, "hot" if i % 3 == 0 else f"s{i % 20}", "t" * 40) for i in range(900)] + [(None, None, None), (5, "s5", "again")]
+    df = rows(data, "doc_id long, source string, text string")
+    assert all(r["in_mix"] for r in mixing.mix(df, block_bytes=256).collect())
+    assert sorted(map(str, mixing.mixed(df, block_bytes=256).collect())) == sorted(map(str, df.collect()))

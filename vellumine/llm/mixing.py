@@ -9,6 +9,7 @@ its weight's share, until a source has no block left.
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ BLOCK_BYTES, MOST_BLOCKS = 4 << 10, 20000
 MOST_SOURCES = 10000
 #: Shares are taken as bytes to this power unless weights are given: small sources count for more.
 TEMPER = 0.9
-#: The mix ends where exhausted sources have more than this part of the target weights.
+#: A mix by given weights ends where exhausted sources have more than this part of them.
 LOST_WEIGHT = 0.05
 _DENOMINATOR = 1 << 20
 
@@ -88,7 +89,8 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
 
     ``size`` is UTF-8 bytes plus 16 (null texts: 16). ``block`` counts the source's blocks and
     ``slot`` is the block's place in the mix; rows of one slot follow in any order. Without ``weights`` a
-    source's weight is its bytes to the power 0.9. Null is a source of its own. Only the totals of
+    source's weight is its bytes to the power 0.9 and every row is in the mix: what a source has over its
+    share takes the later slots. Null is a source of its own. Only the totals of
     sources and the schedule of blocks, both bounded, are on the driver.
     """
     # a weight for null is given under None
@@ -101,7 +103,7 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     blocked = ranked(rows, "_name", "_key", "_id", "size").withColumn("block", F.expr(f"before div {size}").cast("long"))
     # a block is there if a row begins in it; a row longer than a block leaves numbers out
     counts = blocked.groupBy("_name", "block").agg(F.count("*").alias("n")).groupBy("_name").agg(F.max("block").alias("last"))
-    plan = schedule({r["_name"]: r["last"] + 1 for r in counts.collect()}, wanted)
+    plan = schedule({r["_name"]: r["last"] + 1 for r in counts.collect()}, wanted, LOST_WEIGHT if weights is not None else math.inf)
     table = df.sparkSession.createDataFrame(plan or [("", 0, 0, False)], "_name string, block long, slot long, in_mix boolean")
     return blocked.join(F.broadcast(table), ["_name", "block"]).select(F.col("_id").alias(key), F.col("_source").alias(source), "size", "block", "slot", "in_mix")
 
@@ -109,8 +111,8 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
 def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, **names) -> DataFrame:
     """The rows of ``df`` that are in the mix, sorted into its order across files, all columns kept.
 
-    Rows beyond the mix are what a source holds over its share when others have run dry. Rows that repeat
-    a key share its slot.
+    Without ``weights`` that is every row. By given weights, rows beyond the mix are what a source holds over
+    its share when others have run dry. Rows that repeat a key share its slot.
     """
     key = names.get("key", "doc_id")
     order = mix(df, weights, **names).groupBy(F.col(key).alias("_id")).agg(F.min("slot").alias("_slot"), F.max("in_mix").alias("_in"))
