@@ -249,3 +249,28 @@ def test_default_mix_keeps_every_row(rows):
     df = rows(data, "doc_id long, source string, text string")
     assert all(r["in_mix"] for r in mixing.mix(df, block_bytes=256).collect())
     assert sorted(map(str, mixing.mixed(df, block_bytes=256).collect())) == sorted(map(str, df.collect()))
+
+
+def test_mix_of_more_sources_than_the_driver_schedules(rows):
+    n = mixing.MOST_SOURCES + 500
+    data = [(i, f"web{i}", "t" * (i % 50)) for i in range(n)] + [(n + i, "hot", "h" * 400) for i in range(1000)]
+    df = rows(data, "doc_id long, source string, text string")
+    got = df.sparkSession.createDataFrame(mixing.mix(df).toPandas()).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(data))) and all(r["in_mix"] for r in got)
+    slots = {}
+    for r in got:
+        assert slots.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
+    assert sorted(slots) == list(range(len(slots)))
+    given = mixing.mix(df, {"hot": 1.0, "web7": 1.0}).where("in_mix").select("source").distinct().collect()
+    assert {r["source"] for r in given} <= {"hot", "web7"} and given
+
+
+def test_mix_spreads_pooled_sources(rows, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    data = [(i, f"s{i % 40}" if i % 2 else "hot", "t" * 84) for i in range(1600)]
+    got = mixing.mix(rows(data, "doc_id long, source string, text string"), block_bytes=200).collect()
+    slots = {r["slot"]: (r["source"], r["block"]) for r in got}
+    assert len(got) == len(data) and sorted(slots) == list(range(len(slots))) and all(r["in_mix"] for r in got)
+    first = [slots[t][0] for t in range(len(slots) // 2)]
+    for s in {f"s{i}" for i in range(1, 40, 2)}:
+        assert abs(first.count(s) - sum(v[0] == s for v in slots.values()) / 2) < 5

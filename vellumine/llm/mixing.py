@@ -19,21 +19,24 @@ from vellumine.llm.ranks import ranked
 
 #: Bytes of a block at least, and blocks at most (besides one for each source): the schedule's bound.
 BLOCK_BYTES, MOST_BLOCKS = 4 << 10, 20000
-#: Sources that a mix may have.
+#: Sources that are scheduled one by one when weights are not given; what is beyond goes into the pool.
 MOST_SOURCES = 10000
 #: Shares are taken as bytes to this power unless weights are given: small sources count for more.
 TEMPER = 0.9
 #: A mix by given weights ends where exhausted sources have more than this part of them.
 LOST_WEIGHT = 0.05
-_DENOMINATOR = 1 << 20
+_DENOMINATOR = 1 << 40
+#: Units of virtual time, and the rounding that comparisons leave out: two times that differ do so by far more.
+_UNIT, _SLACK = 1 << 160, 1 << 60
+_POOL = "p"
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, float], lost: float = LOST_WEIGHT) -> list[tuple[str, int, int, bool]]:
     """(source, block, slot, in_mix) of all blocks.
 
-    Weights are scaled to sum to one over the sources that have blocks left; when a source runs dry the
-    rest start anew with theirs. Blocks are in the mix up to the slot at which sources with more than
-    ``lost`` of the weight have run dry. Sources without a positive weight come last and stay out of the mix.
+    Weights are scaled to sum to one over the sources that have blocks left: virtual time then passes
+    faster. Blocks are in the mix up to the slot at which sources with more than ``lost`` of the weight
+    have run dry. Sources without a positive weight come last and stay out of the mix.
     """
     left = {s: n for s, n in blocks.items() if n > 0 and weights.get(s, 0) > 0}
     total = sum(weights[s] for s in left)
@@ -41,26 +44,27 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], lost: float = LO
     parts = {s: max(round(weights[s] / total * _DENOMINATOR), 1) for s in left} if left else {}
     placed = dict.fromkeys(left, 0)
     out: list[tuple[str, int, int, bool]] = []
-    gone, slot = 0.0, 0
-    while left:
-        whole = sum(parts[s] for s in left)
-        waiting = [(0, -(-whole // parts[s]), s, 0) for s in sorted(left)]
-        heapq.heapify(waiting)
-        ready: list[tuple[int, str, int]] = []
-        now, dry = 0, None
-        while dry is None:
-            while waiting and waiting[0][0] <= now:
-                _, due, s, k = heapq.heappop(waiting)
-                heapq.heappush(ready, (due, s, k))
-            _, s, k = heapq.heappop(ready)
-            out.append((s, placed[s], slot, gone <= lost))
-            placed[s] += 1
-            slot, now = slot + 1, now + 1
-            heapq.heappush(waiting, ((k + 1) * whole // parts[s], -(-(k + 2) * whole // parts[s]), s, k + 1))
-            if placed[s] == left[s]:
-                dry = s
-        gone += weights[dry] / total
-        del left[dry]
+    gone, slot, now, whole = 0.0, 0, 0, sum(parts.values())
+    waiting = [(0, s) for s in sorted(left)]
+    ready: list[tuple[int, str]] = []
+    while waiting or ready:
+        # a block is released in the slot within which its source's share reaches it
+        end = now + _UNIT // whole
+        if not ready and waiting[0][0] >= end - _SLACK:
+            now = waiting[0][0]
+            end = now + _UNIT // whole
+        while waiting and waiting[0][0] < end - _SLACK:
+            _, s = heapq.heappop(waiting)
+            heapq.heappush(ready, ((placed[s] + 1) * _UNIT // parts[s], s))
+        _, s = heapq.heappop(ready)
+        out.append((s, placed[s], slot, gone <= lost))
+        placed[s] += 1
+        slot, now = slot + 1, end
+        if placed[s] < left[s]:
+            heapq.heappush(waiting, (placed[s] * _UNIT // parts[s], s))
+        else:
+            gone += weights[s] / total
+            whole -= parts[s]
     for s in sorted(blocks):
         if blocks[s] > 0 and s not in placed:
             for k in range(blocks[s]):
@@ -95,17 +99,75 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     """
     # a weight for null is given under None
     rows = df.select(F.col(key).alias("_id"), F.col(source).alias("_source"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"), F.xxhash64(F.col(key)).alias("_key"), _name(source).alias("_name"))
-    totals = {r["_name"]: int(r["b"]) for r in rows.groupBy("_name").agg(F.sum("size").alias("b")).limit(MOST_SOURCES + 1).collect()}
+    sums = rows.groupBy("_name").agg(F.sum("size").alias("b"))
+    totals = {r["_name"]: int(r["b"]) for r in sums.limit(MOST_SOURCES + 1).collect()}
+    wanted = {("n" if s is None else f"s:{s}"): float(w) for s, w in weights.items()} if weights is not None else None
+    lost = math.inf if wanted is None else LOST_WEIGHT
     if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    size = max(block_bytes, -(-sum(totals.values()) // MOST_BLOCKS))
-    wanted = {("n" if s is None else f"s:{s}"): float(w) for s, w in weights.items()} if weights is not None else {s: b**TEMPER for s, b in totals.items()}
-    blocked = ranked(rows, "_name", "_key", "_id", "size").withColumn("block", F.expr(f"before div {size}").cast("long"))
+        out = _pooled(rows, sums, wanted, lost, block_bytes)
+    else:
+        size = max(block_bytes, -(-sum(totals.values()) // MOST_BLOCKS))
+        blocked = _blocked(rows, size)
+        plan = schedule(_lasts(blocked), {s: b**TEMPER for s, b in totals.items()} if wanted is None else wanted, lost)
+        table = df.sparkSession.createDataFrame(plan or [("", 0, 0, False)], "_name string, block long, slot long, in_mix boolean")
+        out = blocked.join(F.broadcast(table), ["_name", "block"])
+    return out.select(F.col("_id").alias(key), F.col("_source").alias(source), "size", "block", "slot", "in_mix")
+
+
+def _blocked(rows: DataFrame, size: int) -> DataFrame:
+    return ranked(rows, "_name", "_key", "_id", "size").withColumn("block", F.expr(f"before div {size}").cast("long"))
+
+
+def _lasts(blocked: DataFrame) -> dict[str, int]:
+    """The number of blocks of each source."""
     # a block is there if a row begins in it; a row longer than a block leaves numbers out
     counts = blocked.groupBy("_name", "block").agg(F.count("*").alias("n")).groupBy("_name").agg(F.max("block").alias("last"))
-    plan = schedule({r["_name"]: r["last"] + 1 for r in counts.collect()}, wanted, LOST_WEIGHT if weights is not None else math.inf)
-    table = df.sparkSession.createDataFrame(plan or [("", 0, 0, False)], "_name string, block long, slot long, in_mix boolean")
-    return blocked.join(F.broadcast(table), ["_name", "block"]).select(F.col("_id").alias(key), F.col("_source").alias(source), "size", "block", "slot", "in_mix")
+    return {r["_name"]: r["last"] + 1 for r in counts.collect()}
+
+
+def _pooled(rows: DataFrame, sums: DataFrame, wanted: dict[str, float] | None, lost: float, block_bytes: int) -> DataFrame:
+    """``rows`` with block, slot and in_mix where sources are too many for the driver.
+
+    Without ``wanted`` the MOST_SOURCES largest sources are named, else those with a positive weight, which
+    the caller holds. All others make a pool. A source's blocks are spread evenly over it from
+    a start by hash, so a source is less than one of its blocks off its share of the pool. Each block of a
+    source has a slot of its own.
+    """
+    spark = rows.sparkSession
+    whole = sums.agg(F.sum("b").alias("b"), F.sum(F.pow(F.col("b").cast("double"), F.lit(TEMPER))).alias("w")).first()
+    size = max(block_bytes, -(-int(whole["b"]) // MOST_BLOCKS))
+    if wanted is None:
+        weights = {r["_name"]: int(r["b"]) ** TEMPER for r in sums.orderBy(F.desc("b"), "_name").limit(MOST_SOURCES).collect()}
+        weights[_POOL] = max(whole["w"] - math.fsum(weights.values()), 1.0)
+    else:
+        weights = {s: w for s, w in wanted.items() if w > 0}
+    names = F.broadcast(spark.createDataFrame([(s,) for s in weights] or [("",)], "_name string"))
+    named = _blocked(rows.join(names, "_name", "left_semi"), size)
+    pool = _blocked(rows.join(names, "_name", "left_anti"), size)
+
+    units = pool.groupBy("_name", "block").agg(F.sum("size").alias("_bytes"))
+    counts = units.groupBy("_name").agg((F.max("block") + 1).alias("_blocks"))
+    start = (F.shiftrightunsigned(F.xxhash64("_name"), 12) / F.lit(float(1 << 52))).alias("_start")
+    spread = units.join(counts, "_name").withColumn("_at", ((((F.col("block") + start) / F.col("_blocks")) - 0.5) * float(1 << 63) * 2).cast("long"))
+    spread = spread.withColumn("_unit", F.concat_ws("/", F.col("block").cast("string"), "_name")).withColumn("_all", F.lit(0))
+    placed = ranked(spread, "_all", "_at", "_unit", "_bytes").withColumn("_in", F.expr(f"before div {size}").cast("long"))
+    width = {r["_in"]: (r["n"], r["first"]) for r in placed.groupBy("_in").agg(F.count("*").alias("n"), F.min("rank").alias("first")).collect()}
+
+    plan = schedule(_lasts(named) | {_POOL: max(width, default=-1) + 1}, weights, lost)
+    own, shared, slot = [], [], 0
+    for s, k, _, inside in plan:
+        if s != _POOL:
+            own.append((s, k, slot, inside))
+            slot += 1
+        elif k in width:
+            n, first = width[k]
+            shared.append((k, slot - first, inside))
+            slot += n
+    own_slots = F.broadcast(spark.createDataFrame(own or [("", 0, 0, False)], "_name string, block long, slot long, in_mix boolean"))
+    shared_slots = F.broadcast(spark.createDataFrame(shared or [(-1, 0, False)], "_in long, _offset long, in_mix boolean"))
+    slots = placed.join(shared_slots, "_in").select("_name", "block", (F.col("rank") + F.col("_offset")).alias("slot"), "in_mix")
+    kept = ["_id", "_source", "size", "block", "slot", "in_mix"]
+    return named.join(own_slots, ["_name", "block"]).select(*kept).unionByName(pool.join(slots, ["_name", "block"]).select(*kept))
 
 
 def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, **names) -> DataFrame:
