@@ -1,9 +1,9 @@
-"""Toxicity by compression distance: two zstandard dictionaries and window compression lengths.
+"""Toxicity by compression distance: a trained zstandard dictionary, telling parts of words, and window compression lengths.
 
 A window of words is compressed with a dictionary of ordinary text and with one of toxic text.
 What the second saves, in bytes, is the window's distance. A document's distances give a
-calibrated probability. The toxic dictionary holds the passages of toxic texts that ordinary texts
-lack behind the same common text, since a toxic text is ordinary but for a few words. Both dictionaries and every window end
+calibrated probability. The toxic dictionary is not trained: it holds the parts of words of toxic texts that
+ordinary texts lack behind the same common text, since a toxic text is ordinary but for a few words. Both dictionaries and every window end
 with one anchor: a window then always has a match, so neither length falls back to raw storage,
 which would hide a short match.
 
