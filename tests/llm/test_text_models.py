@@ -25,8 +25,9 @@ def test_toxicity_on_held_out_rows(spark):
     got = op3_toxicity(spark, SF).toPandas().merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]).all()
     held = got[got["held_out"]]
-    assert area(held["score"].to_numpy(), held["toxic"].to_numpy()) > 0.88
-    assert (held["predicted"] == held["toxic"]).mean() > 0.9
+    assert area(held["score"].to_numpy(), held["toxic"].to_numpy()) > 0.92
+    right = ((held["predicted"] == 1) & (held["toxic"] == 1)).sum()
+    assert right / held["toxic"].sum() > 0.55 and right / held["predicted"].sum() > 0.8
     assert ((got["predicted"] == 1) == (got["score"] >= 0.5)).all() and got["score"].between(0, 1).all()
 
 
@@ -38,22 +39,51 @@ def test_toxicity_of_planted_words(rows):
     docs = rows([(i, t) for i, t, _ in train], "doc_id long, text string")
     labels = rows([(i, y) for i, _, y in train] + [(None, 1), (9999, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert b"zorgblat" in model.toxic
+    assert b"zorgbla" in model.toxic
     df = rows([(1, text(1), "s"), (2, text(0), "s"), (3, None, None), (4, "", "s"), (5, "zorgblat", "s"), (6, "x" * 500_000, "s"), (2, text(0), "s")], "doc_id long, text string, score string")
     got = toxicity.with_toxicity(df, model).collect()
     score = {r["doc_id"]: r["score"] for r in got}
     assert len(got) == 7 and score[1] > 0.5 > score[2] and score[3] == score[4] and all(0 <= s <= 1 for s in score.values())
     long = (" ".join(rng.choice(plain) for _ in range(150_000)) + " " + "zorgblat " * 40).encode()
-    assert b"".join(toxicity._slices(long)) == long and max(map(len, toxicity._slices(long))) <= 256 << 10
-    assert b"".join(toxicity._slices(b"x" * 600_000)) == b"x" * 600_000
-    found = toxicity.features([long, long[:-361]], model.ordinary, model.toxic)
-    assert found[0, 0] > found[1, 0] and found[0, 3] > found[1, 3]
+    (top, levels), (plain_top, _) = (toxicity.savings(t, model.ordinary, model.toxic) for t in (long, long[:-361]))
+    assert top[0] > plain_top[0] and levels.sum() == -(-(150_040 - 1) // toxicity.STEP)
     kept = toxicity.drop_toxic(df, model)
     assert kept.columns == df.columns and 1 not in {r["doc_id"] for r in kept.collect()}
     nothing = toxicity.fit(rows([], "doc_id long, text string"), rows([], "doc_id long, toxic int"))
     assert all(0 < r["score"] < 0.5 for r in toxicity.with_toxicity(df, nothing).collect())
 
 
+@pytest.mark.parametrize("size", [1, 7, 100, 10_000])
+def test_windows_stand_on_one_grid(size, monkeypatch):
+    rng = random.Random(size)
+    read = toxicity._words
+    monkeypatch.setattr(toxicity, "_words", lambda text: read(text, size))
+    for n in (0, 1, 2, 5, 6, 7, 11, 12, 300):
+        words = [b"".join(rng.choice([b"a", b"B", b"\xc3\xa9"]) for _ in range(rng.randint(1, 9))) for _ in range(n)]
+        text = b" \n".join(words)
+        want = [b" ".join(words[i : i + toxicity.WINDOW]).lower() for i in range(0, max(n - 1, 1), toxicity.STEP)] if n else []
+        assert [w.removesuffix(toxicity.ANCHOR).strip() for part in toxicity._windows(text, 3) for w in part] == want
+        seen = [tuple(x[i - 1 : i + 3]) for x in toxicity._stretches(text) for i in range(1, len(x) - 2)]
+        padded = [b"", *(w.lower() for w in words), b"", b""]
+        assert seen == [tuple(padded[i - 1 : i + 3]) for i in range(1, n + 1)]
+    whole = bytes(rng.randrange(97, 123) for _ in range(3000))
+    pieces = [w for found in read(whole) for w in found]
+    assert all(any(whole[i : i + toxicity.OVERLAP] in p for p in pieces) for i in range(len(whole) - toxicity.OVERLAP + 1))
+    assert max(map(len, pieces)) <= toxicity.LONGEST_WORD
+
+
+def test_toxicity_of_a_phrase_of_ordinary_words(rows):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 5))) for _ in range(3000)] + ["balom", "kurst"]
+    words = lambda n: [rng.choice(plain) for _ in range(n)]
+    text = lambda bad: " ".join(words(40) + ["balom kurst" if bad else "balom"] * 2 + words(20) + ["kurst"] * 2 + words(40))
+    train = [(i, text(i % 2 == 0), int(i % 2 == 0)) for i in range(400)]
+    model = toxicity.fit(rows([(i, t) for i, t, _ in train], "doc_id long, text string"), rows([(i, y) for i, _, y in train], "doc_id long, toxic int"))
+    assert b"balom kur" in model.toxic
+    score = toxicity.scores([text(k % 2).encode() for k in range(40)], model)
+    assert sum((s >= 0.5) == k % 2 for k, s in enumerate(score)) > 32
+
+
 def test_toxicity_learns_from_whole_texts(rows):
     rng = random.Random(2)
     plain = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rst", "lom", "ter")]
@@ -62,7 +92,7 @@ def test_toxicity_learns_from_whole_texts(rows):
     train = [(i, text(i % 2 == 0), int(i % 2 == 0)) for i in range(160)]
     assert min(len(t.split(" zorgblat")[0]) for _, t, y in train if y) > 24 << 10
     model = toxicity.fit(rows([(i, t) for i, t, _ in train], "doc_id long, text string"), rows([(i, y) for i, _, y in train], "doc_id long, toxic int"))
-    assert b"zorgblat" in model.toxic
+    assert b"zorgbla" in model.toxic
     held = [text(k % 2) for k in range(20)]
     assert [int(s >= 0.5) for s in toxicity.scores([t.encode() for t in held], model)] == [k % 2 for k in range(20)]
 
