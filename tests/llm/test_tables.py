@@ -71,8 +71,59 @@ def test_longest_matches(rows):
     item = " ".join(f"w{i}" for i in range(30))
     docs = rows([(1, "pre x, " + item.upper() + " post"), (2, " ".join(f"w{i}" for i in range(5, 20)) + " other " + " ".join(f"w{i}" for i in range(15, 30)))], "doc_id long, text string")
     got = sorted(map(tuple, decontaminate.longest_matches(docs, rows([(7, item)], "item_id long, text string")).collect()))
-    assert [r[:5] for r in got] == [(1, "7", 0, 2, 30), (2, "7", 5, 0, 15), (2, "7", 15, 16, 15)]
-    assert got[0][5] == 7 and got[0][6] == 7 + len(item)
+    assert [r[:5] for r in got] == [("7", k, 30 - k, 1, 2 + k) for k in range(21)]
+    assert got[0][5:] == (7, 7 + len(item))
+
+
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_longest_matches_equal_brute_force(rows, block):
+    docs, items = case()
+    docs = [d for d in docs if d[0] != 503] + [(503, "x " * 400 + "alpha beta")]
+    got = sorted(map(tuple, decontaminate.longest_matches(rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string"), block_bytes=block).select("item_id", "item_word", "n_words", "doc_id", "doc_word").collect()), key=str)
+    held, want = [(d, item_words(t)) for d, t in docs], []
+    for i, t in items:
+        w = item_words(t)
+        for k in range(max(len(w) - 9, 1) if w else 0):
+            best = None
+            for d, v in held:
+                for p in range(len(v)):
+                    n = 0
+                    while k + n < len(w) and p + n < len(v) and w[k + n] == v[p + n]:
+                        n += 1
+                    if n >= min(len(w), 10) and (best is None or (-n, d is None, d or 0, p) < best):
+                        best = (-n, d is None, d or 0, p)
+            if best:
+                want.append((None if i is None else str(i), k, -best[0], None if best[1] else best[2], best[3]))
+    assert got == sorted(want, key=str)
+
+
+def test_parts_of_a_long_document(rows, monkeypatch):
+    docs, items = case()
+    want = contaminated(docs, items)
+    for size in (1, 9, 10, 64):
+        monkeypatch.setattr(decontaminate, "PART_WORDS", size)
+        of = decontaminate.prepare([None if i is None else str(i) for i, _ in items], [None if t is None else t.encode() for _, t in items])
+        found, place, which = decontaminate._searched([(t or "").encode()[:6000] for _, t in docs], of, 10)
+        covered = decontaminate._covered(len(found.hashes), place, of.sizes[which])
+        total = [0, *covered.cumsum()]
+        hits = [total[b] - total[a] for a, b in zip(found.offsets, found.offsets[1:], strict=False)]
+        short = contaminated([(d, (t or "")[:6000]) for d, t in docs], items)
+        assert sorted(hits) == sorted(r[2] for r in short)
+    assert want
+
+
+def test_words_whose_hashes_meet(monkeypatch):
+    items = decontaminate.prepare(["1"], [b"a b c d e f g h i j"])
+    good = decontaminate.words
+    def clash(texts, kinds):  # z has the hash of a
+        found, one = good(texts, kinds), good([b"a z"], kinds).hashes
+        found.hashes[found.hashes == one[1]] = one[0]
+        return found
+    monkeypatch.setattr(decontaminate, "words", clash)
+    _, place, _ = decontaminate._searched([b"z b c d e f g h i j", b"a b c d e f g h i j"], items, 10)
+    assert place.tolist() == [10]
+    with pytest.raises(ValueError, match="share a hash"):
+        decontaminate.prepare(["1"], [b"a z"])
 
 
 def test_no_documents_or_items(rows):
@@ -274,3 +325,31 @@ def test_mix_spreads_pooled_sources(rows, monkeypatch):
     first = [slots[t][0] for t in range(len(slots) // 2)]
     for s in {f"s{i}" for i in range(1, 40, 2)}:
         assert abs(first.count(s) - sum(v[0] == s for v in slots.values()) / 2) < 5
+
+
+def test_memory_of_a_large_benchmark_and_a_long_text():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from vellumine.llm import decontaminate as D
+rss = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+r = random.Random(1)
+words = [bytes(r.choices(b"abcdefgh", k=r.randint(1, 9))) for _ in range(30000)]
+text = b" ".join(r.choices(words, k=300000))
+items, held = [], 0
+while held < 16 << 20:
+    at = r.randrange(len(text) - 400)
+    items.append((str(len(items)), text[at : at + 400] + b" z%d" % len(items)))
+    held += 405
+before = rss()
+of = D.prepare([a for a, _ in items], [b for _, b in items])
+D._searched([text], of, 10)
+large = rss() - before
+D._searched([b"word " * 400_000], D.prepare(["1"], [b"word " * 12]), 10)
+print(large, rss() - before)
+"""
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=decontaminate.__file__.rsplit("/vellumine/", 1)[0], check=True)
+    large, both = map(int, made.stdout.split())
+    assert large < 1000 and both < 1000

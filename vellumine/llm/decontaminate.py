@@ -1,12 +1,14 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Documents are read in shards of bounded bytes. Each shard gets a suffix array over its words, and
-every suffix of every benchmark item is looked up in it by binary search: the interval that shares
-a whole window with the item's suffix gives all places of that window, the neighbours of the place
-give the longest verbatim match and where it lies. Nothing is shuffled: the documents stay where
-they are, and the benchmark goes to them in blocks of bounded bytes.
-
-A shard's array leaves out suffixes whose first words start no item suffix. They can't match.
+Documents are read in shards of bounded bytes. Each shard gets the suffix array of its words, by
+doubling: the ranks of all runs of 1, 2, 4, ... words, and from them the order of all suffixes. Every
+suffix of every benchmark item is looked up in it by binary search, first its words, then runs
+of twice the length, as long as all of a window's runs are there; the window's interval in the array is
+all its places in the shard. Longer matches narrow that interval further, down to the suffixes that share
+most words with the item's. Ranks stand for words whose 64-bit hashes are equal; words inside
+matches are then compared byte by byte.
+
+Nothing is shuffled: the documents stay where they are, and the benchmark goes to them in blocks of bounded bytes.
 """
 
 from __future__ import annotations
@@ -14,161 +16,270 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.arrow import by_bytes, bounded_batches, utf8
-from vellumine.llm.words import ALNUM, Words, mix, words
+from vellumine.llm.arrow import bounded_batches, utf8
+from vellumine.llm.words import ALNUM, Words, words
 from vellumine.session import cut
 
 #: Words of a window.
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one pass over the documents carries; a larger benchmark takes more passes.
 BENCHMARK_BYTES = 16 << 20
-SHARD_BYTES = 1 << 19
-#: Words that a suffix must share with the start of an item suffix to enter the array, at most the window.
-_LEAD = 3
+#: Bytes of documents in a shard, and words of a part of a longer document.
+SHARD_BYTES, PART_WORDS = 6 << 20, 1 << 20
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
-@dataclass
-class Items:
-    """A block of the benchmark: ids, words, and for each window where it starts and how long it is."""
 
-    ids: list
-    found: Words
-    starts: np.ndarray  # first word of each window
-    sizes: np.ndarray
-    item: np.ndarray  # index of the item of each window
-    leads: dict[int, np.ndarray]  # hashes of the first words of windows, by their number
-
-
-def _runs(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` words, as long as ``h``; runs over the end are zero."""
-    out = np.zeros(len(h), dtype=np.uint64)
-    n = len(h) - size + 1
-    if n > 0:
-        total = np.zeros(n, dtype=np.uint64)
-        for k in range(size):
-            total = mix(total + h[k : k + n])
-        out[:n] = total
-    return out
+# --- suffix arrays --------------------------------------------------------------------------
 
 
-def prepare(ids: list, texts: list[bytes | None], window: int = WINDOW) -> Items:
-    found = words([t or b"" for t in texts], ALNUM)
-    counts = found.counts()
-    n = np.where(counts >= window, counts - window + 1, np.minimum(counts, 1))
-    item = np.repeat(np.arange(len(texts)), n)
-    starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + found.offsets[:-1][item]
-    sizes = np.minimum(counts, window)[item]
-    leads = {}
-    for lead in range(1, _LEAD + 1):
-        # windows shorter than _LEAD are led by all their words
-        mine = starts[np.minimum(sizes, _LEAD) == lead]
-        if len(mine):
-            leads[lead] = np.unique(_runs(found.hashes, lead)[mine])
-    return Items(ids, found, starts, sizes, item, leads)
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``key`` in order, and each value's number among them from 1."""
+    distinct, rank = np.unique(key, return_inverse=True)
+    return distinct, rank.astype(np.int64) + 1
 
 
 class SuffixArray:
-    """Suffixes of a shard's words that can match, in order; texts end with a mark no item has."""
-
-    def __init__(self, hashes: np.ndarray, text_of: np.ndarray, end_of: np.ndarray, at: np.ndarray, depth: int):
-        self.hashes, self.end_of, self.depth = hashes, end_of, depth
-        self.text_of = text_of
-        columns = [self.word(at, k) for k in range(depth)]
-        order = np.lexsort(columns[::-1])
-        self.at = at[order]
-
-    def word(self, at: np.ndarray, k: int) -> np.ndarray:
-        """The k-th word of suffixes, 0 behind their text's end."""
-        place = at + k
-        inside = place < self.end_of[at]
-        return np.where(inside, self.hashes[np.minimum(place, len(self.hashes) - 1)], np.uint64(0))
-
-    def interval(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of words: the suffixes that start with it, as begin and end. Rows end with zeros where short."""
-        n = len(query)
-        lo, hi = np.zeros(n, np.int64), np.full(n, len(self.at), np.int64)
-        for k in range(query.shape[1]):
-            key, on = query[:, k], query[:, k] != 0
-            lo = np.where(on, self._bound(k, key, lo, hi, False), lo)
-            hi = np.where(on, self._bound(k, key, lo, hi, True), hi)
-        return lo, hi
-
-    def _bound(self, k: int, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: bool) -> np.ndarray:
-        """Binary search, for all queries at once, among suffixes that share the first k words."""
-        lo, hi = lo.copy(), hi.copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                return lo
+    """All suffixes of the words of some texts, in the order of their first ``depth`` words.
+
+    ``levels[j]`` has the distinct runs of 2**j words in order, as pairs of ranks of half that length, and the
+    rank of the run that begins at each word; runs that a text's end cuts short are there too, with 0 for missing halves.
+    """
+
+    def __init__(self, hashes: np.ndarray, offsets: np.ndarray, depth: int):
+        self.n, self.depth = len(hashes), depth
+        self.end = np.repeat(offsets[1:], np.diff(offsets))
+        self.levels = [_ranked(hashes)]
+        while 2 << (len(self.levels) - 1) <= depth:
+            self.levels.append(_ranked(self._pair(len(self.levels) - 1, 1 << (len(self.levels) - 1))))
+
+    def _pair(self, level: int, step: int) -> np.ndarray:
+        """The ranks at each word and ``step`` words behind it as one number."""
+        distinct, rank = self.levels[level]
+        key = rank * np.int64(len(distinct) + 1)
+        if step < self.n:
+            inside = np.flatnonzero(np.arange(step, self.n) < self.end[: self.n - step])
+            key[inside] += rank[inside + step]
+        return key
+
+    def key(self, size: int) -> np.ndarray:
+        """A number for the first ``size`` words of each suffix, in their order: two runs that overlap make them up."""
+        level = size.bit_length() - 1
+        return self._pair(level, size - (1 << level)) if size > 1 << level else self.levels[level][1]
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        """The suffixes in order."""
+        return np.argsort(self.key(self.depth), kind="stable")
+
+    def find(self, level: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The ranks of runs of 2**level words, given by the ranks of their halves; 0 where the shard has none."""
+        distinct = self.levels[level][0]
+        wanted = first * np.int64(len(self.levels[level - 1][0]) + 1) + second
+        place = np.minimum(np.searchsorted(distinct, wanted), len(distinct) - 1)
+        return np.where((distinct[place] == wanted) & (first > 0) & (second > 0), place + 1, 0)
+
+    def interval(self, size: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For keys of ``size`` words: the suffixes that begin with them, as begin and end in the array."""
+        ordered = self.key(size)[self.at]
+        return np.searchsorted(ordered, wanted, "left"), np.searchsorted(ordered, wanted, "right")
+
+    def narrowed(self, lo: np.ndarray, hi: np.ndarray, skip: np.ndarray, level: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Binary search within intervals whose suffixes share ``skip`` words: those whose next run of 2**level words has the rank ``wanted``."""
+        return self._bound(lo, hi, skip, level, wanted, False), self._bound(lo, hi, skip, level, wanted, True)
+
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, skip: np.ndarray, level: int, wanted: np.ndarray, after: bool) -> np.ndarray:
+        lo, hi, rank = lo.copy(), hi.copy(), self.levels[level][1]
+        while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) // 2
-            value = self.word(self.at[mid], k)
-            left = (value <= key[open_]) if after else (value < key[open_])
+            place = self.at[mid]
+            behind = place + skip[open_]
+            value = np.where(behind < self.end[place], rank[np.minimum(behind, self.n - 1)], 0)
+            left = (value <= wanted[open_]) if after else (value < wanted[open_])
             lo[open_[left]] = mid[left] + 1
             hi[open_[~left]] = mid[~left]
+        return lo
+
+
+# --- the benchmark --------------------------------------------------------------------------
+
+
+@dataclass
+class Items:
+    """A block of the benchmark. Windows are distinct; arrays with one entry a word count in 32 bits."""
+
+    ids: list[str]  # distinct, sorted
+    offsets: np.ndarray  # of each row's words
+    rows: np.ndarray  # index of each row's id, -1: null
+    word: np.ndarray  # number of each word in the vocabulary
+    vocabulary: np.ndarray  # distinct hashes, in order
+    spelled: np.ndarray  # bytes of the vocabulary, one word after the other
+    spelled_at: np.ndarray
+    starts: np.ndarray  # first word of each window, where it first stands
+    sizes: np.ndarray
+    held: np.ndarray  # ids of each window, one window after the other
+    held_at: np.ndarray
+
 
+def _spelling(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowered bytes of words, one after the other, and where each begins."""
+    n = ends - starts
+    at = np.concatenate([[0], np.cumsum(n)])
+    return _LOWER[joined[np.arange(at[-1]) - np.repeat(at[:-1] - starts, n)]], at
 
-def shard_array(texts: list[bytes], items: Items, window: int = WINDOW) -> tuple[Words, SuffixArray | None]:
+
+def _windows(counts: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and size of every window of the rows."""
+    n = np.where(counts >= window, counts - window + 1, np.minimum(counts, 1))
+    row = np.repeat(np.arange(len(counts)), n)
+    return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + offsets[:-1][row], np.minimum(counts, window)[row]
+
+
+def prepare(ids: list[str | None], texts: list[bytes | None], window: int = WINDOW) -> Items:
+    """A block of benchmark rows, ready to be looked up. Raises ValueError if two of its words share a 64-bit hash."""
+    texts = [t or b"" for t in texts]
     found = words(texts, ALNUM)
-    h = found.hashes
-    if not len(h) or not len(items.starts):
-        return found, None
-    counts = found.counts()
-    text_of = np.repeat(np.arange(len(texts)), counts)
-    end_of = np.repeat(found.offsets[1:], counts)
-    can = np.zeros(len(h), dtype=bool)
-    for lead, heads in items.leads.items():
-        run = _runs(h, lead)
-        at = np.minimum(np.searchsorted(heads, run), len(heads) - 1)
-        can |= (heads[at] == run) & (np.arange(len(h)) + lead <= end_of)
-    at = np.flatnonzero(can)
-    return found, SuffixArray(h, text_of, end_of, at, window) if len(at) else None
-
-
-def _queries(items: Items, window: int) -> np.ndarray:
-    k = np.arange(window)
-    place = items.starts[:, None] + k[None, :]
-    inside = k[None, :] < items.sizes[:, None]
-    return np.where(inside, items.found.hashes[np.minimum(place, len(items.found.hashes) - 1)], np.uint64(0))
+    joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    vocabulary, first, word = np.unique(found.hashes, return_index=True, return_inverse=True)
+    spelled, spelled_at = _spelling(joined, found.starts[first], found.ends[first])
+    names = sorted({i for i in ids if i is not None})
+    number = {name: k for k, name in enumerate(names)}
+    rows = np.array([-1 if i is None else number[i] for i in ids], dtype=np.int32)
+    row, starts, sizes = _windows(found.counts(), found.offsets, window)
+    items = Items(names, found.offsets, rows, word.astype(np.int32), vocabulary, spelled, spelled_at, starts, sizes, rows[:0], starts[:0])
+    if not _spelled_alike(joined, found, np.arange(len(word)), items, word).all():
+        raise ValueError("two words of the benchmark share a hash")
+    # windows of one size are the same where their keys are
+    array = SuffixArray(word.astype(np.uint64), found.offsets, window)
+    key = np.zeros(len(starts), dtype=np.int64)
+    for size in np.unique(sizes):
+        own = sizes == size
+        key[own] = array.key(int(size))[starts[own]]
+    order = np.lexsort((rows[row], key, sizes))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+    of, held = np.cumsum(new) - 1, rows[row][order]
+    named = held >= 0
+    named[1:] &= new[1:] | (held[1:] != held[:-1])
+    items.starts, items.sizes = starts[order][new].astype(np.int32), sizes[order][new].astype(np.int32)
+    items.held, items.held_at = held[named], np.concatenate([[0], np.cumsum(np.bincount(of[named], minlength=int(new.sum())))])
+    return items
+
+
+def _spelled_alike(joined: np.ndarray, found: Words, place: np.ndarray, items: Items, word: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """Whether each of the words at ``place`` has the bytes of the vocabulary's ``word``; ``most`` are compared at a time."""
+    if len(place) > most:
+        return np.concatenate([_spelled_alike(joined, found, place[i : i + most], items, word[i : i + most]) for i in range(0, len(place), most)])
+    starts, n = found.starts[place], found.ends[place] - found.starts[place]
+    alike = n == (items.spelled_at[word + 1] - items.spelled_at[word])
+    own = np.flatnonzero(alike)
+    bytes_, at = _spelling(joined, starts[own], starts[own] + n[own])
+    theirs = items.spelled[np.arange(at[-1]) - np.repeat(at[:-1] - items.spelled_at[word[own]], n[own])]
+    wrong = np.concatenate([[0], np.cumsum(bytes_ != theirs)])
+    alike[own] = wrong[at[1:]] == wrong[at[:-1]]
+    return alike
+
+
+def _within(bad: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether runs of ``n`` places from ``starts`` hold a place that is ``bad``."""
+    total = np.concatenate([[0], np.cumsum(bad)])
+    return total[starts + n] > total[starts]
+
+
+def _ranks(array: SuffixArray, items: Items) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The windows whose runs the array has at every level, and for each level the ranks of the runs that begin at each item word.
+
+    A rank is 0 where the array has no such run or no window that is left needs it.
+    """
+    distinct = array.levels[0][0]
+    place = np.minimum(np.searchsorted(distinct, items.vocabulary), len(distinct) - 1)
+    ranks = [np.where(distinct[place] == items.vocabulary, place + 1, 0)[items.word]]
+    live = np.flatnonzero(~_within(ranks[0] == 0, items.starts, items.sizes))
+    for level in range(1, len(array.levels)):
+        run = 1 << level
+        longer = live[items.sizes[live] >= run]
+        starts, n = items.starts[longer], items.sizes[longer] - run + 1
+        step = np.bincount(starts, minlength=len(items.word) + 1) - np.bincount(starts + n, minlength=len(items.word) + 1)
+        need = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        rank = np.zeros(len(items.word), dtype=np.int64)
+        rank[need] = array.find(level, ranks[-1][need], ranks[-1][need + run // 2])
+        ranks.append(rank)
+        gone = longer[_within(rank == 0, starts, n)]
+        live = live[~np.isin(live, gone, assume_unique=True)]
+    return live, ranks
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every (query, position) of the intervals."""
+    """Every (number, place) of the intervals."""
     n = hi - lo
     which = np.repeat(np.arange(len(lo)), n)
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
-def occurrences(texts: list[bytes], items: Items, window: int = WINDOW) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a shard, and all places of windows in it: text, first word in the shard, window."""
-    found, array = shard_array(texts, items, window)
-    if array is None:
-        none = np.zeros(0, np.int64)
-        return found, none, none, none
-    lo, hi = array.interval(_queries(items, window))
-    which, rank = _spread(lo, hi)
-    place = array.at[rank]
-    return found, array.text_of[place], place, which
+def _looked_up(array: SuffixArray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The windows that the array has, their intervals in it, and the ranks of item runs."""
+    live, ranks = _ranks(array, items)
+    lo, hi = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+    for size in np.unique(items.sizes[live]):
+        own = np.flatnonzero(items.sizes[live] == size)
+        starts, level = items.starts[live[own]], int(size).bit_length() - 1
+        wanted = ranks[level][starts].astype(np.int64)
+        if size > 1 << level:
+            wanted = wanted * (len(array.levels[level][0]) + 1) + ranks[level][starts + size - (1 << level)]
+        lo[own], hi[own] = array.interval(int(size), wanted)
+    return live, lo, hi, ranks
+
 
+def occurrences(found: Words, joined: np.ndarray, items: Items, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """All places of windows in a shard: the first word's number in the shard, and the window.
 
-def _hits(found: Words, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Words inside windows, per text."""
-    step = np.zeros(len(found.hashes) + 1, dtype=np.int64)
-    np.add.at(step, place, 1)
-    np.add.at(step, place + sizes, -1)
-    total = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
-    return total[found.offsets[1:]] - total[found.offsets[:-1]]
+    A shard of more than PART_WORDS words goes through in parts that overlap by a window, so that the array
+    of one very long document stays bounded.
+    """
+    total, places, windows = len(found.hashes), [], []
+    for begin in range(0, total if len(items.starts) else 0, PART_WORDS):
+        end = min(begin + PART_WORDS + window - 1, total)
+        offsets = np.clip(found.offsets, begin, end) - begin
+        array = SuffixArray(found.hashes[begin:end], offsets, window)
+        live, lo, hi, _ = _looked_up(array, items)
+        which, rank = _spread(lo, hi)
+        place = array.at[rank] + begin if len(rank) else rank
+        first = place < begin + PART_WORDS
+        places.append(place[first])
+        windows.append(live[which[first]])
+    place, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, windows))
+    covered = np.flatnonzero(_covered(total, place, items.sizes[of]))
+    word = np.searchsorted(items.vocabulary, found.hashes[covered])
+    alike = _spelled_alike(joined, found, covered, items, word) if len(covered) else np.ones(0, bool)
+    if not alike.all():  # other words with the hashes of the benchmark's: they match nothing
+        bad = np.zeros(total, dtype=bool)
+        bad[covered[~alike]] = True
+        found.hashes[bad] = next(x for x in range(len(items.vocabulary) + 1) if x not in items.vocabulary)
+        right = ~_within(bad, place, items.sizes[of])
+        place, of = place[right], of[right]
+    return place, of
+
+
+def _covered(n: int, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each of ``n`` words is inside a run of ``sizes`` words from ``place``."""
+    step = np.bincount(place, minlength=n + 1) - np.bincount(place + sizes, minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
+
+
+# --- DataFrames -----------------------------------------------------------------------------
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[tuple[list, list[bytes | None]]]:
-    """The benchmark's rows in blocks of about ``most`` bytes, each fetched by itself."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text"))
+    """The distinct rows of the benchmark in blocks of about ``most`` bytes, each fetched by itself."""
+    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-int(total) // most) or 1
     for k in range(n):
@@ -177,6 +288,31 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterato
         yield [r["id"] for r in fetched], [None if r["text"] is None else r["text"].encode() for r in fetched]
 
 
+def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Table, list[bytes]]]:
+    """Rows in shards of about SHARD_BYTES, with their texts (null: empty)."""
+    held: list[pa.RecordBatch] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        begin = 0
+        for i, value in enumerate(utf8(batch.column(batch.schema.get_field_index(text)))):
+            value = value or b""
+            if size and size + len(value) > SHARD_BYTES:
+                held.append(batch.slice(begin, i - begin))
+                yield pa.Table.from_batches(held), texts
+                held, texts, size, begin = [], [], 0, i
+            texts.append(value)
+            size += len(value) + 1
+        held.append(batch.slice(begin))
+    if texts:
+        yield pa.Table.from_batches(held), texts
+
+
+def _searched(texts: list[bytes], items: Items, window: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    found = words(texts, ALNUM)
+    return found, *occurrences(found, np.frombuffer(b" ".join([*texts, b""]), np.uint8), items, window)
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
     """Per row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -184,19 +320,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     is ``window`` consecutive words of an item, or a whole shorter item that isn't empty. n_hit counts the
     document's words inside any occurrence of any window; n_items the distinct item ids with an
     occurrence; items_sha256 is of those ids as strings, sorted, joined by commas (of nothing if there
-    are none). Null texts have no words, null item ids are left out of the ids, rows that
-    repeat are each judged. A benchmark of more than ``block_bytes`` takes several passes over the
-    documents; their spans then meet by document.
+    are none). Null and empty texts have no words, null item ids are left out of the ids, rows that
+    repeat are each judged, other columns are ignored. A benchmark of more than ``block_bytes`` takes several
+    passes over the documents; their spans then meet by document.
     """
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    passes = [_pass(rows, prepare(ids, texts, window), window) for ids, texts in _blocks(benchmark, "item_id", "text", block_bytes)]
-    if len(passes) == 1:
-        return passes[0].select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    blocks = _blocks(benchmark, "item_id", "text", block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _pass(rows, prepare(*first, window), window, False)
+    passes = [_pass(rows, prepare(*block, window), window, True) for block in (first, second, *blocks)]
     # Each pass saw the same rows: a row stands in all of them as often as it repeats.
     met = reduce(DataFrame.unionAll, passes).groupBy("doc_id", "digest").agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("b", "e")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         (F.count("*") / len(passes)).cast("int").alias("copies"),
     )
@@ -211,106 +349,143 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return met.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-_PASS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, digest string, spans array<struct<b:long,e:long>>, items array<string>"
+_JUDGED = {"doc_id": "long", "n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
+_PARTIAL = {"doc_id": "long", "n_words": "long", "digest": "string", "b": "array<long>", "e": "array<long>", "items": "array<string>"}
+
+
+def _named(of: np.ndarray, window: np.ndarray, items: Items, n: int) -> list[np.ndarray]:
+    """The numbers of the ids whose windows stand in each of ``n`` texts, in order."""
+    out = [items.held[:0]] * n
+    pair = np.unique(of * np.int64(len(items.starts) + 1) + window)
+    text, window = np.divmod(pair, len(items.starts) + 1)
+    edges = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])) if len(text) else text
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        _, at = _spread(items.held_at[window[lo:hi]], items.held_at[window[lo:hi] + 1])
+        out[text[lo]] = np.unique(items.held[at])
+    return out
 
 
-def _pass(rows: DataFrame, items: Items, window: int) -> DataFrame:
-    """One pass over (doc_id, text) with one block of the benchmark."""
+def _pass(rows: DataFrame, items: Items, window: int, partial: bool) -> DataFrame:
+    """One pass over (doc_id, text) with one block of the benchmark; ``partial`` gives spans and ids instead of a verdict."""
     held = rows.sparkSession.sparkContext.broadcast(items)
-    schema = pa.schema(
-        [
-            ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()),
-            ("digest", pa.string()), ("spans", pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.string())),
-        ]
-    )
+    names = _PARTIAL if partial else _JUDGED
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = held.value
-        for batch in batches:
-            for first, texts in by_bytes(utf8(batch.column(1)), SHARD_BYTES):
-                found, text_of, place, which = occurrences(texts, of, window)
-                named: list[set[str]] = [set() for _ in texts]
-                pair = np.unique(text_of * np.int64(len(of.ids)) + of.item[which])
-                for t, i in zip(*np.divmod(pair, max(len(of.ids), 1)), strict=True):
-                    if of.ids[i] is not None:
-                        named[t].add(of.ids[i])
-                spans: list[list[dict]] = [[] for _ in texts]
-                for t, b, n in zip(text_of, place - found.offsets[text_of], of.sizes[which], strict=True):
-                    spans[t].append({"b": int(b), "e": int(b + n)})
-                hit = _hits(found, place, of.sizes[which])
-                ids = [sorted(x) for x in named]
-                columns = [
-                    batch.column(0).slice(first, len(texts)),
-                    found.counts(),
-                    hit,
-                    [len(x) for x in ids],
-                    [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids],
-                    hit > 0,
-                    [hashlib.sha256(t).hexdigest() for t in texts],
-                    spans,
-                    ids,
-                ]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return rows.mapInArrow(judge, _PASS)
+        for table, texts in _shards(batches, "text"):
+            found, place, which = _searched(texts, of, window)
+            covered = _covered(len(found.hashes), place, of.sizes[which])
+            named = _named(np.searchsorted(found.offsets, place, "right") - 1, which, of, len(texts))
+            ids = [[of.ids[k] for k in x] for x in named]
+            columns = [table.column("doc_id").combine_chunks(), found.counts()]
+            if partial:
+                columns += [[hashlib.sha256(t).hexdigest() for t in texts], *_spans(covered, found.offsets), ids]
+            else:
+                total = np.concatenate([[0], np.cumsum(covered)])
+                hit = total[found.offsets[1:]] - total[found.offsets[:-1]]
+                columns += [hit, [len(x) for x in ids], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], hit > 0]
+            kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+            made = [c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, k in zip(columns, names.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays(made, names=list(names))
+
+    return rows.mapInArrow(judge, ", ".join(f"{n} {k}" for n, k in names.items()))
+
+
+def _spans(covered: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Begins and ends, within their text, of the runs of covered words."""
+    before = np.concatenate([[False], covered[:-1]]) if len(covered) else covered
+    edge = np.zeros(len(covered) + 1, dtype=bool)
+    edge[offsets] = True
+    begin = np.flatnonzero(covered & (~before | edge[:-1]))
+    after = np.concatenate([covered[1:], [False]]) if len(covered) else covered
+    end = np.flatnonzero(covered & (~after | edge[1:])) + 1
+    at = np.searchsorted(begin, offsets)
+    first = np.repeat(offsets[:-1], np.diff(at))
+    return tuple(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x - first, pa.int64())) for x in (begin, end))
 
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
-    """The longest verbatim matches with their places: doc_id, item_id, item_word, doc_word, n_words, byte_start, byte_end.
+    """The longest verbatim match of each benchmark suffix in all documents: item_id, item_word, n_words, doc_id, doc_word, byte_start, byte_end.
 
-    One row for each run of at least ``window`` words (or a whole shorter item) that a document and an
-    item share and that can't grow to either side. Positions count words, bytes those of the document's UTF-8.
+    One row for each word of an item from which at least ``window`` words (or the whole shorter item) stand in
+    a document: how many stand there at most, and in which document, the smallest doc_id and then the first
+    place if there are several. Words count from 0, bytes are those of the document's UTF-8. Suffixes without a
+    match have no row; rows with the same id and text are one. The result is no larger than the benchmark.
     """
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return reduce(DataFrame.unionAll, [_matches(rows, prepare(ids, texts, window), window) for ids, texts in _blocks(benchmark, "item_id", "text", block_bytes)])
+    found = reduce(DataFrame.unionAll, [_matches(rows, prepare(*block, window), window).withColumn("block", F.lit(k)) for k, block in enumerate(_blocks(benchmark, "item_id", "text", block_bytes))])
+    best = F.min(F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_word", "byte_start", "byte_end")).alias("m")
+    met = found.groupBy("item_id", "block", "row", "item_word").agg(best)
+    return met.select("item_id", "item_word", (-F.col("m.n")).alias("n_words"), "m.doc_id", "m.doc_word", "m.byte_start", "m.byte_end")
+
+
+_MATCH = "item_id string, row long, item_word long, n_words long, doc_id long, doc_word long, byte_start long, byte_end long"
 
 
 def _matches(rows: DataFrame, items: Items, window: int) -> DataFrame:
+    """The longest match of each suffix of ``items`` in each shard."""
     held = rows.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in by_bytes(utf8(batch.column(1)), SHARD_BYTES):
-                begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-                items = held.value
-                found, text_of, place, which = occurrences(texts, items, window)
-                own = items.starts[which]
-                # windows that follow one another on one diagonal of one item are one match
-                diagonal = place - own
-                order = np.lexsort((place, diagonal, items.item[which], text_of))
-                key = np.stack([text_of[order], items.item[which][order], diagonal[order], place[order] - np.arange(len(order))])
-                new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]) if len(order) else np.zeros(0, bool)
-                head = order[np.flatnonzero(new)]
-                last = order[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(order) - 1]])] if len(order) else head
-                n = place[last] + items.sizes[which[last]] - place[head]
-                text, item = text_of[head], items.item[which[head]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(texts)).take(pa.array(text, pa.int64())),
-                        pa.array([items.ids[i] for i in item], pa.string()),
-                        pa.array(own[head] - items.found.offsets[item], pa.int64()),
-                        pa.array(place[head] - found.offsets[text], pa.int64()),
-                        pa.array(n, pa.int64()),
-                        pa.array(found.starts[place[head]] - begin[text], pa.int64()),
-                        pa.array(found.ends[place[head] + n - 1] - begin[text], pa.int64()),
-                    ],
-                    names=["doc_id", "item_id", "item_word", "doc_word", "n_words", "byte_start", "byte_end"],
-                )
-
-    return rows.mapInArrow(find, "doc_id long, item_id string, item_word long, doc_word long, n_words long, byte_start long, byte_end long")
+        of = held.value
+        row_of, start, size = _windows(np.diff(of.offsets), of.offsets, window)
+        for table, texts in _shards(batches, "text"):
+            found, place, _ = _searched(texts, of, window)
+            if not len(place):
+                continue
+            # only documents with an occurrence are put in order again, now to the end of the longest item
+            text_of = np.repeat(np.arange(len(texts)), found.counts())
+            hit = np.unique(text_of[place])
+            own = np.concatenate([np.arange(found.offsets[t], found.offsets[t + 1]) for t in hit])
+            array = SuffixArray(found.hashes[own], np.concatenate([[0], np.cumsum(found.counts()[hit])]), int(np.diff(of.offsets).max()))
+            lo, hi, n = _longest(array, of, start, of.offsets[1:][row_of] - start)
+            live = np.flatnonzero(n >= size)
+            # of several places the one in the document with the smallest id
+            ids = table.column("doc_id").to_pylist()
+            rank = np.empty(len(texts), dtype=np.int64)
+            rank[sorted(range(len(texts)), key=lambda t: (ids[t] is None, ids[t] or 0, t))] = np.arange(len(texts))
+            at = np.array([own[min(array.at[a:b], key=lambda p: (rank[text_of[own[p]]], p))] for a, b in zip(lo[live], hi[live], strict=True)], dtype=np.int64)
+            text, row = text_of[at], row_of[live]
+            begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+            columns = [
+                pa.array([None if k < 0 else of.ids[k] for k in of.rows[row]], pa.string()), row, start[live] - of.offsets[row], n[live],
+                table.column("doc_id").combine_chunks().take(pa.array(text)), at - found.offsets[text], found.starts[at] - begin[text], found.ends[at + n[live] - 1] - begin[text],
+            ]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=[part.split()[0] for part in _MATCH.split(", ")])
+
+    return rows.mapInArrow(find, _MATCH)
+
+
+def _longest(array: SuffixArray, items: Items, start: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For item suffixes of ``most`` words from ``start``: the interval of the array that shares most words with each, and how many."""
+    distinct = array.levels[0][0]
+    place = np.minimum(np.searchsorted(distinct, items.vocabulary), len(distinct) - 1)
+    ranks = [np.where(distinct[place] == items.vocabulary, place + 1, 0)[items.word]]
+    for level in range(1, len(array.levels)):
+        behind = np.concatenate([ranks[-1][1 << (level - 1) :], np.zeros(1 << (level - 1), np.int64)])[: len(items.word)]
+        ranks.append(array.find(level, ranks[-1], behind))
+    lo, hi, n = np.zeros(len(start), np.int64), np.full(len(start), array.n, np.int64), np.zeros(len(start), np.int64)
+    for level in range(len(array.levels) - 1, -1, -1):
+        live = np.flatnonzero(n + (1 << level) <= most)
+        wanted = ranks[level][start[live] + n[live]]
+        live, wanted = live[wanted > 0], wanted[wanted > 0]
+        a, b = array.narrowed(lo[live], hi[live], n[live], level, wanted)
+        grown = live[a < b]
+        lo[grown], hi[grown], n[grown] = a[a < b], b[a < b], n[grown] + (1 << level)
+    return lo, hi, n
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
     """``documents`` without those that hold a window of the benchmark, all columns kept. Map only.
 
-    A benchmark of more than ``block_bytes`` takes a pass for each block, between which the rows left are written
-    to the checkpoint folder.
+    Null and empty texts stay; rows that repeat are each judged, and equal texts alike. A benchmark of more than
+    ``block_bytes`` takes a pass for each block, between which the rows left are written to the checkpoint folder.
     """
     bounded_batches(documents.sparkSession)
     cleaned = None
-    for ids, texts in _blocks(benchmark, "item_id", "text", block_bytes):
-        cleaned = _cleaned(documents if cleaned is None else cut(cleaned), prepare(ids, texts, window), window)
+    for block in _blocks(benchmark, "item_id", "text", block_bytes):
+        cleaned = _cleaned(documents if cleaned is None else cut(cleaned), prepare(*block, window), window)
     return cleaned
 
 
@@ -318,11 +493,10 @@ def _cleaned(documents: DataFrame, items: Items, window: int) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(items)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep_row = np.ones(batch.num_rows, dtype=bool)
-            for first, texts in by_bytes(utf8(batch.column(batch.schema.get_field_index("text"))), SHARD_BYTES):
-                _, text_of, _, _ = occurrences(texts, held.value, window)
-                keep_row[first + text_of] = False
-            yield batch.filter(pa.array(keep_row))
+        for table, texts in _shards(batches, "text"):
+            found, place, _ = _searched(texts, held.value, window)
+            clean = np.ones(len(texts), dtype=bool)
+            clean[np.searchsorted(found.offsets, place, "right") - 1] = False
+            yield from table.filter(pa.array(clean)).to_batches()
 
     return documents.mapInArrow(keep, documents.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUES = _splitmix(256, 11)
 _VALUES[65:91] = _VALUES[97:123]  # A-Z count as a-z
 _STEPS = _splitmix(64, 23) | _U(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _table(separators: str | bytes) -> np.ndarray:
@@ -42,20 +43,15 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << (n - 1).bit_length())
-    if size not in _powers:
-        if size > 1 << 24:  # a text of many megabytes: not kept
-            return _made(size)
-        _powers.clear()
-        _powers[size] = _made(size)
-    return _powers[size]
+#: Bytes that are split and hashed together. A longer text goes through in slices, so a text costs little besides its words.
+SLICE = 1 << 19
 
 
-def _made(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, _BASE & _MASK, dtype=_U)
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up = np.full(SLICE + 2, _BASE & _MASK, dtype=_U)
     up[0] = 1
-    down = np.full(size, pow(_BASE, -1, 1 << 64), dtype=_U)
+    down = np.full(SLICE + 2, pow(_BASE, -1, 1 << 64), dtype=_U)
     down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -73,26 +69,91 @@ class Words:
         return np.diff(self.offsets)
 
 
-def words(texts: list[bytes], word_bytes: np.ndarray) -> Words:
-    """Split texts into runs of ``word_bytes`` with A-Z lowered, and hash each run.
-
-    A word's hash is the sum of byte values times powers of an odd base, by differences of one
-    running sum, so the cost is a few vector passes over the bytes.
-    """
-    joined = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    if not len(joined):
-        return Words(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
+def _segments(text: bytes, word_bytes: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """Begin and end of slices of a text that cut no word, and whether a slice is one word longer than SLICE."""
+    begin = 0
+    while len(text) - begin > SLICE:
+        gaps = np.flatnonzero(~word_bytes[np.frombuffer(text, np.uint8, SLICE, begin)])
+        if len(gaps):
+            end = begin + int(gaps[-1]) + 1
+            yield begin, end, False
+        else:
+            end = begin + SLICE
+            while end < len(text):
+                part = np.frombuffer(text, np.uint8, min(SLICE, len(text) - end), end)
+                gaps = np.flatnonzero(~word_bytes[part])
+                end += int(gaps[0]) if len(gaps) else len(part)
+                if len(gaps):
+                    break
+            yield begin, end, True
+        begin = end
+    yield begin, len(text), False
+
+
+def _long_word(text: bytes, begin: int, end: int) -> np.ndarray:
+    total, up = 0, _powers()[0]
+    for i in range(begin, end, SLICE):
+        part = np.frombuffer(text, np.uint8, min(SLICE, end - i), i)
+        total += int((_VALUES[part] * up[: len(part)]).sum(dtype=_U)) * pow(_BASE, i - begin, 1 << 64)
+    return mix(np.array([total & _MASK], dtype=_U))
+
+
+def _split(parts: list[bytes], word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of ``parts``, which are parted by one byte each and hold SLICE bytes together."""
+    joined = np.frombuffer(b" ".join([*parts, b""]), dtype=np.uint8)
     inside = word_bytes[joined]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]  # the joined bytes end with a separator
-    up, down = _power(len(joined) + 1)
+    up, down = _powers()
     sums = np.zeros(len(joined) + 1, dtype=_U)
     np.cumsum(_VALUES[joined] * up[: len(joined)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return Words(hashes, starts, ends, np.searchsorted(starts, begin))
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
+
+
+def words(texts: list[bytes], word_bytes: np.ndarray) -> Words:
+    """Split texts into runs of ``word_bytes`` with A-Z lowered, and hash each run.
+
+    Starts and ends count bytes of the texts joined with one byte between them. A word's hash is the sum of
+    byte values times powers of an odd base, by differences of one running sum, so the cost is a
+    few vector passes over the bytes.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[bytes] = []
+    size = first = begin = 0  # bytes held, place of the first of them, place of the text
+
+    def flush() -> None:
+        nonlocal held, size
+        if held:
+            hashes, starts, ends = _split(held, word_bytes)
+            found.append((hashes, starts + first, ends + first))
+        held, size = [], 0
+
+    places = [0]
+    for text in texts:
+        if len(text) <= SLICE:
+            if size + len(text) + 1 > SLICE:
+                flush()
+            if not held:
+                first = begin
+            held.append(text)
+            size += len(text) + 1
+        else:
+            flush()
+            for at, end, one in _segments(text, word_bytes):
+                if one:
+                    found.append((_long_word(text, at, end), np.array([begin + at]), np.array([begin + end])))
+                else:
+                    held, first = [text[at:end]], begin + at
+                    flush()
+        begin += len(text) + 1
+        places.append(begin)
+    flush()
+    if not found:
+        return Words(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    return Words(hashes, starts, ends, np.searchsorted(starts, np.array(places, dtype=np.int64)))
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
