@@ -20,7 +20,22 @@ def test_round_trip(rows, forms):
     rng = random.Random(rows)
     for payload in (os.urandom(576 * rows), bytes(576 * rows), bytes(rng.choice(b"ab \xff") for _ in range(576 * rows))):
         assert rebuilt(tiff.write_payload(payload, forms)) == payload
-    assert len(list(tiff.read_pages(tiff.write_payload(bytes(576 * rows))))) == -(-rows // 64)
+    assert len(list(tiff.read_pages(tiff.write_payload(bytes(576 * rows))))) == max(-(-rows // 64), min(rows, 3))
+
+
+def test_every_file_of_three_rows_has_all_codecs():
+    import pandas as pd
+
+    texts = [t.encode() for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"]]
+    decoded, files = {}, 0
+    for t in texts:
+        found = list(tiff.read_pages(tiff.write_payload(t + b"\xff" * (-len(t) % 576 or (0 if t else 576)))))
+        for p in found:
+            decoded[p.compression] = decoded.get(p.compression, 0) + len(p.data)
+        if sum(p.height for p in found) >= 3:
+            files += 1
+            assert {p.compression for p in found} == {tiff.DEFLATE, tiff.PACKBITS, tiff.LZW} and {p.predictor for p in found} == {1, 2}
+    assert files > 0.6 * len(texts) and min(decoded.values()) > 0.25 * sum(decoded.values())
 
 
 def test_codecs():
@@ -87,7 +102,42 @@ def test_pages_of_a_column(rows):
     df = rows([(1, bytearray(good), "x"), (2, None, "y"), (3, bytearray(b"junk"), None), (4, bytearray(), "z"), (5, broken, "w")], "doc_id long, media binary, page string")
     got = sorted(((r["doc_id"], -1 if r["page"] is None else r["page"], r["error"] is None) for r in tiff.pages(df).collect()))
     assert got == [(1, 0, True), (1, 1, True), (1, 2, True), (3, -1, False), (5, -1, False)]
+    bad = bytearray(tiff.write_payload(os.urandom(576 * 130)))
+    at = 4
+    for _ in range(2):  # the second directory's width becomes 0
+        at = struct.unpack_from("<I", bad, at)[0]
+        first, at = at, at + 2 + 12 * struct.unpack_from("<H", bad, at)[0]
+    struct.pack_into("<I", bad, first + 10, 0)
+    walked = sorted((r["page"], r["error"] is None, r["pixels"] is None) for r in tiff.pages(rows([(1, bad)], "doc_id long, media binary")).collect())
+    assert walked == [(0, True, False), (1, False, True), (2, True, False)]
+    small = tiff.pages(rows([(1, bytearray(good))], "doc_id long, media binary"), most=10).collect()
     assert tiff.pages(rows([], "doc_id long, media binary")).count() == 0
+    assert len(small) == 3 and all(r["error"] and r["pixels"] is None for r in small)
+
+
+def test_fold_of_broken_files(rows):
+    good = tiff.write_payload(os.urandom(576 * 5))
+    cut = bytearray(good)
+    struct.pack_into("<I", cut, struct.unpack_from("<I", cut, 4)[0] + 10, 0)
+    df = rows([(1, bytearray(good), "x"), (2, None, "y"), (3, bytearray(b"junk"), None), (4, cut, "z"), (5, bytearray(), "w")], "doc_id long, media binary, error string")
+    got = {r["doc_id"]: (r["payload_bytes"], r["error"] is None) for r in tiff.pages(df, fold=(tiff.payload_digest, tiff.DIGEST_SCHEMA)).collect()}
+    assert got == {1: (2880, True), 2: (0, True), 3: (None, False), 4: (None, False), 5: (0, True)}
+
+
+def test_golden_bytes():
+    """Whole files and LZW codes laid out by hand from the specification."""
+    # codes of 9 bits, high bits first: clear, 7, 258 (7 7), 8, 8, 258, 6, 6, end
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.unlzw(data, 10) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) == tiff.unlzw(tiff.lzw(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])), 9)
+    # widths grow one code early: after 253 literals the table holds code 510 and the next code has 10 bits
+    plain = bytes(range(256))
+    bits = f"{256:09b}" + "".join(f"{v:0{9 if k < 254 else 10}b}" for k, v in enumerate(plain)) + f"{257:010b}"
+    assert tiff.unlzw(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big"), 256) == plain
+    # a big-endian file of one grey row of four samples in PackBits
+    entries = [(256, 3, 1, 4 << 16), (257, 3, 1, 1 << 16), (258, 3, 1, 8 << 16), (259, 3, 1, 32773 << 16), (262, 3, 1, 1 << 16), (273, 4, 1, 8), (277, 3, 1, 1 << 16), (278, 3, 1, 1 << 16), (279, 4, 1, 4)]
+    file = b"MM\0*\0\0\0\x0c" + bytes([0xFE, 9, 0, 5]) + struct.pack(">H", 9) + b"".join(struct.pack(">HHII", *e) for e in entries) + b"\0\0\0\0"
+    assert [(p.width, p.height, p.data) for p in tiff.read_pages(file)] == [(4, 1, bytes([9, 9, 9, 5]))]
 
 
 def test_digests_of_texts(rows):

@@ -29,9 +29,8 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 3
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
-#: Bytes of samples that one strip or tile, and one page, may claim: a broken file can't fill a worker.
-MAX_CHUNK = 64 << 20
-MAX_PAGE = 256 << 20
+#: Bytes of samples that one page may claim unless a reader is given another bound (None: any): a broken file can't fill a worker.
+MAX_PAGE = 1 << 30
 
 
 class TiffError(ValueError):
@@ -216,8 +215,13 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     return fields, struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file, in order, one at a time."""
+def read_pages(data: bytes, most: int | None = MAX_PAGE, broken: Callable[[int, str], None] | None = None) -> Iterator[Page]:
+    """The pages of a file, in order, one at a time.
+
+    A page that can't be read, or claims more than ``most`` bytes of samples, is reported to ``broken`` with its
+    number and the reason, and the walk goes on to the next directory; without ``broken`` it raises TiffError. A file
+    without a header, and a directory beyond the end or met before, always raise: nothing stands behind them.
+    """
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
         raise TiffError("no TIFF header")
@@ -228,12 +232,19 @@ def read_pages(data: bytes) -> Iterator[Page]:
             raise TiffError("directories in a circle")
         seen.add(at)
         fields, then = _directory(data, at, order)
-        yield _page(data, fields, len(seen) - 1, order)
+        try:
+            page = _page(data, fields, len(seen) - 1, order, most)
+        except TiffError as why:
+            if broken is None:
+                raise
+            broken(len(seen) - 1, str(why))
+        else:
+            yield page
         at = then
 
 
-def _page(data: bytes, fields: dict[int, tuple], number: int, order: str) -> Page:
-    one = lambda tag, default=0: fields.get(tag, (default,))[0]
+def _page(data: bytes, fields: dict[int, tuple], number: int, order: str, most: int | None) -> Page:
+    one = lambda tag, default=0: (fields.get(tag) or (default,))[0]
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
     size = bits // 8
@@ -241,13 +252,14 @@ def _page(data: bytes, fields: dict[int, tuple], number: int, order: str) -> Pag
         raise TiffError(f"samples of {fields.get(BITS)} bits")
     if compression not in _DECODERS or predictor not in (1, 2, 3):
         raise TiffError(f"compression {compression}, predictor {predictor}")
-    if not 0 < width * height * samples * size <= MAX_PAGE:
+    whole = width * height * samples * size
+    if whole <= 0 or (most is not None and whole > most):
         raise TiffError(f"a page of {width} x {height} x {samples}")
     planes = samples if one(PLANAR, 1) == 2 else 1
     inner = samples // planes
     tiled = TILE_OFFSETS in fields
     across, down = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-    if not across or not down or across * down * inner * size > MAX_CHUNK:
+    if not across or not down or (most is not None and across * down * inner * size > max(most, whole)):
         raise TiffError("strips or tiles of no size, or too large")
     offsets = fields.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ())
     counts = fields.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
@@ -270,10 +282,10 @@ def _page(data: bytes, fields: dict[int, tuple], number: int, order: str) -> Pag
 
 # --- writing ------------------------------------------------------------------------------
 
-#: Stored payloads: RGB rows of 192 pixels, pages of 64 rows, strips of 16 rows, tiles of 64 x 16.
+#: Stored payloads: RGB rows of 192 pixels, pages of at most 64 rows, strips of 16 rows, tiles of 64 x 16.
 ROW = 576
 PAGE_ROWS, STRIP_ROWS, TILE = 64, 16, (64, 16)
-#: Page k is stored as form k modulo 3.
+#: The forms of pages, in turn.
 FORMS = (("strips", DEFLATE, 2), ("tiles", PACKBITS, 1), ("strips", LZW, 2))
 
 
@@ -287,16 +299,28 @@ def _chunk(part: np.ndarray, compression: int, predictor: int) -> bytes:
     return {NONE: lambda: raw, DEFLATE: lambda: zlib.compress(raw, 1), LZW: lambda: lzw(raw)}[compression]()
 
 
+def _heights(rows: int, least: int) -> list[int]:
+    """Rows of each page: as equal as can be, at most PAGE_ROWS, and ``least`` pages where there are as many rows."""
+    n = max(-(-rows // PAGE_ROWS), min(least, rows))
+    return [rows // n + (k < rows % n) for k in range(n)]
+
+
 def write_payload(payload: bytes, forms: tuple = FORMS) -> bytes:
-    """Store a payload, a positive multiple of 576 bytes, as pages of 8-bit RGB samples."""
+    """Store a payload, a positive multiple of 576 bytes, as pages of 8-bit RGB samples.
+
+    Pages take the ``forms`` in turn, and a payload of at least as many rows as there are forms has a page of each; which
+    form comes first hangs on the payload, so that short ones are spread over the forms too.
+    """
     if not payload or len(payload) % ROW:
         raise ValueError(f"{len(payload)} bytes are no positive multiple of {ROW}")
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 3, 3)
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
-    for k, top in enumerate(range(0, len(rows), PAGE_ROWS)):
-        image = rows[top : top + PAGE_ROWS]
-        layout, compression, predictor = forms[k % len(forms)]
-        height, width = image.shape[:2]
+    first, top = zlib.crc32(payload), 0
+    for k, height in enumerate(_heights(len(rows), len(forms))):
+        image = rows[top : top + height]
+        top += height
+        layout, compression, predictor = forms[(first + k) % len(forms)]
+        width = image.shape[1]
         if layout == "tiles":
             padded = np.zeros((-(-height // TILE[1]) * TILE[1], width, 3), np.uint8)
             padded[:height] = image
@@ -345,33 +369,45 @@ _PAGE = T.StructType(
 Fold = Callable[[Iterator[Page]], dict]
 
 
-def pages(df: DataFrame, media: str = "media", fold: tuple[Fold, str] | None = None) -> DataFrame:
+def pages(df: DataFrame, media: str = "media", fold: tuple[Fold, str] | None = None, most: int | None = MAX_PAGE) -> DataFrame:
     """One row per page of each TIFF file in the binary column ``media``.
 
     Other columns of ``df`` are repeated in front. The page's own columns are page (from 0),
     width, height, samples, bits, compression, predictor, pixels and error; columns of ``df`` of
-    those names are replaced. A null or empty file has no page, a file or page that can't be read
-    has one row with ``error`` set and pixels null after the pages read before.
+    those names are replaced. A null or empty file has no page. A page that can't be read, or holds more than
+    ``most`` bytes of samples (None: any), has a row with its number and ``error`` and nothing else, and
+    the pages behind it are read; a file whose walk ends early has a last row with ``error`` and no number.
 
     ``fold``, a function from a file's pages to a dict and that dict's schema, gives one row
-    per file instead, without handing pixels back to Spark. Map only.
+    per file instead, without handing pixels back to Spark, and the column ``error``: the first reason
+    why a page of the file can't be read, whose other fold columns are then null. Map only.
     """
     bounded_batches(df.sparkSession)
-    made = T._parse_datatype_string(fold[1]) if fold else _PAGE
+    made = T.StructType([*T._parse_datatype_string(fold[1]).fields, T.StructField("error", T.StringType())]) if fold else _PAGE
     keep = [f for f in df.schema.fields if f.name != media and f.name not in made.names]
     schema = T.StructType(keep + made.fields)
     names, folder = [f.name for f in keep], fold[0] if fold else None
     arrow = _arrow(schema)
+    blank = dict.fromkeys(made.names)
 
     def rows(data: bytes | None) -> Iterator[dict]:
+        wrong: list[tuple[int | None, str]] = []
+        found = read_pages(data, most, lambda number, why: wrong.append((number, why))) if data else iter(())
         if folder:
-            yield folder(read_pages(data) if data else iter(()))
+            try:
+                row = folder(found) | {"error": None}
+            except TiffError as why:
+                wrong.append((None, str(why)))
+            yield blank | {"error": wrong[0][1]} if wrong else row
             return
         try:
-            for p in read_pages(data) if data else ():
+            for p in found:
+                yield from (blank | {"page": number, "error": why} for number, why in wrong)
+                wrong.clear()
                 yield {"page": p.number, "width": p.width, "height": p.height, "samples": p.samples, "bits": p.bits, "compression": p.compression, "predictor": p.predictor, "pixels": p.data, "error": None}
         except TiffError as why:
-            yield dict.fromkeys(_PAGE.names) | {"error": str(why)}
+            wrong.append((None, str(why)))
+        yield from (blank | {"page": number, "error": why} for number, why in wrong)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,7 +445,8 @@ def _batch(others: pa.RecordBatch, taken: list[int], out: list[dict], names: lis
 def stored(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """``df`` without ``text``, with ``n_bytes`` (UTF-8, null: 0) and the text's payload as a TIFF file in ``media``.
 
-    The payload is the text's bytes with bytes 255 up to a positive multiple of 576.
+    The payload is the text's bytes with bytes 255 up to a positive multiple of 576; null counts as empty, equal texts
+    have equal files. Columns named ``n_bytes`` and ``media`` are replaced. Map only.
     """
     bounded_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name not in (text, media, "n_bytes")]
