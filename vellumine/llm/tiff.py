@@ -7,6 +7,7 @@ multi-page 8-bit RGB files with which payloads are stored without loss.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -72,6 +73,7 @@ def unpackbits(data: bytes, size: int) -> bytes:
 _RUNS = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
+@functools.lru_cache(maxsize=512)  # padding repeats the same rows
 def packbits(row: bytes) -> bytes:
     out, at = bytearray(), 0
 
@@ -90,79 +92,104 @@ def packbits(row: bytes) -> bytes:
     return bytes(out)
 
 
+def _widths(n: int) -> np.ndarray:
+    """Bits of the first ``n`` codes behind a clear code: 9 to 12, growing one code before the table needs it."""
+    i = np.arange(n) + 258
+    return 9 + (i >= 512) + (i >= 1024) + (i >= 2048)
+
+
+#: Codes behind a clear code after which a writer clears the table again, and codes that a reader takes up at a time.
+_FULL, _SOME = 3836, 4096
+_WIDTHS = _widths(_SOME)
+_STARTS = np.cumsum(_WIDTHS) - _WIDTHS
+
+
+def _codes(padded: np.ndarray, bits: int, at: int) -> tuple[np.ndarray, int]:
+    """The codes from bit ``at`` up to the next clear or end code, or the data's end, and the bit behind them."""
+    n = (bits - at) // 9
+    for most in (min(n, _SOME), n):
+        widths, starts = (_WIDTHS[:most], _STARTS[:most]) if most <= _SOME else ((w := _widths(most)), np.cumsum(w) - w)
+        place = at + starts
+        inside = int(np.searchsorted(place + widths, bits, "right"))
+        place, widths = place[:inside], widths[:inside]
+        byte = place >> 3
+        word = (padded[byte] << 16) | (padded[byte + 1] << 8) | padded[byte + 2]
+        codes = (word >> (24 - (place & 7) - widths)) & ((1 << widths) - 1)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        if len(stop):
+            end = int(stop[0])
+            return codes[: end + 1], int(place[end] + widths[end])
+        if inside < most or most == n:
+            break
+    return codes, bits
+
+
 def unlzw(data: bytes, size: int) -> bytes:
-    """Codes of 9 to 12 bits, high bits first, the width growing one code early."""
+    """Codes of 9 to 12 bits, high bits first."""
     base = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, held, bits, last = list(base), 9, 0, 0, None
-    out, made = [], 0
-    for byte in data:
-        held = ((held << 8) | byte) & 0xFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = (held >> bits) & ((1 << width) - 1)
-        if code == 256:
-            table, width, last = list(base), 9, None
-            continue
-        if code == 257:
-            break
-        if last is None:
-            if code > 255:
+    padded = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    out: list[bytes] = []
+    made = at = 0
+    while made < size and at + 9 <= 8 * len(data):
+        found, at = _codes(padded, 8 * len(data), at)
+        codes = found.tolist()
+        last = codes.pop() if codes and codes[-1] in (256, 257) else None
+        if codes:
+            if codes[0] > 255:
                 raise TiffError("LZW: a code before its entry")
-            entry = table[code]
-        else:
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table):
-                entry = last + last[:1]
-            else:
-                raise TiffError("LZW: a code before its entry")
-            table.append(last + entry[:1])
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-        out.append(entry)
-        made += len(entry)
-        if made >= size:
+            table = list(base)
+            held = base[codes[0]]
+            run, add = [held], table.append
+            for code in codes[1:]:
+                try:
+                    entry = table[code]
+                    add(held + entry[:1])
+                except IndexError:
+                    if code != len(table):
+                        raise TiffError("LZW: a code before its entry") from None
+                    entry = held + held[:1]
+                    add(entry)
+                run.append(entry)
+                held = entry
+            text = b"".join(run)
+            out.append(text)
+            made += len(text)
+        if last == 257:
             break
-        last = entry
     return b"".join(out)[:size]
 
 
 def lzw(data: bytes) -> bytes:
-    codes: list[tuple[int, int]] = [(256, 9)]
-    table, width, next_code, held = {bytes([i]): i for i in range(256)}, 9, 258, b""
-    for i in range(len(data)):
-        more = held + data[i : i + 1]
-        if more in table:
-            held = more
+    """Codes of 9 to 12 bits, high bits first; the table is cleared when it is full."""
+    codes, widths = [256], [np.array([9])]
+    table: dict[int, int] = {}
+    find, add = table.get, codes.append
+    held, size, after = -1, 258, len(codes)  # ``after``: codes up to the last clear code
+    for byte in data:
+        if held < 0:
+            held = byte
             continue
-        codes.append((table[held], width))
-        table[more] = next_code
-        next_code += 1
-        if next_code + 1 > 1 << width:
-            width += 1
-        if next_code >= 4094:
-            codes.append((256, 12))
-            table, width, next_code = {bytes([i]): i for i in range(256)}, 9, 258
-        held = data[i : i + 1]
-    if held:
-        codes.append((table[held], width))
-        next_code += 1
-        if next_code + 1 > 1 << width and width < 12:
-            width += 1
-    codes.append((257, width))
-    out, bits, n = bytearray(), 0, 0
-    for code, size in codes:
-        bits = (bits << size) | code
-        n += size
-        while n >= 8:
-            n -= 8
-            out.append((bits >> n) & 255)
-        bits &= (1 << n) - 1
-    if n:
-        out.append((bits << (8 - n)) & 255)
-    return bytes(out)
+        key = held << 8 | byte
+        known = find(key)
+        if known is not None:
+            held = known
+            continue
+        add(held)
+        table[key] = size
+        size += 1
+        held = byte
+        if size == 258 + _FULL:
+            widths += [_WIDTHS[: len(codes) - after], np.array([12])]
+            add(256)
+            table.clear()
+            size, after = 258, len(codes)
+    if held >= 0:
+        add(held)
+    add(257)
+    widths.append(_WIDTHS[: len(codes) - after])
+    values, sizes = np.array(codes), np.concatenate(widths)
+    bit = np.arange(11, -1, -1)
+    return np.packbits(((values[:, None] >> bit) & 1).astype(np.uint8)[bit < sizes[:, None]]).tobytes()
 
 
 def _inflate(data: bytes, size: int) -> bytes:
@@ -193,6 +220,18 @@ def _undo(rows: np.ndarray, predictor: int, samples: int, size: int, order: str)
     return np.ascontiguousarray(values.astype(f"<u{size}")).reshape(height, -1).view(np.uint8)
 
 
+def _packed_rows(rows: np.ndarray) -> bytes:
+    """PackBits of each row by itself; rows without a run of three bytes are all literal."""
+    same = rows[:, 1:] == rows[:, :-1]
+    runs = (same[:, 1:] & same[:, :-1]).any(axis=1)
+    width = rows.shape[1]
+    out = []
+    for row, run in zip(rows, runs.tolist(), strict=True):
+        data = row.tobytes()
+        out.append(packbits(data) if run else b"".join(bytes([min(width - i, 128) - 1]) + data[i : i + 128] for i in range(0, width, 128)))
+    return b"".join(out)
+
+
 # --- reading ------------------------------------------------------------------------------
 
 
@@ -294,7 +333,7 @@ def _chunk(part: np.ndarray, compression: int, predictor: int) -> bytes:
     if predictor == 2:
         part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
     if compression == PACKBITS:
-        return b"".join(packbits(row.tobytes()) for row in part)
+        return _packed_rows(np.ascontiguousarray(part).reshape(len(part), -1))
     raw = part.tobytes()
     return {NONE: lambda: raw, DEFLATE: lambda: zlib.compress(raw, 1), LZW: lambda: lzw(raw)}[compression]()
 
