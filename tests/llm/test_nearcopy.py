@@ -53,8 +53,10 @@ def test_equals_brute_force(rows, size, percent):
     assert result(rows(texts, DOCS), size, percent) == brute(texts, size, percent)
 
 
-def test_blocks_of_a_large_bucket(rows, monkeypatch):
-    monkeypatch.setattr(nearcopy, "BLOCK_ROWS", 7)  # many pairs of blocks
+@pytest.mark.parametrize("block", [7, 40])
+def test_blocks_of_a_large_bucket(rows, monkeypatch, block):
+    monkeypatch.setattr(nearcopy, "BLOCK_ROWS", block)  # many parts and pairs of blocks
+    monkeypatch.setattr(nearcopy, "RARE_SAMPLE", 3)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -66,6 +68,37 @@ def test_blocks_of_a_large_bucket(rows, monkeypatch):
     assert result(rows(texts, DOCS), 3, 85) == brute(texts, 3, 85)
 
 
+def test_fills_of_a_template_cost_one_set_each(rows, monkeypatch):
+    monkeypatch.setattr(nearcopy, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nearcopy, "RARE_SAMPLE", 4)
+    template, shipped, pairs = [f"w{i}" for i in range(120)], [], []
+    for m in (250, 500):
+        rng = random.Random(m)
+        texts = [(i, " ".join(template + [f"x{rng.random()}" for _ in range(28)])) for i in range(m)]
+        count = [0, 0]
+        monkeypatch.setattr(nearcopy, "_by_prefix", spied(count, 0, nearcopy._by_prefix))
+        monkeypatch.setattr(nearcopy, "_compared", spied(count, 1, nearcopy._compared))
+        got = result(rows(texts, DOCS), 3, 85)
+        monkeypatch.undo()
+        monkeypatch.setattr(nearcopy, "BLOCK_ROWS", 16)
+        monkeypatch.setattr(nearcopy, "RARE_SAMPLE", 4)
+        assert got == brute(texts, 3, 85) and all(kept for _, _, kept in got.values())
+        shipped.append(count[0])
+        pairs.append(count[1])
+    # twice the fills: twice the sets that travel, with none for pairs of blocks
+    assert shipped[0] > 200 and shipped[1] < 2.5 * shipped[0] and pairs[1] < 2.5 * pairs[0]
+
+
+def spied(count, k, real):
+    """``real``, with the rows of its first argument counted."""
+
+    def call(rows, *more):
+        count[k] += rows.count()
+        return real(rows, *more)
+
+    return call
+
+
 def test_edges_of_the_table(rows):
     assert nearcopy.near_duplicates(rows([], DOCS)).count() == 0
     df = rows([(1, "a b c d e f", "en", 1), (1, "a b c d e f", "en", 1), (2, "a b c d e f", None, 2), (None, "a b c d e f", "x", 3), (None, None, "x", 3), (3, "other words stand here now", "y", 4), (4, None, None, None)], "doc_id long, text string, rep string, band long")

@@ -7,9 +7,12 @@ documents that share a band are candidates. What follows never writes out the pa
 1. Documents with equal shingle sets collapse to one representative.
 2. In each band's bucket every member is held against the bucket's first member (a star), on
    full sets; stars of links give components.
-3. Only buckets that still hold several components are worked through completely: their members
-   are dealt into blocks, each pair of blocks is one bounded task that compares whole sets by
-   matrix products, and a task returns at most a spanning forest of the links it finds.
+3. Buckets that still hold several components and fit into one block are compared completely, in one bounded task
+   each, whole sets by matrix products; the task returns at most a spanning forest of the links it finds.
+4. In larger ones every member names the shingles of its prefix: as many of its rarest in the bucket as two linked
+   sets cannot both miss. Members that share one are held against the first of them, then, where several
+   components are left, in pairs of blocks. A template with very many fills shares no prefix, so its cost
+   is one set and one prefix a member, not one a pair.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from vellumine.session import cut
 PERMUTATIONS, BAND_ROWS = 70, 5
 #: Most members, and about most shingles, of one block of a bucket.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
+#: Members of a bucket whose shingles tell which are rare in it.
+RARE_SAMPLE = 64
 #: Up to so many ids are broadcast to find the texts of candidates; beyond it that join shuffles.
 BROADCAST_IDS = 1 << 20
 
@@ -154,6 +159,27 @@ def _block_links(percent: int):
     return links
 
 
+def _prefixes(percent: int):
+    """Function of one part of a bucket, its members (side 0) and its sample (side 1): the shingles of each member's prefix."""
+
+    def prefixes(part: pd.DataFrame) -> pd.DataFrame:
+        common = part["side"].to_numpy() == 1
+        values, often = np.unique(np.concatenate([*part.loc[common, "shingles"], np.zeros(0, np.int64)]), return_counts=True)
+        out = []
+        for rep, component, x in part.loc[~common, ["rep", "component", "shingles"]].itertuples(index=False):
+            n = len(x) - -(-percent * len(x) // 100) + 1
+            place = np.minimum(np.searchsorted(values, x), max(len(values) - 1, 0))
+            seen = np.where(values[place] == x, often[place], 0) if len(values) else np.zeros(len(x), np.int64)
+            # the rarest first, equally rare ones in the order of a second hash: one order for the whole bucket
+            rarest = np.lexsort((mix(x.view(np.uint64)), seen))[:n]
+            out.append(pd.DataFrame({"rep": rep, "component": component, "shingle": x[rarest]}))
+        found = pd.concat(out) if out else pd.DataFrame({"rep": [], "component": [], "shingle": []})
+        found["band"] = part["band"].iloc[0]
+        return found[["band", "rep", "component", "shingle"]].astype("int64")
+
+    return prefixes
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``documents`` (doc_id, text, any more).
 
@@ -167,47 +193,94 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, perm
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(signatures(documents, size, permutations, rows))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # Aggregates are written before they are joined: a join of two plain shuffles is one that adaptive execution splits where a key is hot.
+    first = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     member = full.select("doc_id", "d1", "d2").distinct().join(first, ["d1", "d2"]).select("doc_id", "d1", "d2", "rep")
     bands = full.join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
 
     buckets = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("rep") % 1_000_000_007).alias("who")).where("n > 1")
-    buckets = buckets.groupBy("hub", "n", "who").agg(F.min("band").alias("band"))  # one bucket of those with equal members
-    held = cut(bands.join(buckets.select("band", "hub", "n"), "band"))
+    buckets = cut(buckets.groupBy("hub", "n", "who").agg(F.min("band").alias("band")))  # one bucket of those with equal members
+    held = cut(bands.join(buckets.select("band", "hub"), "band"))
 
     ids = cut(held.select(F.col("rep").alias("doc_id")).distinct())
     count = ids.count()
-    sets = cut(_sets(documents.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi"), size)) if count else None
     if not count:
-        return _result(signed, member, None, None)
+        return _result(signed, member, [])
+    sets = cut(_sets(documents.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi"), size))
+
+    stars = components(_star_links(held, sets, percent))
+    open_ = _unresolved(held.select("band", "rep"), stars, sets)
+    large = open_.where("parts > 1")
+    found = _compared(open_.where("parts = 1").select("band", "rep", "component", "size"), sets, percent)
+    if not large.isEmpty():
+        found = found.union(_by_prefix(large, sets, percent))
+    return _result(signed, member, [stars, components(found)])
+
 
+def _star_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) of members (rep) with their ``hub``, on full sets."""
     pairs = held.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     near = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     near = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    stars = components(near.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    return near.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    more = _unresolved(held, stars, sets, percent)
-    return _result(signed, member, stars, components(more))
 
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the ``component`` of ``rep``: itself unless ``found`` says more."""
+    return rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-def _unresolved(held: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that share a bucket, found block by block."""
-    labelled = held.join(stars.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2")
+
+def _unresolved(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, rep, component, size, parts) of the buckets that hold several components; ``parts``: blocks that a bucket fills."""
+    labelled = cut(_labelled(members, found))
+    several = cut(labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band"))
+    sizes = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("size"))
+    inside = cut(labelled.join(several, "band").join(sizes, "rep").select("band", "rep", "component", "size"))
+    need = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    return inside.join(cut(inside.groupBy("band").agg(need.alias("parts"))), "band").select("band", "rep", "component", "size", "parts")
+
+
+def _by_prefix(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within large buckets: members that share a shingle of their prefixes, first as stars, then completely."""
+    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    dealt = large.select("band", "rep", "component", part.alias("part"), F.lit(0).alias("side"))
+    # a sample of the bucket, by hash, goes to each of its parts
+    chance = F.greatest(F.lit(1), (F.col("parts") * F.lit(BLOCK_ROWS) / F.lit(RARE_SAMPLE)).cast("long"))
+    sample = large.where(F.pmod(F.xxhash64("rep", "band"), chance) == 0)
+    sample = sample.select("band", "rep", "component", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"), F.lit(1).alias("side"))
+    shipped = dealt.union(sample).join(sets.withColumnRenamed("id", "rep"), "rep")
+    named = cut(shipped.groupBy("band", "part").applyInPandas(_prefixes(percent), "band long, rep long, component long, shingle long"))
+    groups = cut(named.groupBy("band", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).where("lo < hi").select("band", "shingle", "hub"))
+    held = cut(named.join(groups, ["band", "shingle"]).select(F.xxhash64("band", "shingle").alias("band"), "rep", "component", "hub"))
+    near = cut(_star_links(held, sets, percent))
+    label = lambda v: F.col(v + "_component").alias(v)
+    known = held.select("rep", "component").distinct()
+    met = near.join(known.select(F.col("rep").alias("a"), F.col("component").alias("a_component")), "a").join(known.select(F.col("rep").alias("b"), F.col("component").alias("b_component")), "b").select(label("a"), label("b"))
+    # groups of a shingle whose components the stars have not made one
+    joined = components(met)
+    left = held.select("band", "rep", "component").join(joined.select(F.col("id").alias("component"), F.col("component").alias("_now")), "component", "left")
+    left = cut(left.select("band", "rep", F.coalesce("_now", "component").alias("component")).distinct())
+    several = cut(left.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("band"))
     sizes = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("size"))
-    inside = cut(labelled.join(open_.select("band"), "band").join(sizes, "rep").select("band", "rep", "component", "size"))
+    rest = cut(left.join(several, "band").join(sizes, "rep").select("band", "rep", "component", "size"))
+    return met.union(_compared(rest, sets, percent))
+
+
+def _compared(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a bucket, found block by block."""
     # Members of a bucket's main component need not be held against each other: their blocks meet those of the rest only.
-    # Counts come from combining aggregates alone, so the one join by bucket is free to be split where a bucket is hot.
     parts = inside.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
     stats = parts.groupBy("band").agg(F.max(F.struct("c", "s", "component")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     need = lambda c, s: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
     one = need(F.col("c"), F.col("s")) == 1  # what fits into one block is one block
-    blocks = stats.select(
-        "band",
-        F.col("main.component").alias("main"),
-        F.when(one, 0).otherwise(need(F.col("main.c"), F.col("main.s"))).alias("k0"),
-        F.when(one, 1).otherwise(need(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s"))).alias("k1"),
+    blocks = cut(
+        stats.select(
+            "band",
+            F.col("main.component").alias("main"),
+            F.when(one, 0).otherwise(need(F.col("main.c"), F.col("main.s"))).alias("k0"),
+            F.when(one, 1).otherwise(need(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s"))).alias("k1"),
+        )
     )
     place = F.xxhash64("rep", "band")
     block = F.when(F.col("k0") == 0, 0).when(F.col("rest"), F.col("k0") + F.pmod(place, F.col("k1"))).otherwise(F.pmod(place, F.greatest("k0", F.lit(1)))).cast("int")
@@ -220,12 +293,11 @@ def _unresolved(held: DataFrame, stars: DataFrame, sets: DataFrame, percent: int
     return shipped.groupBy("band", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
 
 
-def _result(signed: DataFrame, member: DataFrame, stars: DataFrame | None, more: DataFrame | None) -> DataFrame:
-    """Compose doc -> representative -> star component -> component."""
+def _result(signed: DataFrame, member: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """Compose doc -> representative -> component of each of ``found`` in turn."""
     label = member.select("doc_id", "d1", "d2", "rep")
-    if stars is not None:
-        label = label.join(stars.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")
-        label = label.join(more.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")
+    for step in found:
+        label = _labelled(label, step).withColumn("rep", F.col("component")).drop("component")
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(label, ["doc_id", "d1", "d2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -234,7 +306,8 @@ def _result(signed: DataFrame, member: DataFrame, stars: DataFrame | None, more:
 def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one row of each group of near duplicates, the one with the smallest doc_id; all columns kept.
 
-    Rows without words stay, and so do rows with a null doc_id. Of rows that repeat a doc_id one stays.
+    Rows without words stay, and so do rows with a null doc_id. Of rows that repeat a doc_id one stays, the same in every
+    run: that with the smallest hash of its columns.
     """
     found = near_duplicates(documents, size, percent)
     gone = cut(found.where("NOT kept").select("doc_id").distinct())
@@ -243,5 +316,6 @@ def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> Data
     again = cut(documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    order = F.struct(F.xxhash64(*documents.columns), "text")
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), order).alias("_row")).select("_row.*")
     return kept.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(once)
