@@ -7,9 +7,10 @@ documents that share a band are candidates. What follows never writes out the pa
 1. Documents with equal shingle sets collapse to one representative.
 2. In each band's bucket every member is held against the bucket's first member (a star), on
    full sets; stars of links give components.
-3. Buckets that still hold several components and fit into one block are compared completely, in one bounded task
-   each, whole sets by matrix products; the task returns at most a spanning forest of the links it finds.
-4. In larger ones every member names the shingles of its prefix: as many of its rarest in the bucket as two linked
+3. Only buckets that still hold several components are worked through completely. Where all but the main component
+   fits into one block, that block meets the others in pairs: each is one bounded task that compares whole
+   sets by matrix products, and a task returns at most a spanning forest of the links it finds.
+4. In buckets with a larger rest every member names the shingles of its prefix: as many of its rarest in the bucket as two linked
    sets cannot both miss. Members that share one are held against the first of them, then, where several
    components are left, in pairs of blocks. A template with very many fills shares no prefix, so its cost
    is one set and one prefix a member, not one a pair.
@@ -209,9 +210,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, perm
     sets = cut(_sets(documents.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi"), size))
 
     stars = components(_star_links(held, sets, percent))
-    open_ = _unresolved(held.select("band", "rep"), stars, sets)
-    large = open_.where("parts > 1")
-    found = _compared(open_.where("parts = 1").select("band", "rep", "component", "size"), sets, percent)
+    blocked = _unresolved(held.select("band", "rep"), stars, sets)
+    found = _compared(blocked.where("k1 = 1"), sets, percent)
+    large = blocked.where("k1 > 1")
     if not large.isEmpty():
         found = found.union(_by_prefix(large, sets, percent))
     return _result(signed, member, [stars, components(found)])
@@ -232,44 +233,20 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _unresolved(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """(band, rep, component, size, parts) of the buckets that hold several components; ``parts``: blocks that a bucket fills."""
-    labelled = cut(_labelled(members, found))
-    several = cut(labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band"))
-    sizes = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("size"))
-    inside = cut(labelled.join(several, "band").join(sizes, "rep").select("band", "rep", "component", "size"))
-    need = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    return inside.join(cut(inside.groupBy("band").agg(need.alias("parts"))), "band").select("band", "rep", "component", "size", "parts")
+    """Members of the buckets that hold several components, with the blocks that each bucket fills.
 
-
-def _by_prefix(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components within large buckets: members that share a shingle of their prefixes, first as stars, then completely."""
-    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    dealt = large.select("band", "rep", "component", part.alias("part"), F.lit(0).alias("side"))
-    # a sample of the bucket, by hash, goes to each of its parts
-    chance = F.greatest(F.lit(1), (F.col("parts") * F.lit(BLOCK_ROWS) / F.lit(RARE_SAMPLE)).cast("long"))
-    sample = large.where(F.pmod(F.xxhash64("rep", "band"), chance) == 0)
-    sample = sample.select("band", "rep", "component", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"), F.lit(1).alias("side"))
-    shipped = dealt.union(sample).join(sets.withColumnRenamed("id", "rep"), "rep")
-    named = cut(shipped.groupBy("band", "part").applyInPandas(_prefixes(percent), "band long, rep long, component long, shingle long"))
-    groups = cut(named.groupBy("band", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).where("lo < hi").select("band", "shingle", "hub"))
-    held = cut(named.join(groups, ["band", "shingle"]).select(F.xxhash64("band", "shingle").alias("band"), "rep", "component", "hub"))
-    near = cut(_star_links(held, sets, percent))
-    label = lambda v: F.col(v + "_component").alias(v)
-    known = held.select("rep", "component").distinct()
-    met = near.join(known.select(F.col("rep").alias("a"), F.col("component").alias("a_component")), "a").join(known.select(F.col("rep").alias("b"), F.col("component").alias("b_component")), "b").select(label("a"), label("b"))
-    # groups of a shingle whose components the stars have not made one
-    joined = components(met)
-    left = held.select("band", "rep", "component").join(joined.select(F.col("id").alias("component"), F.col("component").alias("_now")), "component", "left")
-    left = cut(left.select("band", "rep", F.coalesce("_now", "component").alias("component")).distinct())
-    several = cut(left.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("band"))
+    (band, rep, component, main, k0, k1): ``main`` is the bucket's largest component, which fills ``k0`` blocks,
+    and the rest ``k1``; what fits into one block altogether has k0 = 0 and k1 = 1.
+    """
+    labelled = _labelled(members, found)
+    several = cut(labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("band"))
     sizes = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("size"))
-    rest = cut(left.join(several, "band").join(sizes, "rep").select("band", "rep", "component", "size"))
-    return met.union(_compared(rest, sets, percent))
+    inside = cut(labelled.join(several, "band").join(sizes, "rep").select("band", "rep", "component", "size"))
+    return _blocked(inside)
 
 
-def _compared(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that share a bucket, found block by block."""
-    # Members of a bucket's main component need not be held against each other: their blocks meet those of the rest only.
+def _blocked(inside: DataFrame) -> DataFrame:
+    """(band, rep, component, main, k0, k1) of (band, rep, component, size)."""
     parts = inside.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
     stats = parts.groupBy("band").agg(F.max(F.struct("c", "s", "component")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     need = lambda c, s: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
@@ -282,9 +259,45 @@ def _compared(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             F.when(one, 1).otherwise(need(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s"))).alias("k1"),
         )
     )
+    return inside.select("band", "rep", "component").join(blocks, "band")
+
+
+def _by_prefix(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within buckets whose rest is large: members that share a shingle of their prefixes, first as stars, then completely."""
+    parts = F.col("k0") + F.col("k1")
+    dealt = large.select("band", "rep", "component", F.pmod(F.xxhash64("rep"), parts).cast("long").alias("part"), F.lit(0).alias("side"))
+    # a sample of the bucket, by hash, goes to each of its parts
+    chance = F.greatest(F.lit(1), (parts * F.lit(BLOCK_ROWS) / F.lit(RARE_SAMPLE)).cast("long"))
+    sample = large.where(F.pmod(F.xxhash64("rep", "band"), chance) == 0)
+    sample = sample.select("band", "rep", "component", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("part"), F.lit(1).alias("side"))
+    shipped = dealt.union(sample).join(sets.withColumnRenamed("id", "rep"), "rep")
+    named = cut(shipped.groupBy("band", "part").applyInPandas(_prefixes(percent), "band long, rep long, component long, shingle long"))
+    groups = cut(named.groupBy("band", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("rep", "component")).alias("hub")).where("lo < hi"))
+    held = cut(named.join(groups.select("band", "shingle", "hub"), ["band", "shingle"]).select(F.xxhash64("band", "shingle").alias("band"), "rep", "component", "hub"))
+    near = cut(_star_links(held.where("component != hub.component").select("rep", F.col("hub.rep").alias("hub")), sets, percent))
+    known = held.select("rep", "component").distinct()
+    for side in ("a", "b"):
+        near = near.join(known.select(F.col("rep").alias(side), F.col("component").alias(f"{side}_component")), side)
+    met = near.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).distinct()
+    # groups of a shingle whose components the stars have not made one
+    now = components(met).select(F.col("id").alias("component"), F.col("component").alias("_now"))
+    left = held.select("band", "rep", "component").join(now, "component", "left").select("band", "rep", F.coalesce("_now", "component").alias("component")).distinct()
+    left = cut(left)
+    several = cut(left.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("band"))
+    sizes = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("size"))
+    rest = cut(left.join(several, "band").join(sizes, "rep").select("band", "rep", "component", "size"))
+    return met.union(_compared(_blocked(rest), sets, percent))
+
+
+def _compared(blocked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a bucket, found block by block.
+
+    Members of a bucket's main component need not be held against each other: their blocks meet those of the rest only.
+    """
     place = F.xxhash64("rep", "band")
-    block = F.when(F.col("k0") == 0, 0).when(F.col("rest"), F.col("k0") + F.pmod(place, F.col("k1"))).otherwise(F.pmod(place, F.greatest("k0", F.lit(1)))).cast("int")
-    dealt = inside.join(blocks, "band").withColumn("rest", F.col("component") != F.col("main")).withColumn("block", block)
+    rest = F.col("component") != F.col("main")
+    block = F.when(F.col("k0") == 0, 0).when(rest, F.col("k0") + F.pmod(place, F.col("k1"))).otherwise(F.pmod(place, F.greatest("k0", F.lit(1)))).cast("int")
+    dealt = blocked.withColumn("rest", rest).withColumn("block", block)
     # a block is the lower of a pair on side 0, the higher on side 1
     others = F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("k0")), F.col("k0") + F.col("k1") - 1)
     meets = F.transform(others, lambda o: F.struct(F.least(o, "block").alias("lo"), F.greatest(o, "block").alias("hi"), F.when(F.col("block") > o, 1).otherwise(0).alias("side")))
