@@ -123,6 +123,80 @@ def test_language_mixture_of_one_text(spark, rows):
     assert langmix.with_language(rows([], "doc_id long, text string"), model).count() == 0
 
 
+def plain_mixture(text, model):
+    """The same inference with plain loops, one window and one language at a time."""
+    import math
+
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalpha() else 32 for b in text)
+    bits = len(model.logs).bit_length() - 1
+    padded = b" " * 4 + raw + b" " * 4
+    starts = [i for i in range(4, len(padded)) if padded[i] != 32 and padded[i - 1] == 32][:: langmix.WINDOW]
+    if not starts:
+        return [0.0] * len(model.languages)
+    logs = []
+    for a, b in zip(starts, [*starts[1:], len(padded)], strict=True):
+        sums = [0.0] * len(model.languages)
+        for i in range(a, b):
+            if padded[i] != 32 or padded[i - 1] != 32:
+                code = sum(padded[i - k] << (8 * k) for k in range(4))
+                row = model.logs[((code * 2654435761) & 0xFFFFFFFF) >> (32 - bits)]
+                sums = [s + float(v) for s, v in zip(sums, row, strict=True)]
+        logs.append(sums)
+    like = [[math.exp(max(v - max(w), -60)) for v in w] for w in logs]
+
+    def em(share):
+        for _ in range(langmix.ROUNDS):
+            parts = [[x * s for x, s in zip(w, share, strict=True)] for w in like]
+            share = [sum(p[k] / sum(p) for p in parts) / len(parts) for k in range(len(share))]
+        return share, sum(math.log(sum(x * s for x, s in zip(w, share, strict=True))) for w in like)
+
+    share, best = em(list(model.prior))
+    allowed = set(range(len(share)))
+    while len(allowed) > 1:
+        least = min(sorted(allowed), key=lambda k: share[k])
+        rest = [max(s, 1e-9) if k in allowed and k != least else 0.0 for k, s in enumerate(share)]
+        fewer, value = em([r / sum(rest) for r in rest])
+        if value + 0.5 * math.log(len(like) + 1) + 1 < best:
+            break
+        share, best = fewer, value
+        allowed.discard(least)
+    return [s if k in allowed else 0.0 for k, s in enumerate(share)]
+
+
+def test_mixtures_equal_plain_loops(spark, monkeypatch):
+    table = pd.read_parquet(f"{SF}/documents.parquet")
+    model = langmix.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    short = [t.encode() for t in table[table["n_chars"] < 400]["text"].head(25)]
+    texts = [*short, b"".join(short[:6]), b" ".join(short[3:8]), b"", b"12 -- 34", "\u00e9".encode(), b"x" * 700]
+    want = np.array([plain_mixture(t, model) for t in texts])
+    assert np.abs(langmix.mixtures(texts, model) - want).max() < 1e-6
+    for size, gathered in ((64, 50), (300, 1)):  # long texts in slices, few likelihoods at a time
+        monkeypatch.setattr(langmix, "_SCAN_BYTES", size)
+        monkeypatch.setattr(langmix, "_GATHERED", gathered)
+        assert np.abs(langmix.mixtures(texts, model) - want).max() < 1e-6
+
+
+def test_language_fit_reads_whole_texts_of_any_number_of_languages(rows, monkeypatch):
+    rng = random.Random(5)
+    data = [(i, " ".join(f"{chr(97 + i % 7)}{rng.randint(0, 9)}{chr(97 + i % 23)}q" for _ in range(30)), f"l{i % 300}") for i in range(900)]
+    narrow = langmix.fit(rows(data, "doc_id long, text string, lang string"))
+    assert len(narrow.languages) == 300 and narrow.logs.nbytes <= langmix.MODEL_BYTES
+    late = [(1, "common words " * 9000 + "zebra " * 50, "a"), (2, "common words " * 9000, "b")]
+    model = langmix.fit(rows(late, "doc_id long, text string, lang string"))
+    assert langmix.mixtures([b"zebra zebra zebra zebra zebra zebra"], model)[0].argmax() == 0
+    texts, seen = [t.encode() for _, t, _ in late] + ["é ü" .encode() * 900, b"y" * 3000], []
+    for size in (1 << 19, 1000):  # slices lose no n-gram and count none twice
+        monkeypatch.setattr(langmix, "_SCAN_BYTES", size)
+        total = np.zeros((len(texts), 1 << langmix.TABLE_BITS), dtype=np.int64)
+        for first, joined, begin in langmix._runs(texts):
+            place, counted = langmix._grams(joined)
+            for i in range(len(begin) - 1):
+                part = slice(begin[i], begin[i + 1])
+                total[first + i] += np.bincount(place[part][counted[part]], minlength=total.shape[1])
+        seen.append(total)
+    assert np.array_equal(*seen)
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_token_counts(rows, name):
     from tokenizers import Tokenizer

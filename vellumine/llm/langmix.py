@@ -20,16 +20,17 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.arrow import by_bytes, bounded_batches, utf8
 
-#: Bound of the fitting sample: rows of each language, about, and bytes of a text that fitting reads.
-FIT_ROWS, FIT_BYTES = 2000, 64 << 10
-MOST_LANGUAGES = 200
-#: n-grams are hashed into 2**TABLE_BITS places.
-TABLE_BITS, GRAM = 17, 4
+#: Bound of the fitting sample: rows of each language, about. Their texts are read whole.
+FIT_ROWS = 2000
+#: n-grams are hashed into 2**TABLE_BITS places, or fewer where the table of all languages would hold more bytes than MODEL_BYTES.
+TABLE_BITS, MODEL_BYTES, GRAM = 17, 32 << 20, 4
 WINDOW = 6
 ROUNDS = 12
 #: Windows of n-grams overlap, so their likelihoods are taken to this power.
 TEMPER = 0.5
 _SCAN_BYTES = 1 << 19
+#: Likelihoods of n-grams that are gathered at a time.
+_GATHERED = 1 << 21
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -37,7 +38,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    logs: np.ndarray  # (2**TABLE_BITS, languages), float32
+    logs: np.ndarray  # (places, languages), float32
     prior: np.ndarray
 
 
@@ -48,7 +49,7 @@ _FOLD[[*range(0x21), 0x7F]] = 32
 _FOLD[[b for b in range(0x21, 0x7F) if not chr(b).isalpha()]] = 32
 
 
-def _grams(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(joined: np.ndarray, bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Places in the table of the n-grams that end at each byte, and which of them count.
 
     Counted are those whose last byte or the one before it is of a word, so that a word's ends count
@@ -58,7 +59,7 @@ def _grams(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = b.copy()
     for k in range(1, GRAM):
         code[k:] = code[k:] + (b[:-k] << np.uint32(8 * k))
-    place = (code * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)
+    place = (code * np.uint32(2654435761)) >> np.uint32(32 - bits)
     counted = joined != 32
     counted[1:] |= joined[:-1] != 32
     return place, counted
@@ -70,43 +71,72 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _FOLD[raw], begin
 
 
+def _slices(text: bytes) -> Iterator[tuple[int, int]]:
+    """Begin and end of parts of about _SCAN_BYTES of a text that each begin with a window's first word, so that windows are those of the whole."""
+    begin, size = 0, _SCAN_BYTES
+    while len(text) - begin > size:
+        folded = _FOLD[np.frombuffer(text, np.uint8, size, begin)]
+        starts = np.flatnonzero((folded != 32) & np.concatenate([[True], folded[:-1] == 32]))
+        last = (len(starts) - 1) // WINDOW * WINDOW
+        if last <= 0:  # words so long that no window ends here
+            size += _SCAN_BYTES
+            continue
+        yield begin, begin + int(starts[last])
+        begin, size = begin + int(starts[last]), _SCAN_BYTES
+    yield begin, len(text)
+
+
+def _joined_slice(text: bytes, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``_joined`` of one part of a text, behind the bytes before it."""
+    raw = (b" " * GRAM + text[max(begin - GRAM, 0) : begin])[-GRAM:] + text[begin:end] + b" " * GRAM
+    return _FOLD[np.frombuffer(raw, dtype=np.uint8)], np.array([GRAM, len(raw)], dtype=np.int64)
+
+
+def _runs(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Texts in runs of about _SCAN_BYTES, long ones in slices: the first text's index, folded bytes, and begins of texts in them."""
+    for first, run in by_bytes(texts, _SCAN_BYTES):
+        if len(run) == 1 and len(run[0]) > _SCAN_BYTES:
+            for begin, end in _slices(run[0]):
+                yield first, *_joined_slice(run[0], begin, end)
+        else:
+            yield first, *_joined(run)
+
+
 def fit(documents: DataFrame, language: str = "lang", text: str = "text", key: str = "doc_id", rows: int = FIT_ROWS) -> LanguageModel:
     """Learn from rows with a language and a text; others are left out.
 
-    Of each language about ``rows`` rows at most are read, those whose hash of ``key`` falls below a
-    share set by the language's count, and 64 KiB of a text at most. Tasks count n-grams and
-    return their counts by language and place. Without such rows every text is ``und``.
+    Of each language about ``rows`` rows at most are read, whole, those whose hash of ``key`` falls below a
+    share set by the language's count; rows of one key are taken together. Tasks count n-grams and return their
+    counts by language and place. Any number of languages can be learnt: the table narrows to MODEL_BYTES.
+    Without such rows every text is ``und``.
     """
     bounded_batches(documents.sparkSession)
     known = documents.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).cast("string").alias("language"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"))
-    counts = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r["language"]: r["n"] for r in known.groupBy("language").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel((UNKNOWN,), np.zeros((1 << TABLE_BITS, 1), dtype=np.float32), np.ones(1))
     names = tuple(sorted(counts))
-    index = {n: i for i, n in enumerate(names)}
-    share = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(int(min(1.0, rows / counts[n]) * (1 << 62))))])
-    taken = known.where(F.col("h").bitwiseAND(F.lit((1 << 62) - 1)) < share[F.col("language")])
+    bits = min(TABLE_BITS, max((MODEL_BYTES // (4 * len(names))).bit_length() - 1, 1))
+    shares = documents.sparkSession.createDataFrame([(n, i, int(min(1.0, rows / counts[n]) * (1 << 62))) for i, n in enumerate(names)], "language string, number int, share long")
+    taken = known.join(F.broadcast(shares), "language").where(F.col("h").bitwiseAND(F.lit((1 << 62) - 1)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), 1 << TABLE_BITS), dtype=np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            of = [index[x] for x in batch.column(0).to_pylist()]
-            for first, texts in by_bytes([t[:FIT_BYTES] for t in utf8(batch.column(1))], _SCAN_BYTES):
-                joined, begin = _joined(texts)
-                place, counted = _grams(joined)
-                for i in range(len(texts)):
+            of = batch.column(0).to_pylist()
+            for first, joined, begin in _runs(utf8(batch.column(1))):
+                place, counted = _grams(joined, bits)
+                for i in range(len(begin) - 1):
                     part = slice(begin[i], begin[i + 1])
-                    total[of[first + i]] += np.bincount(place[part][counted[part]], minlength=1 << TABLE_BITS)
-        where = np.nonzero(total)
-        for k in range(0, len(where[0]), 1 << 16):
-            a, b = where[0][k : k + (1 << 16)], where[1][k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b])], names=["language", "place", "n"])
-
-    sums = taken.select("language", "text").mapInArrow(count, "language int, place int, n long").groupBy("language", "place").agg(F.sum("n").alias("n"))
-    table = np.zeros((1 << TABLE_BITS, len(names)), dtype=np.float64)
-    found = sums.toPandas()
+                    own = np.bincount(place[part][counted[part]], minlength=1 << bits)
+                    total[of[first + i]] = total[of[first + i]] + own if of[first + i] in total else own
+        for number, sums in total.items():
+            held = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), number), pa.int32()), pa.array(held, pa.int32()), pa.array(sums[held])], names=["language", "place", "n"])
+
+    sums = taken.select("number", "text").mapInArrow(count, "language int, place int, n long").groupBy("language", "place").agg(F.sum("n").alias("n"))
+    table = np.zeros((1 << bits, len(names)), dtype=np.float64)
+    found = sums.toPandas()  # no more rows than the table has cells
     table[found["place"], found["language"]] = found["n"]
     smooth = table + 0.05
     logs = np.log(smooth / smooth.sum(axis=0)) * TEMPER
@@ -114,21 +144,36 @@ def fit(documents: DataFrame, language: str = "lang", text: str = "text", key: s
     return LanguageModel(names, logs.astype(np.float32), n / n.sum())
 
 
-def _windows(texts: list[bytes], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _windows(texts: list[bytes | None], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihoods of windows, one text after the other, and each text's offsets into them."""
-    joined, begin = _joined(texts)
-    place, counted = _grams(joined)
+    found, counts = [np.zeros((0, logs.shape[1]))], np.zeros(len(texts), dtype=np.int64)
+    for first, joined, begin in _runs(texts):
+        of, n = _run_windows(joined, begin, logs)
+        found.append(of)
+        counts[first : first + len(n)] += n
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _run_windows(joined: np.ndarray, begin: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods of the windows of a run, and how many each text has."""
+    place, counted = _grams(joined, len(logs).bit_length() - 1)
     starts = np.flatnonzero((joined[1:] != 32) & (joined[:-1] == 32)) + 1  # of words
     first = np.searchsorted(starts, begin)
     words = np.diff(first)
     n = -(-words // WINDOW)
     offsets = np.concatenate([[0], np.cumsum(n)])
     at = starts[(np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)) * WINDOW + np.repeat(first[:-1], n)]
-    if not len(at):
-        return np.zeros((0, logs.shape[1])), offsets
-    used = np.flatnonzero(counted[at[0] :]) + at[0]
-    edge = np.searchsorted(used, at)
-    return np.add.reduceat(logs[place[used]], edge, axis=0, dtype=np.float64), offsets
+    out = np.zeros((len(at), logs.shape[1]))
+    if len(at):
+        used = np.flatnonzero(counted[at[0] :]) + at[0]
+        edge = np.append(np.searchsorted(used, at), len(used))
+        most = max(_GATHERED // logs.shape[1], 1)
+        a = 0
+        while a < len(at):  # as many windows as gather the bound, one at least
+            b = max(int(np.searchsorted(edge, edge[a] + most, "right")) - 1, a + 1)
+            out[a:b] = np.add.reduceat(logs[place[used[edge[a] : edge[b]]]], edge[a:b] - edge[a], axis=0, dtype=np.float64)
+            a = b
+    return out, n
 
 
 def _em(like: np.ndarray, owner: np.ndarray, n: np.ndarray, start: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +186,7 @@ def _em(like: np.ndarray, owner: np.ndarray, n: np.ndarray, start: np.ndarray, h
     return share, np.add.reduceat(np.log((like * share[owner]).sum(axis=1)), heads)
 
 
-def mixtures(texts: list[bytes], model: LanguageModel) -> np.ndarray:
+def mixtures(texts: list[bytes | None], model: LanguageModel) -> np.ndarray:
     """Proportions of languages of each text, zero for languages that aren't in it; all zero without words."""
     out = np.zeros((len(texts), len(model.languages)))
     logs, offsets = _windows(texts, model.logs)
@@ -184,9 +229,10 @@ def mixtures(texts: list[bytes], model: LanguageModel) -> np.ndarray:
 def with_language(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` and ``languages`` (names and proportions of the set, largest first).
 
-    lang_pred is the language with the largest proportion and ``score`` that proportion. A null text and
-    one without a letter are ``und`` with score 0 and no languages; a text whose letters fit no word
-    counts as the language with the largest prior. Map only: the model travels to the tasks.
+    lang_pred is the language with the largest proportion and ``score`` that proportion; of equal ones the first by
+    name. A null text and one without a letter are ``und`` with score 0 and no languages; a text whose letters fit no
+    word counts as the language with the largest prior. Rows that repeat get equal values; columns of ``df`` with
+    these names are replaced. Map only: the model travels to the tasks.
     """
     bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
