@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,8 +182,43 @@ def test_license_digests(spark, rows):
     df = rows([(1, varied, "x"), (2, mit + " more", "x"), (3, None, "x"), (4, "", "x"), (5, "(c) 1999 x", "x"), (6, "licensed under the  APACHE licence version 2.0", "x"), (6, "Licensed under the Apache License, Version 2.0.", "x")], "doc_id long, text string, license string")
     got = sorted((r["doc_id"], r["license"]) for r in licences.with_license(df, licences.known_digests(spark)).collect())
     assert got == [(1, "MIT"), (2, None), (3, None), (4, None), (5, None), (6, "Apache-2.0"), (6, "Apache-2.0")] or [g[1] for g in got] == ["MIT", None, None, None, None, "Apache-2.0", "Apache-2.0"]
-    lines = licences.whole_lines(rows([(1, "a\n\n b \nc", 5), (2, None, 5)], "doc_id long, text string, line_no int"))
-    assert sorted((r["doc_id"], r["line_no"], r["text"]) for r in lines.collect()) == [(1, 1, "a"), (1, 3, " b "), (1, 4, "c")]
+
+
+def test_adjacent_repeats_of_a_spelling(rows):
+    df = rows([(1, "licence licence LICENCE text"), (2, "license license license text"), (3, "sub licence sub-license"), (4, "sublicense sublicence")], "doc_id long, text string")
+    got = {r["doc_id"]: r["f"] for r in df.select("doc_id", licences.canonical(F.col("text")).alias("f")).collect()}
+    assert got[1] == got[2] == "license  license  license  text" and got[3] == got[4] == "sublicense  sublicense"
+
+
+def varied(text):
+    """Another case, other spellings, copyright lines and wrapping; paragraphs that hold a copyright line keep their lines."""
+    out = []
+    for k, part in enumerate(re.split(r"\n\s*\n", text)):
+        if not re.search(r"copyright|\(c\)|all rights reserved", part, re.IGNORECASE):
+            part = textwrap.fill(" ".join(part.split()), 55 + 7 * (k % 4))
+        out.append(part.upper() if k % 2 else part)
+    return "Copyright (c) 2019, 2021 Some One <one@example.org>\n(c) 2022 Another\nAll rights reserved.\n\n" + "\n\n".join(out).replace("license", "licence").replace(" and ", ", and ")
+
+
+def test_whole_licences_in_other_spellings(spark, rows):
+    known = [(name, text) for name, texts in licences.KNOWN.items() for text in texts]
+    folder = Path("/usr/share/common-licenses")
+    shipped = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl", "GFDL-1.3": "GFDL-1.3-only"}
+    known += [(name, (folder / f).read_text()) for f, name in shipped.items() if (folder / f).is_file()]
+    df = rows([(i, varied(text)) for i, (_, text) in enumerate(known)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licences.with_license(df, licences.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(known))] == [name for name, _ in known]
+    assert {name for name, _ in licences.whole_digests()} >= set(shipped.values())
+
+
+def test_scan_of_rows(spark, rows):
+    mit, isc = "Released under the MIT License.", "SPDX-License-Identifier: ISC"
+    data = [(1, f"a\n{mit}\n\n{isc}\n{mit}", "x"), (1, "a\nb", "x"), (None, mit, "x"), (None, None, None), (2, "", "x"), (3, licences.KNOWN["ISC"][0], "y"), (4, f"{mit} more\n {mit.upper()} ", "z")]
+    got = licences.scanned(rows(data, "doc_id long, text string, digest string"), licences.known_digests(spark)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["document_license"], r["n_license_lines"], r["line_licenses"], r["digest"] is None) for r in got))) == sorted(
+        map(str, [(1, None, 3, "ISC,MIT", False), (1, None, 0, "", False), (None, "MIT", 1, "MIT", False), (None, None, 0, "", True), (2, None, 0, "", False), (3, "ISC", 0, "", False), (4, None, 1, "MIT", False)])
+    )
+    assert licences.scanned(rows([], "doc_id long, text string"), licences.known_digests(spark)).count() == 0
 
 
 # --- ranks, shards and mixing

@@ -58,14 +58,8 @@ def op5_event_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, and each whole line of them, against the known digests; per document the licences found."""
-    digests = licences.known_digests(spark)
-    documents = _documents(spark, sf_dir).select("doc_id", "text")
-    whole = licences.with_license(documents, digests).select("doc_id", "digest", F.col("license").alias("document_license"))
-    lines = licences.with_license(licences.whole_lines(documents), digests).where("license IS NOT NULL")
-    found = lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"))
-    joined = whole.join(found, "doc_id", "left")
-    return joined.select("doc_id", "digest", "document_license", F.coalesce("n", F.lit(0)).alias("n_license_lines"), F.coalesce("names", F.lit("")).alias("line_licenses"))
+    """Whole documents, and each whole line of them, against the known digests; per row the licences found. Null texts: no digest, no lines."""
+    return licences.scanned(_documents(spark, sf_dir).select("doc_id", "text"), licences.known_digests(spark))
 
 
 def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +105,15 @@ def _sql_text(text: str) -> str:
 
 def _canonical_sql(text: str) -> str:
     form = f"regexp_replace(lower({text}), {_sql_text(licences.COPYRIGHT_LINE)}, ' ', 'g')"
-    form = f"regexp_replace(' ' || regexp_replace({form}, {_sql_text(licences.NO_WORD)}, ' ', 'g') || ' ', ' +', ' ', 'g')"
+    form = f"(' ' || regexp_replace({form}, {_sql_text(licences.NO_WORD)}, '  ', 'g') || ' ')"
+    form = "replace({}, '{}', '{}')".format(form, *licences.STEM)
     for spelled, spelling in licences.SPELLINGS:
-        form = f"replace({form}, ' {spelled} ', ' {spelling} ')"
+        form = f"replace({form}, ' {spelled.replace(' ', '  ')} ', ' {spelling.replace(' ', '  ')} ')"
     return f"trim({form})"
 
 
 _KNOWN_SQL = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, texts in licences.KNOWN.items() for text in texts)
+_WHOLE_SQL = ", ".join(f"({_sql_text(name)}, {_sql_text(digest)})" for name, digest in licences.whole_digests())
 _WORDS7 = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 SQL: dict[str, str] = {
@@ -148,7 +144,8 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id""",
     "op6_license_digests": f"""
 WITH known AS (
-  SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM (VALUES {_KNOWN_SQL}) AS k(license, text) GROUP BY 1),
+  SELECT digest, min(license) AS license FROM (
+    SELECT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {_KNOWN_SQL}) AS k(license, text) UNION ALL FROM (VALUES {_WHOLE_SQL}) AS w(license, digest)) GROUP BY 1),
 whole AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 found AS (
