@@ -14,9 +14,15 @@ BYTES_PER_BATCH = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches of this session by rows and bytes; long texts then can't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+    """Bound Arrow batches of this session by rows and bytes; long texts then can't pile up in a worker.
+
+    Spark has these limits by session only. A session with tighter ones keeps them.
+    """
+    for name, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(setting).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(setting, str(most))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
