@@ -67,10 +67,52 @@ def test_ingest_b(rows):
     assert got == [("Again", 0, None, "", "No PDF / metadata only"), ("Satu Dua", 12, 2019, "Ref, 2001", "PDF success"), ("Tiga", 5, None, "h, 2002", "HTML fallback")]
 
 
+def test_titled_blocks_without_an_address_all_stay(rows):
+    page = "".join(f'<div class="gs_r gs_or gs_scl"><h3 class="gs_rt"><a>Title {i % 2}</a></h3></div>' for i in range(3))
+    found = html.result_blocks(rows([(0, page)], "page_no int, html string"))
+    out = ingest.articles_a(found, rows([(None,), ("x",)], "url string"), F.current_timestamp(), None).collect()
+    assert sorted((r["title"], r["url"]) for r in out) == [("Title 0", ""), ("Title 0", ""), ("Title 1", "")]
+
+
+def test_one_row_a_block_whatever_the_references(rows):
+    one = blocks(rows).where("page_no = 0")
+    twice = rows([("http://a/1.pdf", "a, 2001"), ("http://a/1.pdf", "b, 2002"), (None, "n")], "pdf_url string, references_text string")
+    pages = rows([("http://a/2", "h, 2002"), ("http://a/2", "g, 2001"), (None, "n")], "url string, html_references string")
+    out = ingest.articles_b(one, F.current_timestamp(), 10, rows([("http://a/1.pdf",), ("http://a/1.pdf",)], "pdf_url string"), twice, pages)
+    got = sorted((r["title"], r["references_text"]) for r in out.collect())
+    assert got == [("Again", ""), ("Old", ""), ("Satu Dua", "b, 2002"), ("Tiga", "h, 2002")]
+
+
+def test_settings_and_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("VELLUMINE_TEST_URL", "jdbc:x")
+    monkeypatch.setenv("VELLUMINE_TEST_USER", "me")
+    assert readers.settings("VELLUMINE_TEST_") == {"url": "jdbc:x", "user": "me"}
+    (tmp_path / "words").write_text("Yang\n dan \n\nyang\n")
+    assert readers.stopwords(spark, str(tmp_path / "words")) == ["dan", "yang"]
+    with pytest.raises(ValueError, match="more than 1"):
+        readers.stopwords(spark, str(tmp_path / "words"), 1)
+    assert readers.blobs(spark, str(tmp_path / "words")).first()["length"] == 17
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from vellumine import session
+
+    made = []
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append)
+    fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default=None: default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(fake)
+    context.master = "local[2]"
+    assert "vellumine-checkpoint-" in session.shared_folder(fake) == made[0]
+
+
 def test_first_per_key_and_unseen(rows):
-    df = rows([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z"), (None, 1, "n"), ("a", 1, "y")], "k string, pos int, v string")
-    assert {(r["k"], r["v"]) for r in ingest.first_per_key(df, "k", "pos").collect()} == {("a", "y"), ("b", "z"), (None, "n")}
-    assert {r["v"] for r in ingest.unseen(df, rows([("a",)], "k string"), "k").collect()} == {"z", "n"}
+    df = rows([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z"), (None, 1, "n"), ("a", 1, "y"), (None, 2, "m"), (None, 1, "n")], "k string, pos int, v string")
+    got = sorted((r["k"] or "", r["v"]) for r in ingest.first_per_key(df, "k", "pos").collect())
+    assert got == [("", "m"), ("", "n"), ("", "n"), ("a", "y"), ("b", "z")]
+    assert {r["v"] for r in ingest.unseen(df, rows([("a",)], "k string"), "k").collect()} == {"z", "n", "m"}
     assert ingest.first_per_key(rows([], "k string, pos int"), "k", "pos").count() == 0
 
 

@@ -61,8 +61,10 @@ def test_empty_corpus(rows):
 def test_densified_and_maps(rows):
     df = corpus(rows)
     weights = tfidf.tfidf(df)
-    grid = tfidf.densified(weights, df.select("id"), weights.select("term")).collect()
-    assert len(grid) == 3 * 2 * 3 and all(r["tfidf"] is not None for r in grid)
+    terms = ["a", "b", "c", "nowhere", "a"]
+    grid = {(r["id"], r["field"], r["term"]): r["tfidf"] for r in tfidf.densified(weights, df.select("id"), terms).collect()}
+    held = {(r["id"], r["field"], r["term"]): r["tfidf"] for r in weights.collect()}
+    assert grid == {(i, f, t): held.get((i, f, t), 0.0) for i in (1, 2, 3) for f in ("title", "abstract") for t in terms}
     maps = tfidf.frequency_maps(tfidf.postings(df))
     got = {(r["id"], r["field"]): r["b"] for r in maps.select("id", "field", tfidf.looked_up(maps, "b").alias("b")).collect()}
     assert got == {(1, "title"): 2 / 3, (1, "abstract"): 0.5, (2, "title"): 0.0}

@@ -12,17 +12,23 @@ def capped(blocks: DataFrame, max_results: int, page: str = "page_no", pos: str
     """The first ``max_results`` blocks over all pages, with ``position`` from 1.
 
     The cap counts attempted blocks: it comes before blocks without a title go. Only the first blocks
-    by order are taken to be numbered, so no more than the cap meets in one task.
+    by order are taken to be numbered, so no more than the cap meets in one task. Blocks of equal page and place
+    come in any order.
     """
     first = blocks.orderBy(page, pos).limit(max_results)
     return first.withColumn("position", F.row_number().over(Window.orderBy(page, pos)))
 
 
 def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key by ``order`` (W2). Combined before the shuffle; rows with a null key form one group."""
+    """The first row of each key by ``order`` (W2). Combined before the shuffle.
+
+    A null key is no key: such rows are all kept, since a lookup by null finds nothing. Rows that tie are told apart by their
+    other columns.
+    """
     rest = [c for c in df.columns if c not in (*order, key)]
-    best = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order, *[F.col(c).cast("string") for c in rest])).alias("_r"))
-    return best.select("_r.*")
+    keyed = df.where(F.col(key).isNotNull())
+    best = keyed.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order, *[F.col(c).cast("string") for c in rest])).alias("_r"))
+    return best.select("_r.*").unionByName(df.where(F.col(key).isNull()))
 
 
 def unseen(candidates: DataFrame, existing: DataFrame, key: str = "url") -> DataFrame:
@@ -53,12 +59,13 @@ def typed_articles(df: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def articles_a(blocks: DataFrame, existing: DataFrame, now: Column, max_results: int = 50, downloaded: DataFrame | None = None) -> DataFrame:
-    """Ingest A (D15): cap, title, first of each URL, not persisted yet, then parsing and PDF status.
+def articles_a(blocks: DataFrame, existing: DataFrame, now: Column, max_results: int | None = 50, downloaded: DataFrame | None = None) -> DataFrame:
+    """Ingest A (D15): cap (None: all blocks), title, first of each URL, not persisted yet, then parsing and PDF status.
 
-    ``downloaded`` has (pdf_url) of valid downloads.
+    ``downloaded`` has (pdf_url) of valid downloads. Titled blocks without a URL are all kept.
     """
-    fresh = first_per_key(with_title(capped(blocks, max_results)), "url", "position")
+    taken = blocks if max_results is None else capped(blocks, max_results)
+    fresh = first_per_key(with_title(taken), "url", "page_no", "pos")
     fresh = unseen(fresh, existing, "url")
     got = F.lit(False)
     if downloaded is not None:
@@ -73,12 +80,13 @@ def articles_a(blocks: DataFrame, existing: DataFrame, now: Column, max_results:
 def articles_b(blocks: DataFrame, now: Column, max_results: int = 10, downloaded: DataFrame | None = None, pdf_refs: DataFrame | None = None, html_refs: DataFrame | None = None) -> DataFrame:
     """Ingest B (D16): cap on one page, title, parsing, references and their status; no de-duplication.
 
-    ``downloaded`` has (pdf_url), ``pdf_refs`` (pdf_url, references_text), ``html_refs`` (url, html_references).
+    ``downloaded`` has (pdf_url), ``pdf_refs`` (pdf_url, references_text), ``html_refs`` (url, html_references); of several
+    texts for one address the greatest counts, so that a block gives one row at most.
     """
     rows = with_title(blocks.where(F.col("pos") <= max_results))
     rows = rows.join(downloaded.select("pdf_url").distinct().withColumn("_got", F.lit(True)), "pdf_url", "left") if downloaded is not None else rows.withColumn("_got", F.lit(False))
-    rows = rows.join(pdf_refs.select("pdf_url", F.col("references_text").alias("_pdf")), "pdf_url", "left") if pdf_refs is not None else rows.withColumn("_pdf", F.lit(""))
-    rows = rows.join(html_refs.select("url", F.col("html_references").alias("_html")), "url", "left") if html_refs is not None else rows.withColumn("_html", F.lit(""))
+    rows = rows.join(pdf_refs.groupBy("pdf_url").agg(F.max("references_text").alias("_pdf")), "pdf_url", "left") if pdf_refs is not None else rows.withColumn("_pdf", F.lit(""))
+    rows = rows.join(html_refs.groupBy("url").agg(F.max("html_references").alias("_html")), "url", "left") if html_refs is not None else rows.withColumn("_html", F.lit(""))
     info = biblio.info_b(F.col("info"))
     refs = biblio.reference_status(F.col("pdf_url"), F.col("_got"), F.col("_pdf"), F.col("_html"))
     pdf = F.when(biblio.has_text(F.col("pdf_url")), F.col("pdf_url"))

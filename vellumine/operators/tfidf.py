@@ -33,6 +33,11 @@ def token_lists(corpus: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
     return union_fields(corpus).select("id", "field", kept.alias("tokens"), gate.alias("stem"))
 
 
+def both_fields() -> Column:
+    """The tokens of title and abstract as one list (F37); a null field has none."""
+    return F.concat(X.tokens(F.col("title")), X.tokens(F.col("abstract")))
+
+
 def words(corpus: DataFrame) -> DataFrame:
     """(id, field, term): every token as a row."""
     return union_fields(corpus).select("id", "field", F.explode(X.tokens(F.col("text"))).alias("term"))
@@ -123,10 +128,14 @@ def tfidf(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer | N
     return posted.join(stats, "term", "left").select("id", "field", "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
-def densified(weights: DataFrame, ids: DataFrame, terms: DataFrame, value: str = "tfidf") -> DataFrame:
-    """Every (id, field, term) of some documents and terms, absent ones 0 (J4). For an edge of the engine, not a corpus."""
-    grid = ids.select("id").distinct().crossJoin(F.broadcast(terms.select("term").distinct()))
-    grid = grid.select("id", F.explode(F.array(F.lit("title"), F.lit("abstract"))).alias("field"), "term")
+def densified(weights: DataFrame, ids: DataFrame, terms: Sequence[str], value: str = "tfidf") -> DataFrame:
+    """Every (id, field, term) of some documents and the given terms, absent ones 0.
+
+    Each document has a cell for each term, so the terms are a list that the caller holds, not a vocabulary.
+    """
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t).alias("term")) for f in ("title", "abstract") for t in dict.fromkeys(terms)])
+    grid = ids.select("id").distinct().select("id", F.explode(cells).alias("c")).select("id", "c.field", "c.term")
+    weights = weights.where(F.col("term").isin(list(terms)))
     return grid.join(weights, ["id", "field", "term"], "left").select("id", "field", "term", F.coalesce(value, F.lit(0.0)).alias(value))
 
 

@@ -6,6 +6,7 @@ abstract, order columns for an info line, pages for stored HTML. All run over wh
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,13 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import biblio, refs, text, urls
 from vellumine.operators import ingest, tfidf
-from vellumine.session import spread
-from vellumine.sources import html
+from vellumine.session import shared_folder, spread
+from vellumine.sources import html, pdf, readers
 
 #: Stopwords of the queries: frequent words of the test tables.
 STOP = ("the", "of", "and", "der", "die", "und", "de", "la", "le", "que")
-#: Terms and documents of the densified edge query.
-EDGE_DOCS, EDGE_TERMS = 5, 20
+#: Blocks that the capped ingest query takes, and words that its test stemmer shortens.
+CAP, SUFFIXES = 10_000, ("ing", "ed", "ly")
 PLACES = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,16 +186,40 @@ def tfidf_without_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _WITH + f", ids AS (SELECT id FROM corpus ORDER BY id LIMIT {EDGE_DOCS}), terms AS (SELECT DISTINCT term FROM postings ORDER BY term LIMIT {EDGE_TERMS}), "
-    "grid AS (SELECT id, field, term FROM ids, terms, (VALUES ('title'), ('abstract')) AS f(field)) "
+    _WITH + f", grid AS (SELECT id, field, unnest({_STOP_LIST}) AS term FROM fields) "
     f"SELECT g.id, g.field, g.term, round(coalesce(tf * idf, 0), {PLACES}) AS tfidf FROM grid g LEFT JOIN postings p USING (id, field, term) LEFT JOIN stats s ON s.term = g.term"
 )
-def tfidf_dense_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tfidf_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weights of the listed terms, absent ones 0."""
     corpus = _corpus(spark, sf_dir)
-    weights = tfidf.tfidf(corpus)
-    ids = corpus.select("id").orderBy("id").limit(EDGE_DOCS)
-    terms = weights.select("term").distinct().orderBy("term").limit(EDGE_TERMS)
-    return tfidf.densified(weights, ids, terms).select("id", "field", "term", _rounded("tfidf"))
+    return tfidf.densified(tfidf.tfidf(corpus), corpus, STOP).select("id", "field", "term", _rounded("tfidf"))
+
+
+def short_stem(word: str) -> str:
+    """A stemmer for tests that SQL can repeat: one of SUFFIXES goes from words of over five letters."""
+    return next((word[: -len(x)] for x in SUFFIXES if len(word) > 5 and word.endswith(x)), word)
+
+
+_STEMMED = (
+    f"lists AS (SELECT id, field, list_filter({_TOKENS.format('text')}, lambda t: NOT list_contains({_STOP_LIST}, t)) AS tokens, list_has_any({_TOKENS.format('text')}, {_STOP_LIST}) AS gate FROM fields), "
+    "raw AS (SELECT id, field, gate, unnest(tokens) AS term FROM lists), "
+    "words AS (SELECT id, field, CASE WHEN gate AND length(term) > 5 THEN regexp_replace(term, '(ing|ed|ly)$', '') ELSE term END AS term FROM raw)"
+)
+
+
+@_query(f"WITH {_CORPUS}, {_FIELDS}, {_STEMMED}, {_POSTINGS}, {_STATS} SELECT id, field, term, round(tf * idf, {PLACES}) AS tfidf FROM postings JOIN stats USING (term)")
+def tfidf_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF after stopwords went and the tokens of texts in the language were stemmed."""
+    return tfidf.tfidf(_corpus(spark, sf_dir), STOP, short_stem).select("id", "field", "term", _rounded("tfidf"))
+
+
+@_query(
+    f"WITH {_CORPUS}, t AS (SELECT id, list_concat({_TOKENS.format('title')}, {_TOKENS.format('abstract')}) AS tokens FROM corpus) "
+    "SELECT id, CAST(len(tokens) AS BIGINT) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM t"
+)
+def list_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _corpus(spark, sf_dir).select("id", tfidf.both_fields().alias("tokens"))
+    return found.select("id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @_query(
@@ -362,18 +387,56 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), "href")
 
 
-@_query("""SELECT page_id, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS n FROM pages""")
+# --- result pages: orders, written as stored HTML of ten blocks a page ------------------------------
+
+_BLOCKS = f"""blocks AS (
+  SELECT CAST(o_orderkey // 10 AS INTEGER) AS page_no, CAST(row_number() OVER (PARTITION BY o_orderkey // 10 ORDER BY o_orderkey) AS INTEGER) AS pos,
+    CASE WHEN o_orderstatus <> 'P' THEN 'Order ' || o_orderkey || ' & more' END AS title,
+    CASE WHEN o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW' THEN 'http://x.org/' || o_custkey END AS url,
+    {_INFO} AS info, 'Status' || chr(10) || o_orderstatus AS abstract,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 'Cited ' || o_custkey || ' times' END AS cite_text,
+    CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Cited ' || o_custkey || ' times' END AS cite_text_loose,
+    o_orderpriority IN ('2-HIGH', '3-MEDIUM') AS has_pdf_link,
+    CASE WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 'http://x.org/' || o_orderkey || '.pdf' END AS pdf_url
+  FROM orders)"""
+
+
+def _result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_no, html): each order a result block; some have no title link, address, citations or PDF."""
+    key, status, priority, customer = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey")
+    info = F.concat(F.lit("Clerk-"), customer, F.lit(" - "), priority, F.lit(", "), F.year("o_orderdate"), F.lit(" - "), status, F.lit(".org"))
+    link = F.concat(F.lit("<a"), F.when(priority != "5-LOW", F.concat(F.lit(' href="http://x.org/'), customer, F.lit('"'))).otherwise(""), F.lit(">Order <b>"), key, F.lit("</b> &amp; more</a>"))
+    cited = F.when(priority == "1-URGENT", F.lit("/s?cites=1")).when(priority == "2-HIGH", F.lit("/cites/2"))
+    block = F.concat(
+        F.lit('<div class="gs_r gs_or gs_scl"><h3 class="gs_rt">'), F.when(status != "P", link).otherwise("no link"),
+        F.lit('</h3><div class="gs_a">'), info, F.lit('</div><div class="gs_rs">Status<br>'), status, F.lit("</div>"),
+        F.coalesce(F.concat(F.lit('<a href="'), cited, F.lit('">Cited '), customer, F.lit(" times</a>")), F.lit("")),
+        F.when(priority.isin("2-HIGH", "3-MEDIUM"), F.concat(F.lit('<div class="gs_or_ggsm"><a href="http://x.org/'), key, F.lit('.pdf">PDF</a></div>'))).otherwise(""),
+        F.lit("</div>"),
+    )
+    pages = _table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 10").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("b")))).alias("blocks"))
+    return pages.select("page_no", F.concat(F.lit("<html><body>"), F.array_join(F.transform("blocks", lambda x: x["b"]), "\n"), F.lit("</body></html>")).alias("html"))
+
+
+@_query(f"WITH {_BLOCKS} SELECT * FROM blocks")
+def result_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of every block of stored result pages."""
+    return html.result_blocks(_result_pages(spark, sf_dir))
+
+
+@_query(f"WITH {_BLOCKS} SELECT page_no, count(*) AS n FROM blocks GROUP BY page_no")
 def results_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", F.size(html.links(F.col("html"))).cast("long").alias("n"))
+    return html.result_blocks(_result_pages(spark, sf_dir)).groupBy("page_no").agg(F.count("*").alias("n"))
 
 
 # --- ingest ---------------------------------------------------------------------------------------
 
 
-@_query("SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id % 2 = 0 AND s.text = d.text)")
+@_query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 def anti_join_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ingest.unseen(documents.where("doc_id % 2 = 1"), documents.where("doc_id % 2 = 0"), "text").select("doc_id")
+    """Candidates whose key is not persisted yet: customers without an order."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return ingest.unseen(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
 @_query("SELECT min(doc_id) AS doc_id, length(text) AS n_chars FROM documents GROUP BY text")
@@ -405,18 +468,160 @@ def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
 
 
-@_query(
-    "WITH b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS position, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, regexp_replace(url, '[0-9]', '', 'g') AS url FROM pages), "
-    "f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY position) AS rn FROM b WHERE position <= 100 AND title IS NOT NULL) "
-    "SELECT title, url, CAST(0 AS INTEGER) AS citations, 'metadata_only' AS scrape_status FROM f WHERE rn = 1"
+_NOW = "2026-02-01 00:00:00"
+_YEAR_A = r"nullif(regexp_extract(rest, '(?:^|[^\p{L}\p{N}_])((?:19|20)\p{Nd}{2})(?:[^\p{L}\p{N}_]|$)', 1), '')"
+_INGESTED = (
+    f"{_BLOCKS}, capped AS (SELECT *, row_number() OVER (ORDER BY page_no, pos) AS position FROM blocks QUALIFY position <= {{cap}}), "
+    "first AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY position) AS rn FROM capped WHERE title IS NOT NULL), "
+    "fresh AS (SELECT * FROM first f WHERE (rn = 1 OR url IS NULL) AND NOT EXISTS (SELECT 1 FROM customer c WHERE c_mktsegment = 'BUILDING' AND 'http://x.org/' || c_custkey = f.url)), "
+    f"parsed AS (SELECT *, trim(split_part(info, ' - ', 1)) AS authors, substr(info, strpos(info, ' - ') + 3) AS rest, {_YEAR_A} AS yr FROM fresh) "
+    "SELECT title, authors, CAST(yr AS INTEGER) AS year, CASE WHEN yr IS NOT NULL THEN trim(substr(rest, strpos(rest, yr) + 4), ' ,-.') ELSE trim(rest) END AS source, abstract, "
+    "coalesce(TRY_CAST(regexp_extract(cite_text, '[0-9]+') AS INTEGER), 0) AS citations, coalesce(url, '') AS url, pdf_url, "
+    "CASE WHEN NOT has_pdf_link THEN 'metadata_only' WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' AND 'http://x.org/' || o_orderkey || '.pdf' = parsed.pdf_url) THEN 'pdf_downloaded' ELSE 'pdf_url_only' END AS scrape_status, "
+    f"TIMESTAMP '{_NOW}' AS scraped_at FROM parsed"
 )
+
+
+def _ingested(spark: SparkSession, sf_dir: str, cap: int | None) -> DataFrame:
+    blocks = html.result_blocks(_result_pages(spark, sf_dir))
+    existing = _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("http://x.org/"), "c_custkey").alias("url"))
+    downloaded = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("http://x.org/"), "o_orderkey", F.lit(".pdf")).alias("pdf_url"))
+    made = ingest.articles_a(blocks, existing, F.to_timestamp(F.lit(_NOW)), cap, downloaded)
+    return made.withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
+
+
+@_query(f"WITH {_INGESTED.replace("{cap}", str(CAP))}")
 def ingest_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingest A over pages as one-block results: cap, title, first of each URL, nothing persisted yet."""
-    pages = _table(spark, sf_dir, "pages")
-    none = F.lit(None).cast("string")
-    blocks = pages.select(
-        F.col("page_id").alias("page_no"), F.lit(1).alias("pos"), html.title(F.col("html")).alias("title"), F.regexp_replace("url", "[0-9]", "").alias("url"),
-        none.alias("info"), none.alias("abstract"), none.alias("cite_text"), F.lit(False).alias("has_pdf_link"), none.alias("pdf_url"),
+    """Ingest A: blocks of stored pages, cap, titles, first of each URL, what is persisted already, parsing and PDF status."""
+    return _ingested(spark, sf_dir, CAP)
+
+
+@_query(f"WITH {_INGESTED.replace("{cap}", str(1 << 62))}")
+def ingest_articles_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest A without a cap, as the stream takes it."""
+    return _ingested(spark, sf_dir, None)
+
+
+@_query(
+    f"WITH {_BLOCKS}, r AS (SELECT l_orderkey, 'Ref ' || max(l_linenumber) || ', 2001' AS t FROM lineitem GROUP BY l_orderkey), h AS (SELECT c_custkey, max(c_name) AS t FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY c_custkey), "
+    "j AS (SELECT b.*, coalesce(pdf_url <> '', false) AS has, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' AND 'http://x.org/' || o_orderkey || '.pdf' = b.pdf_url) AS got, r.t AS from_pdf, h.t AS from_html "
+    "FROM blocks b LEFT JOIN r ON 'http://x.org/' || l_orderkey || '.pdf' = b.pdf_url LEFT JOIN h ON 'http://x.org/' || c_custkey = b.url WHERE title IS NOT NULL AND pos <= 7) "
+    r"SELECT title, trim(split_part(info, '-', 1)) AS authors, TRY_CAST(regexp_extract(info, '(?:^|[^\p{L}\p{N}_])(\p{Nd}{4})(?:[^\p{L}\p{N}_]|$)', 1) AS INTEGER) AS year, info AS source, url, pdf_url, "
+    "coalesce(TRY_CAST(regexp_extract(cite_text_loose, '[0-9]+') AS INTEGER), 0) AS citations, "
+    "CASE WHEN has AND NOT got THEN '' WHEN has AND from_pdf <> '' THEN from_pdf WHEN from_html <> '' THEN from_html ELSE '' END AS references_text, "
+    "CASE WHEN has AND NOT got THEN 'PDF fail / maybe paid or redirect' WHEN has AND from_pdf <> '' THEN 'PDF success' WHEN from_html <> '' THEN 'HTML fallback' WHEN has THEN 'PDF empty' ELSE 'No PDF / metadata only' END AS references_status, "
+    f"TIMESTAMP '{_NOW}' AS scraped_at FROM j"
+)
+def ingest_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest B: the first seven blocks of each page, titles, parsing, references of PDFs and pages with their status."""
+    blocks = html.result_blocks(_result_pages(spark, sf_dir))
+    address = lambda c: F.concat(F.lit("http://x.org/"), F.col(c), F.lit(".pdf")).alias("pdf_url")
+    downloaded = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(address("o_orderkey"))
+    # several lines for one PDF: one row a block all the same
+    pdf_refs = _table(spark, sf_dir, "lineitem").select(address("l_orderkey"), F.concat(F.lit("Ref "), "l_linenumber", F.lit(", 2001")).alias("references_text"))
+    html_refs = _table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.concat(F.lit("http://x.org/"), "c_custkey").alias("url"), F.col("c_name").alias("html_references"))
+    made = ingest.articles_b(blocks, F.to_timestamp(F.lit(_NOW)), 7, downloaded, pdf_refs, html_refs)
+    return made.withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
+
+
+# --- sources and sinks ------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query(
+    "SELECT CAST(c_custkey AS BIGINT) AS id, c_name || ', \"' || c_mktsegment || '\"' AS title, 'first line' || chr(10) || c_name AS abstract, CAST(c_nationkey AS INTEGER) AS year, 'http://x.org/' || c_custkey AS url FROM customer"
+)
+def csv_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exported table, written with quotes and cells of several lines, read back by its schema."""
+    path = _scratch(spark, "csv")
+    rows = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("title"), F.concat(F.lit("first line\n"), "c_name").alias("abstract"),
+        F.col("c_nationkey").alias("year"), F.concat(F.lit("http://x.org/"), "c_custkey").alias("url"),
     )
-    empty = blocks.select("url").where("false")
-    return ingest.articles_a(blocks, empty, F.current_timestamp(), 100).select("title", "url", "citations", "scrape_status")
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return readers.articles_csv(spark, path).select("id", "title", "abstract", "year", "url")
+
+
+@_query(
+    "SELECT step, count(*) AS success, (SELECT count(DISTINCT o_custkey) FROM orders) AS rows_in_table FROM ("
+    "SELECT 1 AS step, o_custkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey UNION ALL "
+    "SELECT 2, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderstatus = 'F' AND p.o_custkey = o.o_custkey) GROUP BY o_custkey) GROUP BY step"
+)
+def append_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to one table, each of what it does not hold yet, with the rows that each reports; the second run of a step adds none."""
+    path = _scratch(spark, "table")
+    urls_of = lambda df: df.select(F.concat(F.lit("http://x.org/"), "o_custkey").alias("url")).distinct()
+    orders = _table(spark, sf_dir, "orders")
+    counts = []
+    for step, batch in ((1, orders.where("o_orderstatus = 'F'")), (2, orders), (3, orders)):
+        counts.append((step, ingest.append(ingest.unseen(urls_of(batch), readers.persisted(spark, path)), path)))
+    done = spark.createDataFrame([c for c in counts if c[1]], "step int, success long")
+    total = spark.read.parquet(path).agg(F.count("*").alias("rows_in_table"))
+    return done.join(F.broadcast(total.withColumn("k", F.lit(1))), F.lit(1) == F.col("k")).select("step", "success", "rows_in_table")
+
+
+@_query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY line")
+def blob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files at rest, read as bytes: lines of all documents by how often they stand there."""
+    path = _scratch(spark, "blobs")
+    spread(_table(spark, sf_dir, "documents").select("text")).where("text IS NOT NULL").write.text(path)
+    lines = readers.blobs(spark, f"{path}/part-*").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+    return lines.where("line != ''").groupBy("line").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM documents) WHERE term NOT IN {_STOP} GROUP BY term")
+def stopword_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stopwords from a file, as a table for the join and as a list for literals."""
+    path = _scratch(spark, "stopwords")
+    spark.createDataFrame([(f" {w.upper()} ",) for w in (*STOP, "", STOP[0])], "value string").write.text(path)
+    words = spread(_table(spark, sf_dir, "documents").select("text")).select(F.explode(text.without(text.tokens(F.col("text")), readers.stopwords(spark, path))).alias("term"))
+    return tfidf.without_listed(words, readers.stopword_table(spark, path)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query(
+    "SELECT 'doc-' || doc_id || '.pdf' AS pdf_url, CAST(page_no AS INTEGER) AS page_no, page AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS page, generate_subscripts(string_split(text, chr(10)), 1) AS page_no FROM documents) WHERE page <> ''"
+)
+def pdf_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts of files by a pluggable parser: each line of a document is a page, pages without text are left out."""
+    content = F.concat(F.lit("%PDF-1.4\n"), F.translate("text", "\n", "\f")).cast("binary")
+    blobs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("doc-"), "doc_id", F.lit(".pdf")).alias("path"), content.alias("content"))
+    return pdf.pages(blobs, pdf.form_feed_parser)
+
+
+_STATUS = "CASE WHEN o_orderpriority = '5-LOW' THEN 404 ELSE 200 END"
+_KIND = "CASE WHEN o_orderstatus = 'F' THEN 'Application/PDF; x' ELSE 'text/html' END"
+_BODY = "CASE WHEN o_orderpriority = '1-URGENT' THEN '%PDF-1.4 ' WHEN o_orderpriority = '2-HIGH' THEN 'FORBIDDEN ' ELSE 'page ' END || o_orderkey"
+_ADDRESS = "'http://x.org/d/' || o_orderkey || CASE WHEN o_orderstatus = 'O' THEN '.html' ELSE '.PDF' END"
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bodies of what was fetched, one an order, and requests with titles, one of an address that was not."""
+    orders = _table(spark, sf_dir, "orders")
+    blobs = orders.select(F.expr(_ADDRESS).alias("path"), F.expr(_STATUS).alias("status"), F.expr(_KIND).alias("content_type"), F.expr(_BODY).cast("binary").alias("content"))
+    requests = orders.select(F.expr(_ADDRESS).alias("pdf_url"), F.concat(F.lit("Order: "), "o_orderkey").alias("title"))
+    return blobs, requests.union(spark.createDataFrame([("http://x.org/gone.pdf", "gone")], "pdf_url string, title string"))
+
+
+@_query(
+    f"SELECT {_ADDRESS} AS pdf_url, 'Order: ' || o_orderkey AS title, CASE WHEN {_STATUS} = 200 AND (o_orderstatus = 'F' OR o_orderpriority = '1-URGENT') THEN 'pdfs/Order_' || o_orderkey || '.pdf' END AS file FROM orders "
+    "UNION ALL SELECT 'http://x.org/gone.pdf', 'gone', NULL"
+)
+def download_triage_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.downloaded_a(*_fetched(spark, sf_dir))
+
+
+@_query(
+    f"SELECT {_ADDRESS} AS pdf_url, 'Order: ' || o_orderkey AS title, CASE WHEN o_orderstatus <> 'O' AND {_STATUS} < 400 AND o_orderpriority <> '2-HIGH' THEN 'pdfs/' || o_orderkey || '.PDF' END AS file FROM orders "
+    "UNION ALL SELECT 'http://x.org/gone.pdf', 'gone', NULL"
+)
+def download_triage_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.downloaded_b(*_fetched(spark, sf_dir))
+
+
+@_query("SELECT CAST(0 AS INTEGER) AS page_no, 'https://search.example.org/scholar?q=sistem+informasi+desa&hl=id' AS url")
+def search_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.search_url(spark, "https://search.example.org/scholar", "sistem informasi desa")

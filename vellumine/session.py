@@ -30,19 +30,22 @@ def spread(df: DataFrame) -> DataFrame:
     A table that is large has more partitions than cores and is left as it is, so nothing of it is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary one.
+    A local session that names none gets a temporary one; on a cluster that raises RuntimeError, since
+    executors would each write to their own disks.
     """
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumine-checkpoint-"))
-    return context.getCheckpointDir().get()
+        if named is None and (context.master != "local" and not context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumine-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -52,9 +52,17 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def stopwords(spark: SparkSession, path: str) -> list[str]:
-    """Words of a text file, one a line (S11). The list is bounded: a language's stopwords."""
-    return [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").select(F.lower(F.trim("value")).alias("value")).distinct().orderBy("value").limit(100_000).collect()]
+def stopword_table(spark: SparkSession, path: str) -> DataFrame:
+    """(term) of a text file, one a line (S11), blank lines left out: a list of any length, for a join."""
+    return spark.read.text(path).where(F.trim("value") != "").select(F.lower(F.trim("value")).alias("term")).distinct()
+
+
+def stopwords(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
+    """The words of ``stopword_table`` as a list for literals. Raises ValueError if they are more than ``most``: use the table then."""
+    found = [r["term"] for r in stopword_table(spark, path).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} words")
+    return sorted(found)
 
 
 def settings(prefix: str) -> dict[str, str]:

@@ -11,10 +11,11 @@ from vellumine.schemas import RESULT_BLOCKS, schema
 from vellumine.sources.readers import persisted
 
 
-def ingest_folder(spark: SparkSession, folder: str, table: str, checkpoint: str, max_results: int = 1_000_000) -> StreamingQuery:
+def ingest_folder(spark: SparkSession, folder: str, table: str, checkpoint: str, max_results: int | None = None) -> StreamingQuery:
     """Read Parquet files of result blocks as they land, append unseen articles to ``table``.
 
-    Each micro-batch is de-duplicated against the table, so a batch that is run again appends nothing twice.
+    Each micro-batch is de-duplicated against the table, so a batch that is run again appends nothing twice. ``max_results``
+    caps a micro-batch; by default every block counts, since files once read are not read again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
