@@ -225,12 +225,22 @@ def test_ranks_and_vocabulary_agree():
         tokens.count_batch([b"x"], "other.bin")
 
 
-def test_cuts_are_safe():
-    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+@pytest.mark.parametrize(("name", "cut"), [("piece_bpe_32k.model", tokens.DROP_SPACE), ("byte_bpe_50k.json", tokens.KEEP_SPACE), ("byte_bpe_50k.tiktoken", tokens.KEEP_SPACE)])
+def test_cuts_are_safe(name, cut):
+    encode, found = tokens._encoder(public_tokenizers.path(name))
+    assert found is cut
     rng = random.Random(3)
-    table = pd.read_parquet(f"{SF}/documents.parquet")["text"]
-    for text in rng.sample(list(table), 40):
-        parts = tokens.safe_cuts(text.encode(), 64)
-        assert b" ".join(parts) == text.encode()
-        assert sum(len(model.encode(p.decode())) for p in parts) == len(model.encode(text))
-    assert tokens.safe_cuts(b"x" * 1000, 10) == [b"x" * 1000]
+    texts = [t.encode() for t in rng.sample(list(pd.read_parquet(f"{SF}/documents.parquet")["text"]), 40)]
+    texts += [b"</s>[INST] x <|endoftext|> y " * 30, "a b é c 日本 d 1 2  3 4 'll it's we 've".encode() * 20]
+    for text in texts:
+        parts = tokens.safe_cuts(text, 64, cut)
+        assert (b"" if cut else b" ").join(parts) == text and (len(text) < 2000 or len(parts) > 5)
+        assert sum(encode(parts)) == encode([text])[0]
+    assert tokens.safe_cuts(b"x" * 1000, 10, cut) == [b"x" * 1000]
+
+
+def test_other_files_are_cut_only_where_words_are_parted():
+    for name in ("word_bpe_49k.json",):
+        encode, cut = tokens._encoder(public_tokenizers.path(name))
+        text = ("Some words, and 12 more; " * 400).encode()
+        assert sum(encode([text] if cut is tokens.WHOLE else tokens.safe_cuts(text, 64, cut))) == encode([text])[0]

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,49 +25,68 @@ from vellumine.llm.arrow import by_bytes, bounded_batches, utf8
 CALL_BYTES = 256 << 10
 
 
-def _plain(byte: int) -> bool:
-    return 48 <= byte <= 57 or 65 <= byte <= 90 or 97 <= byte <= 122
+_CUT = re.compile(rb"[0-9A-Za-z] (?=[0-9A-Za-z])")
 
 
-def safe_cuts(text: bytes, every: int) -> list[bytes]:
+def safe_cuts(text: bytes, every: int, keep: bool = False) -> list[bytes]:
     """Parts of ``text`` of about ``every`` bytes, cut at single spaces between ASCII letters or digits.
 
-    The space itself goes: an encoder that puts a word mark before each part restores it. A text
-    without such a place stays whole.
+    The space itself goes, for an encoder that puts a word mark before each part, or stays at the head of the next
+    part (``keep``). A text without such a place stays whole.
     """
-    parts, begin = [], 0
+    parts, begin, search = [], 0, 0
     while len(text) - begin > every:
-        at = begin + every
-        while at < len(text) - 1 and not (text[at] == 32 and _plain(text[at - 1]) and _plain(text[at + 1])):
-            at += 1
-        if at >= len(text) - 1:
+        found = _CUT.search(text, max(begin + every, search))
+        if found is None:
             break
+        at = found.start() + 1
         parts.append(text[begin:at])
-        begin = at + 1
+        begin = at + (not keep)
+        search = at + 1
     parts.append(text[begin:])
     return parts
 
 
+#: Whether and how an encoder's long texts may be cut.
+WHOLE, DROP_SPACE, KEEP_SPACE = None, False, True
+_PROBES = [("a", "b"), ("Word", "word"), ("x9", "7 up"), ("the end", "Of it. 3,5"), ("z", "q  double\n\tlines")]
+
+
+def _joins(encode: Callable[[str], list], space: str) -> bool:
+    """Whether pieces of two parts are those of the whole for texts of all kinds that are cut."""
+    return all(encode(f"{a} {b}") == encode(a) + encode(space + b) for a, b in _PROBES)
+
+
+def _by_words(spec: dict) -> bool:
+    """Whether a tokenizer file splits texts into words before merging, by rules that part a word from a space behind it."""
+    step = spec.get("pre_tokenizer") or {}
+    kinds = [x.get("type") for x in step.get("pretokenizers", [step])]
+    return spec.get("normalizer") is None and kinds[:1] in (["ByteLevel"], ["Whitespace"], ["WhitespaceSplit"], ["BertPreTokenizer"]) and step.get("add_prefix_space", False) is False
+
+
 @functools.cache
-def _encoder(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool]:
-    """A function from texts to token counts, and whether long texts may be cut."""
+def _encoder(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool | None]:
+    """A function from texts to token counts, and how long texts may be cut.
+
+    A cut is safe if no merge reaches across it: no piece holds a word mark behind another character, or words are parted
+    before merging, and a part gets back what stood before it.
+    """
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        # A cut is safe if no piece holds a word mark behind another character, and if a part
-        # gets its word mark back: then no merge reaches across the cut.
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         marked = all("▁" not in p.lstrip("▁") for p in pieces)
-        joins = model.encode("a b", out_type=str) == model.encode("a", out_type=str) + model.encode("b", out_type=str)
-        return lambda texts: [len(x) for x in model.encode([t.decode() for t in texts], num_threads=1)], marked and joins
+        cut = DROP_SPACE if marked and _joins(lambda t: model.encode(t, out_type=str), "") else WHOLE
+        return lambda texts: [len(x) for x in model.encode([t.decode() for t in texts], num_threads=1)], cut
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        return lambda texts: [len(x.ids) for x in tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)], False
+        cut = KEEP_SPACE if _by_words(json.loads(tokenizer.to_str())) and _joins(lambda t: tokenizer.encode(t, add_special_tokens=False).tokens, " ") else WHOLE
+        return lambda texts: [len(x.ids) for x in tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)], cut
     if path.endswith(".tiktoken"):
         import public_tokenizers
         import tiktoken
@@ -72,16 +94,18 @@ def _encoder(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool]:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [len(coding.encode_ordinary(t.decode())) for t in texts], False
+        # the pattern takes a space with the word behind it
+        cut = KEEP_SPACE if regex.findall(public_tokenizers.PATTERN, "ab cd 12 ef") == ["ab", " cd", " 12", " ef"] and _joins(coding.encode_ordinary, " ") else WHOLE
+        return lambda texts: [len(coding.encode_ordinary(t.decode())) for t in texts], cut
     raise ValueError(f"no library for {path}")
 
 
 def count_batch(texts: list[bytes | None], path: str, call_bytes: int = CALL_BYTES) -> np.ndarray:
     """Token counts of ``texts`` (null: empty)."""
-    encode, may_cut = _encoder(path)
+    encode, cut = _encoder(path)
     owners, parts = [], []
     for i, text in enumerate(texts):
-        for part in safe_cuts(text or b"", call_bytes) if may_cut else [text or b""]:
+        for part in [text or b""] if cut is WHOLE else safe_cuts(text or b"", call_bytes, cut):
             owners.append(i)
             parts.append(part)
     out = np.zeros(len(texts), dtype=np.int64)
