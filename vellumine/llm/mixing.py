@@ -30,8 +30,8 @@ from vellumine.session import cut
 BLOCK_BYTES = 4 << 10
 #: Shares are taken as bytes to this power unless weights are given: small sources count for more.
 TEMPER = 0.9
-#: Blocks up to which their slots are broadcast, of some 50 bytes each; more are joined by a shuffle.
-BROADCAST_BLOCKS = 1 << 18
+#: Blocks up to which their slots are broadcast, of some 130 bytes each; more are joined by a shuffle.
+BROADCAST_BLOCKS = 1 << 16
 _BATCH = 1 << 16
 
 

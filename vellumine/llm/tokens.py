@@ -61,7 +61,8 @@ def _by_words(spec: dict) -> bool:
     """Whether a tokenizer file splits texts into words before merging, by rules that part a word from a space behind it."""
     step = spec.get("pre_tokenizer") or {}
     kinds = [x.get("type") for x in step.get("pretokenizers", [step])]
-    return spec.get("normalizer") is None and kinds[:1] in (["ByteLevel"], ["Whitespace"], ["WhitespaceSplit"], ["BertPreTokenizer"]) and step.get("add_prefix_space", False) is False
+    whole = all(" " not in t["content"] for t in spec.get("added_tokens") or [])
+    return whole and spec.get("normalizer") is None and kinds[:1] in (["ByteLevel"], ["Whitespace"], ["WhitespaceSplit"], ["BertPreTokenizer"]) and step.get("add_prefix_space", False) is False
 
 
 @functools.cache
