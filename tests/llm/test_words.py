@@ -1,10 +1,15 @@
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from vellumine.llm import words as words_module
 from vellumine.llm.words import ALNUM, NOT_SPACE, shingles, words
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -47,3 +52,27 @@ def test_no_collisions_among_many_words():
     rng = random.Random(1)
     made = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(200_000)}
     assert len(np.unique(words([" ".join(made).encode()], NOT_SPACE).hashes)) == len(made)
+
+
+CORES = {
+    "nearcopy": "s, o = m.shingle_sets([text], 3); m.signature_bands(s, o, 70, 5)",
+    "toxicity": "m.savings(text, text[:16000], b' badword ' * 50)",
+    "langmix": "m.mixtures([text], m.LanguageModel(tuple('abcd'), np.random.rand(1 << 17, 4).astype(np.float32), np.ones(4) / 4))",
+    "tokens": "import public_tokenizers; m.count_batch([text], public_tokenizers.path('piece_bpe_32k.model'))",
+    "tiff": "p = text[: 576 * 20000]; m.payload_digest(m.read_pages(m.write_payload(p)))",
+}
+
+
+@pytest.mark.parametrize("module", CORES)
+def test_memory_of_a_long_text(module):
+    code = f"""
+import resource, numpy as np
+from vellumine.llm import {module} as m
+rss = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+text = np.random.default_rng(1).choice(np.frombuffer(b"abcdefghij      ", np.uint8), 12 << 20).tobytes()
+before = rss()
+{CORES[module]}
+print(rss() - before)
+"""
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(words_module.__file__).parents[2], check=True)
+    assert int(made.stdout) < 600

@@ -14,8 +14,11 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
-    """For each u of (u, v): the least of u and its neighbours, as (u, v, least)."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), F.least("u", "w").alias("least"))
+    """For each u of (u, v): the least of u and its neighbours, as (u, v, least).
+
+    The least ones are written first: a join of two plain shuffles is one that adaptive execution splits where u is hot.
+    """
+    least = cut(pairs.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), F.least("u", "w").alias("least")))
     return pairs.join(least, F.col("u") == F.col("u2")).drop("u2")
 
 
