@@ -32,7 +32,7 @@ WINDOW = 10
 #: UTF-8 bytes of benchmark text that one pass over the documents carries; a larger benchmark takes more passes.
 BENCHMARK_BYTES = 16 << 20
 #: Bytes of documents in a shard, and words of a part of a longer document.
-SHARD_BYTES, PART_WORDS = 6 << 20, 1 << 20
+SHARD_BYTES, PART_WORDS = 3 << 20, 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
