@@ -389,6 +389,7 @@ def test_null_and_repeated_keys_stay_in_their_source(rows):
 @pytest.mark.parametrize("broadcast", [0, 1 << 18])
 def test_default_mix_keeps_every_row(rows, monkeypatch, broadcast):
     monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", broadcast)
+    monkeypatch.setattr(mixing, "BROADCAST_TO_ROWS", broadcast)
     data = [(i, "hot" if i % 3 == 0 else f"s{i % 20}", "t" * 40) for i in range(900)] + [(None, None, None), (5, "s5", "again")]
     df = rows(data, "doc_id long, source string, text string")
     assert all(r["in_mix"] for r in mixing.mix(df, block_bytes=256).collect())

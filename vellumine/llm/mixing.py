@@ -30,8 +30,9 @@ from vellumine.session import cut
 BLOCK_BYTES = 4 << 10
 #: Shares are taken as bytes to this power unless weights are given: small sources count for more.
 TEMPER = 0.9
-#: Blocks up to which their slots are broadcast, of some 130 bytes each; more are joined by a shuffle.
-BROADCAST_BLOCKS = 1 << 16
+#: Blocks up to which their slots are broadcast, of some 130 bytes each, to rows of numbers and to whole rows; more are joined by
+#: a shuffle, which costs more with whole rows.
+BROADCAST_BLOCKS, BROADCAST_TO_ROWS = 1 << 16, 1 << 18
 _BATCH = 1 << 16
 
 
@@ -126,8 +127,8 @@ def _name(source: str):
     return F.coalesce(F.concat(F.lit("s:"), F.col(source).cast("string")), F.lit("n"))
 
 
-def _placed(df: DataFrame, weights: dict[str | None, float] | None, source: str, text: str, key: str, block_bytes: int, lost: float, *kept) -> DataFrame:
-    """``kept`` columns of each row of ``df`` with size, block, slot, in_mix and, for an order, _key and _tie."""
+def _placed(df: DataFrame, weights: dict[str | None, float] | None, source: str, text: str, key: str, block_bytes: int, lost: float, most: int, *kept) -> DataFrame:
+    """``kept`` columns of each row of ``df`` with size, block, slot, in_mix and, for an order, _key and _tie; ``most`` blocks are broadcast."""
     size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size")
     # copies of a key, null or not, are told apart by their texts, so that no key is one task's
     rows = df.select(*kept, size, F.xxhash64(F.col(key)).alias("_key"), F.xxhash64(F.col(key), F.col(text)).alias("_tie"), _name(source).alias("_name"))
@@ -141,7 +142,7 @@ def _placed(df: DataFrame, weights: dict[str | None, float] | None, source: str,
     sources = sums.select("_name", F.ceil(F.col("_bytes") / F.lit(block_bytes)).cast("long").alias("_blocks"), weight.alias("_weight"))
     slots = cut(_scheduled(sources, lost))
     blocked = ranked(rows, "_name", "_key", "_tie", "size", counts=cells).withColumn("block", F.expr(f"before div {block_bytes}").cast("long"))
-    return blocked.join(F.broadcast(slots) if slots.count() <= BROADCAST_BLOCKS else slots, ["_name", "block"])
+    return blocked.join(F.broadcast(slots) if slots.count() <= most else slots, ["_name", "block"])
 
 
 def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, lost: float = 1.0) -> DataFrame:
@@ -156,7 +157,7 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     later slots. With ``lost`` below 1 the mix ends once sources with more than that part of the weight have run dry.
     Other columns are ignored; an empty table has no rows. Any number of sources can be mixed.
     """
-    out = _placed(df, weights, source, text, key, block_bytes, lost, F.col(key).alias("_id"), F.col(source).alias("_source"))
+    out = _placed(df, weights, source, text, key, block_bytes, lost, BROADCAST_BLOCKS, F.col(key).alias("_id"), F.col(source).alias("_source"))
     return out.select(F.col("_id").alias(key), F.col("_source").alias(source), "size", "block", "slot", "in_mix")
 
 
@@ -166,6 +167,6 @@ def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, source:
     Each row takes its own place as ``mix`` says, whatever its key. Without ``weights`` that is every row.
     """
     own = F.struct(*df.columns).alias("_own")  # columns of df can't clash
-    kept = _placed(df, weights, source, text, key, block_bytes, lost, own).where("in_mix")
+    kept = _placed(df, weights, source, text, key, block_bytes, lost, BROADCAST_TO_ROWS, own).where("in_mix")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return kept.repartitionByRange(n, "slot", "_key", "_tie").sortWithinPartitions("slot", "_key", "_tie").select("_own.*")
