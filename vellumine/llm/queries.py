@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontaminate, langmix, licences, mixing, nearcopy, shards, tiff, tokens, toxicity
+from vellumine.llm import chat, decontaminate, infill, langmix, licences, mixing, nearcopy, packing, shards, spelling, tiff, tokens, toxicity
+from vellumine.session import spread
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +111,29 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut in three at random code points and put together anew, with digests of the result and of the text rebuilt from it.
+
+    Null and empty texts are plain, as are texts that hold a mark; repeated rows have a row each, with equal values. A null id draws as
+    an empty one.
+    """
+    rows = infill.with_infill(_documents(spark, sf_dir).select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = digest(infill.restored(F.col("output"), F.col("form")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), back.alias("restored_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, one run of 31 of them misspelt, with the frequent form that each belongs to. Null and empty texts have no words; repeated rows count again."""
+    runs = spelling.letter_runs(spread(_documents(spark, sf_dir).select("doc_id", "text")), least=7)  # shorter ones give no word
+    return spelling.variant_forms(spelling.vocabulary(spelling.misspelt(runs, one_in=31)))
+
+
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as token ids, cut into pieces that fill sequences of 4096. Null and empty texts are their end id alone; repeated rows are packed each."""
+    return packing.packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +147,9 @@ QUERIES = {
         op8_language_mixtures,
         op9_minimax_shards,
         op10_pfair_mix,
+        op11_fill_in_middle,
+        op12_spelling_variants,
+        op13_harmonic_packing,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -140,6 +167,14 @@ def _canonical_sql(text: str) -> str:
     return f"trim({form})"
 
 
+#: CRC-32 in SQL: its table from the polynomial, and a fold over the bytes of a list.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || list_transform(range(8), lambda k: 0), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+
+
+def _crc_sql(byte_list: str, table: str = "t") -> str:
+    return f"xor(list_reduce([4294967295] || {byte_list}, lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 _KNOWN_SQL = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, texts in licences.KNOWN.items() for text in texts)
 _WHOLE_SQL = ", ".join(f"({_sql_text(name)}, {_sql_text(digest)})" for name, digest in licences.whole_digests())
 _WORDS7 = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -197,4 +232,30 @@ items AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b, CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS s FROM d),
+formed AS (
+  SELECT doc_id, t, n, least(a, b) AS lo, greatest(a, b) AS hi,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substr(t, 1, lo) AS p, substr(t, lo + 1, hi - lo) AS m, substr(t, hi + 1) AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+coded AS (SELECT run, k, list_transform(string_split(doc_id || ':' || run, ''), lambda c: unicode(c)) AS points FROM each),
+hashed AS (SELECT run, k, {_crc_sql("flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + (p >> 6), 128 + (p & 63)] END))")} AS h FROM coded, crc),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+holes AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+met AS (
+  SELECT a.word AS a, b.word AS b FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM holes a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word FROM holes a JOIN v b ON a.rest = b.word),
+near AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY y.n DESC, b) AS best, max(y.n) AS best_n FROM met JOIN v y ON y.word = b GROUP BY a),
+formed AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS at, form AS next FROM formed UNION ALL SELECT w.word, w.next, f.form FROM walk w JOIN formed f ON f.word = w.next)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w ON w.word = f.word AND w.next IS NULL""",
 }
