@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from vellumine.llm.ranks import ranked
 from vellumine.session import cut, materialized, spread
 
 CAPACITY = 4096
-#: Words whose ids a worker keeps, and the bytes of such a word at most; beyond it they are encoded again.
-KEPT_WORDS, KEPT_BYTES = 1 << 18, 64
+#: Words of a generation whose ids a worker keeps, for two generations, and the characters of such a word at most; others are encoded again.
+KEPT_WORDS, KEPT_CHARS = 1 << 18, 64
 #: Sequence numbers of bins that workers fill together, and of the last ones; a worker's own begin with its number.
 _MERGED_BINS, _LAST_BINS = 1 << 61, 1 << 62
 
@@ -67,35 +68,55 @@ def _by_words(spec: dict) -> bool:
 
 
 @functools.cache
-def _library(path: str) -> tuple[Callable[[list[str]], list[list[int]]], bool]:
+def _library(path: str) -> tuple[Callable[[list[str]], list[list[int]]], Callable[[str], list[int]] | None]:
+    """Ids of texts, and of one word of small ASCII letters if the file parts texts into words: such a word passes all steps
+    before the merges unchanged, so these alone are run."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)], _by_words(json.loads(tokenizer.to_str()))
-
-
-_kept: dict[str, dict[str, np.ndarray]] = {}
-
-
-def _words_ids(words: list[str], path: str) -> list[np.ndarray]:
-    """Ids of distinct words, from the worker's memory or the library."""
-    held = _kept.setdefault(path, {})
-    new = [w for w in words if w not in held]
-    made = dict(zip(new, (np.array(x, np.uint32) for x in _library(path)[0](new)), strict=True))
-    out = [made[w] if w in made else held[w] for w in words]
-    if len(held) + len(new) > KEPT_WORDS:
-        held.clear()
-    held.update((w, x) for w, x in made.items() if len(w) <= KEPT_BYTES)
-    return out
+    model = tokenizer.model
+    by_words = _by_words(json.loads(tokenizer.to_str()))
+    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], (lambda word: [t.id for t in model.tokenize(word)]) if by_words else None
+
+
+_kept: dict[str, list[dict[str, array]]] = {}
+
+
+def _words_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words, one word after the other, and how many each has; from the worker's memory or the library."""
+    texts_ids, word_ids = _library(path)
+    young, old = _kept.setdefault(path, [{}, {}])
+    out: list[array | None] = []
+    others: list[int] = []
+    for word in words:
+        plain = word.isascii() and word.isalpha()
+        name = word.lower() if plain else word
+        ids = young.get(name)
+        if ids is None:
+            ids = old.get(name)
+            if ids is None and plain:
+                ids = array("I", word_ids(name))
+            if ids is None:
+                others.append(len(out))
+            elif len(name) <= KEPT_CHARS:
+                young[name] = ids
+        out.append(ids)
+    for i, ids in zip(others, texts_ids([words[i] for i in others]) if others else (), strict=True):
+        out[i] = array("I", ids)
+        if len(words[i]) <= KEPT_CHARS:
+            young[words[i]] = out[i]
+    if len(young) > KEPT_WORDS:  # words of this generation and the one before stay
+        _kept[path] = [{}, young]
+    return np.frombuffer(b"".join(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 
 
 def token_ids(texts: pa.Array, path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts (null: empty), one text after the other, each with the id ``end`` behind it, and where each begins and the last ends."""
-    encode, by_words = _library(path)
+    encode, by_word = _library(path)
     tail = np.array([] if end is None else [end], np.uint32)
-    if not by_words:
+    if by_word is None:
         found = [np.concatenate([np.array(x, np.uint32), tail]) for t in texts for x in encode([t.as_py() or ""])]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
     data, offsets = units.utf8_buffers(texts)
@@ -103,20 +124,25 @@ def token_ids(texts: pa.Array, path: str, end: int | None = None) -> tuple[np.nd
     parts = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
     solid = _CLASSES[data[begins]] != _SPACE if len(begins) else np.zeros(0, bool)
     coded = parts.filter(pa.array(solid)).dictionary_encode()
-    each = _words_ids(coded.dictionary.to_pylist(), path)
-    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.array([len(x) for x in each], np.int64)
-    flat, first = np.concatenate([np.zeros(0, np.uint32), *each]), np.cumsum(sizes) - sizes
+    flat, sizes = _words_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), path)
+    which = coded.indices.to_numpy(zero_copy_only=False)
     n = sizes[which]
-    to = np.cumsum(n) - n
-    text = np.searchsorted(offsets, begins[solid], side="right") - 1
-    per_text = np.bincount(text, weights=n, minlength=len(offsets) - 1).astype(np.int64)
-    limits = np.concatenate([[0], np.cumsum(per_text + len(tail))])
+    ends = np.cumsum(n)  # of each part's ids among those of all parts
+    # parts before the end of each text, so ids before it
+    before = np.searchsorted(begins[solid], offsets)
+    total = np.concatenate([[0], ends])[before]
+    limits = total + np.arange(len(offsets)) * len(tail)
     out = np.full(limits[-1], 0 if end is None else end, np.uint32)
-    if len(n) and n.sum():
-        own = np.arange(n.sum())
-        # a part's ids move on by one end id for each text before
-        out[own + np.repeat(text * len(tail), n)] = flat[own + np.repeat(first[which] - to, n)]
+    if total[-1]:
+        from_ = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n)
+        from_ += np.arange(total[-1])
+        ids = flat[from_]
+        if len(tail):
+            own = np.ones(limits[-1], bool)
+            own[limits[1:] - 1] = False
+            out[own] = ids
+        else:
+            out = ids
     return out, limits
 
 
