@@ -83,9 +83,9 @@ def near_pairs(words: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, a_n, b, b_n): all pairs of ``words`` (word, n; distinct) that differ by exactly one inserted, deleted or replaced code point, each once.
 
     Buckets of more than ``bucket`` members are divided until they are smaller or what may differ is one code
-    point. The empty word is near to words of one code point.
+    point. The empty word is near to words of one code point. ``words`` is read several times: write it first.
     """
-    members, found = _keyed(_members(cut(words))), None
+    members, found = _keyed(_members(words)), None
     while True:
         counts = members.groupBy("bucket").agg(F.count("*").alias("_all"), F.count_if(~F.col("longer")).alias("_own"), F.max(F.col("hi") - F.col("lo")).alias("_open"))
         counts = counts.where((F.col("_own") > 0) & (F.col("_all") > 1))
@@ -108,6 +108,7 @@ def variant_forms(words: DataFrame, ratio: int = 10, bucket: int = BUCKET) -> Da
     ratio over 1 counts grow along the way, so it ends after as many steps as the largest count has digits to that base.
     Repeated and null words have to be combined before; an empty table has no rows.
     """
+    words = cut(words)
     pairs = near_pairs(words, bucket)
     ends = F.array(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
     both = pairs.select(F.explode(ends).alias("e")).select("e.*")
