@@ -54,8 +54,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into a folder of its own in the shared folder, and read it again."""
+def written(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet into a folder of its own in the shared folder; returns its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into a folder of its own in the shared folder, and read it again."""
+    return df.sparkSession.read.parquet(written(df, name))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` made and that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
