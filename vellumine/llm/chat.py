@@ -43,6 +43,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     A message without a ``start`` has the role of its first event that names one, else an empty one. Null
     texts count as empty, unknown kinds are ignored. Events of one message with equal ``seq`` are taken
     in the order of kind and text; a message whose conversation is null belongs to conversation null.
+    Other columns are left out; an empty log has no messages.
     """
     known = events.where(F.col("kind").isin("start", "delta", "edit", "regenerate")).select(
         "conv_id", "msg", "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text")
@@ -74,7 +75,7 @@ def render(messages: DataFrame) -> DataFrame:
 
     ``loss`` has a struct (turn, start, length) per assistant message: the turn from 0, and the place of
     its escaped text, in code points from 1, within the turn, which is what stands behind a start
-    mark up to the next end mark. Turns come in the order of ``msg``.
+    mark up to the next end mark. Turns come in the order of ``msg``. Null roles and texts are empty, other columns are left out.
     """
     role, text = escape(F.coalesce("role", F.lit("")), role=True), escape(F.coalesce("text", F.lit("")))
     turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg", "role", role.alias("mark"), text.alias("body")))).alias("turns"))
@@ -85,24 +86,27 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """``rendered`` with ``turns`` array<struct<role, text>> and ``loss_texts`` array<string>, both from the formatted text."""
+    """``rendered`` with ``turns`` array<struct<role, text>> and ``loss_texts`` array<string>, both from the formatted text.
+
+    Columns of these two names are replaced, others stay. A null ``formatted`` gives nulls.
+    """
     parts = F.transform(F.filter(F.split("formatted", F.lit("<\\|im_end\\|>\n")), lambda x: x != ""), lambda x: F.substring(x, len(START) + 1, 2147483647))
-    df = rendered.withColumn("parts", parts)
-    turns = F.transform("parts", lambda p: F.struct(unescape(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substr(p, F.locate("\n", p) + 1)).alias("text")))
-    loss = F.transform("loss", lambda s: unescape(F.substr(F.element_at("parts", s["turn"] + 1), s["start"], s["length"])))
-    return df.withColumn("turns", turns).withColumn("loss_texts", loss).drop("parts")
+    df = rendered.withColumn("_chat_parts", parts)
+    turns = F.transform("_chat_parts", lambda p: F.struct(unescape(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substr(p, F.locate("\n", p) + 1)).alias("text")))
+    loss = F.transform("loss", lambda s: unescape(F.substr(F.element_at("_chat_parts", s["turn"] + 1), s["start"], s["length"])))
+    return df.withColumn("turns", turns).withColumn("loss_texts", loss).drop("_chat_parts")
 
 
 def events_of_rows(conversations: DataFrame, chunk: int = 200) -> DataFrame:
     """An event log that ends in the rows of a table (conv_id, turn, role, text), by streamed deltas.
 
     User rows begin with a draft that an edit replaces; assistant rows with a first attempt that a
-    regeneration takes back before the text streams in ``chunk`` characters at a time. Rows that repeat
-    stay apart.
+    regeneration takes back before the text streams in ``chunk`` code points at a time. Rows that repeat
+    stay apart, null texts are empty, other columns are left out. The cost is linear in the text.
     """
     row = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     msg = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.xxhash64("text").alias("text"), "row")
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / chunk) - 1, F.lit(0))), lambda i: F.substr("text", (i * chunk + 1).cast("int"), F.lit(chunk)))
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))  # one walk over the text; a dot is a code point
     event = lambda kind, text, k: F.struct(F.lit(kind).alias("kind"), text.alias("text"), k.cast("long").alias("k"))
     deltas = F.transform(parts, lambda p, i: event("delta", p, i + 3))
     tried = F.substring("text", 1, 20)
