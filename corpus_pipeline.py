@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.llm import decontaminate, mixing, nearcopy, shards, toxicity
-from vellumine.session import materialized
+from vellumine.llm import decontaminate, mixing, nearcopy, order, shards, toxicity
+from vellumine.session import removed, written
 
 #: Documents at or over this score are toxic.
 TOXIC = 0.5
@@ -54,16 +54,20 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix by MIX_WEIGHTS; rows of a null source are a source of their own.
+    """All documents, sorted into the order of the mix by MIX_WEIGHTS; rows of a null source are a source of their own.
 
-    Rows are placed one by one, so null and repeated ids change nothing. By default no row is left out.
+    The next stage reads that order from the files. Rows are placed one by one, so null and repeated ids change nothing. By default
+    no row is left out.
     """
     return mixing.mixed(docs, MIX_WEIGHTS, block_bytes=MIX_BLOCK, lost=MIX_LOST)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with size, text_crc32, shard and slot; equal texts, null and empty ones too, share a shard."""
-    return shards.with_shards(docs, SHARDS)
+    """Documents with size, text_crc32, shard and slot: ranges of the mix of nearly equal bytes, each with the sources that the mix has there.
+
+    ``docs`` is taken in the order of its files. Equal texts, null and empty ones too, share a shard, that of the first of them.
+    """
+    return shards.with_shards(order.with_position(docs), SHARDS, position="_position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -79,8 +83,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage for the ``documents`` table in ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage for the ``documents`` table in ``sf_dir``. What a stage wrote goes once the next one has written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialized(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            removed(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,6 @@ import zlib
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from vellumine.llm import spelling
 
@@ -82,19 +81,3 @@ def test_empty_tables(rows):
     empty = rows([], "word string, n long")
     assert spelling.variant_forms(empty).count() == 0 and spelling.near_pairs(empty).count() == 0
     assert spelling.letter_runs(rows([], "doc_id long, text string")).count() == 0
-
-
-def test_query_equals_sql(spark):
-    import duckdb
-
-    from vellumine.llm import queries
-
-    sf = "/root/testdata/sf0.001"
-    df = queries.op12_spelling_variants(spark, sf)
-    duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
-    made = duck.execute(queries.SQL["op12_spelling_variants"])
-    names = [d[0] for d in made.description]
-    assert sorted(names) == sorted(df.columns)
-    assert sorted(map(str, made.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in df.collect())
-    assert df.where(F.col("form").isNotNull()).count() > 0

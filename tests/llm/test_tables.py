@@ -238,6 +238,31 @@ def test_ranks(rows):
             total += r["v"]
 
 
+def test_long_chats_are_folded_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(n):
+        text = F.repeat(F.lit("añ😀~<[ \n"), n)
+        table = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), text.alias("text"), F.lit("x").alias("parts"))
+        began = time.perf_counter()
+        back = chat.read_back(chat.render(chat.fold_events(chat.events_of_rows(table)))).select(F.sha2(F.element_at("turns", 1)["text"].cast("binary"), 256), F.size("loss_texts")).first()
+        assert back[0] == hashlib.sha256(("añ😀~<[ \n" * n).encode()).hexdigest() and back[1] == 1
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(2_000_000) < 60  # 24 MB; a walk from the start for each piece would take more than an hour
+
+
+def test_odd_weights(rows):
+    df = rows([(1, "a", "s"), (2, "b", "t")], "doc_id long, text string, source string")
+    for w in (None, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix(df, {"s": w, "t": 1.0})
+    assert {r["source"]: r["in_mix"] for r in mixing.mix(df, {"s": -1.0, "t": 1.0}).collect()} == {"s": False, "t": True}
+
+
 def smallest(weights, shards):
     fits = lambda c: sum(1 for _ in packed(weights, c)) <= shards
     lo, hi = max(weights), sum(weights)

@@ -15,6 +15,7 @@ microseconds a block; blocks of 64 MB make a mix of 100 TB 1.6 million blocks lo
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
@@ -129,6 +130,8 @@ def _name(source: str):
 
 def _placed(df: DataFrame, weights: dict[str | None, float] | None, source: str, text: str, key: str, block_bytes: int, lost: float, most: int, *kept) -> DataFrame:
     """``kept`` columns of each row of ``df`` with size, block, slot, in_mix and, for an order, _key and _tie; ``most`` blocks are broadcast."""
+    if any(w is None or not math.isfinite(w) for w in (weights or {}).values()):
+        raise ValueError("weights have to be finite numbers")
     size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size")
     # copies of a key, null or not, are told apart by their texts, so that no key is one task's
     rows = df.select(*kept, size, F.xxhash64(F.col(key)).alias("_key"), F.xxhash64(F.col(key), F.col(text)).alias("_tie"), _name(source).alias("_name"))
@@ -155,7 +158,8 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     in key and text share out their places in any way. Without ``weights`` a source's weight is its bytes to the
     power 0.9. Every row of a source with a positive weight is in the mix: what it has over its share takes
     later slots. With ``lost`` below 1 the mix ends once sources with more than that part of the weight have run dry.
-    Other columns are ignored; an empty table has no rows. Any number of sources can be mixed.
+    Sources without a weight, or with one of 0 or less, come last and are not in the mix; a weight that is None, NaN or infinite
+    raises ValueError. Other columns are ignored; an empty table has no rows. Any number of sources can be mixed.
     """
     out = _placed(df, weights, source, text, key, block_bytes, lost, BROADCAST_BLOCKS, F.col(key).alias("_id"), F.col(source).alias("_source"))
     return out.select(F.col("_id").alias(key), F.col("_source").alias(source), "size", "block", "slot", "in_mix")

@@ -162,15 +162,24 @@ def _shard(key: Column, starts: list[int]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(s).cast("long") for s in starts]), lambda s: s <= key)) if starts else F.lit(0)
 
 
-def with_shards(df: DataFrame, shards: int = 40, text: str = "text", tie: str = "doc_id") -> DataFrame:
+#: Groups of several rows whose first places are broadcast, of some 40 bytes each; more are joined by a shuffle.
+BROADCAST_GROUPS = 1 << 18
+
+
+def with_shards(df: DataFrame, shards: int = 40, text: str = "text", tie: str = "doc_id", position: str | None = None) -> DataFrame:
     """``df`` with ``size`` (UTF-8 bytes of the text plus 16), ``text_crc32``, ``shard`` and ``slot`` (from 0 within the shard).
 
     Shard sizes in bytes are as near to equal as groups of equal texts allow: no partition of the order
     has a smaller largest shard. Null and empty texts are one group. Rows that repeat lie in one
     shard, each in a slot of its own; ``tie`` orders a cell's rows and need not be unique. An empty table has
-    no rows. Columns of these names are replaced.
+    no rows. Columns of these names are replaced. Raises ValueError for fewer than one shard.
+
+    Groups are ordered by a hash of the text, or by ``position``, a column of distinct longs from 0: each shard then is
+    a range of positions, but for rows that belong to a group begun elsewhere, and slots follow positions. That column is left out.
     """
-    own = [c for c in df.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    if shards < 1:
+        raise ValueError("there has to be a shard")
+    own = [c for c in df.columns if c not in ("size", "text_crc32", "shard", "slot", position)]
     whole = F.coalesce(F.col(text), F.lit(""))
     keyed = df.select(
         F.struct(*own).alias("_own"),  # columns of df can't clash with those below
@@ -179,8 +188,17 @@ def with_shards(df: DataFrame, shards: int = 40, text: str = "text", tie: str =
         F.crc32(whole.cast("binary")).alias("text_crc32"),
         # the last key is left free; two texts of one hash would share a shard
         F.least(F.xxhash64(whole), F.lit((1 << 63) - 2)).alias("_key"),
+        *([F.col(position).alias("_at")] if position else []),
     )
-    groups = cut(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("weight")))
-    starts, _ = cuts(groups, shards)
-    placed = keyed.withColumn("shard", _shard(F.col("_key"), starts).cast("int"))
-    return ranked(placed, "shard", "_key", "_tie", "size", "slot", "_sum").select("_own.*", "size", "text_crc32", "shard", "slot")
+    if position is None:
+        groups = cut(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("weight")))
+        starts, _ = cuts(groups, shards)
+        placed = keyed.withColumn("shard", _shard(F.col("_key"), starts).cast("int"))
+        return ranked(placed, "shard", "_key", "_tie", "size", "slot", "_sum").select("_own.*", "size", "text_crc32", "shard", "slot")
+    groups = cut(keyed.groupBy("_key").agg(F.min("_at").alias("key"), F.sum("size").alias("weight"), F.count("*").alias("_rows")))
+    starts, _ = cuts(groups.select("key", "weight"), shards)
+    # rows of a group lie where its first one does; most groups are one row
+    several = groups.where("_rows > 1").select("_key", F.col("key").alias("_begun"))
+    several = F.broadcast(several) if several.count() <= BROADCAST_GROUPS else several
+    placed = keyed.join(several, "_key", "left").withColumn("shard", _shard(F.coalesce("_begun", "_at"), starts).cast("int"))
+    return ranked(placed, "shard", "_at", None, "size", "slot", "_sum").select("_own.*", "size", "text_crc32", "shard", "slot")
