@@ -99,6 +99,53 @@ def test_longest_matches_equal_brute_force(rows, block):
     assert got == sorted(want, key=str)
 
 
+def test_the_driver_holds_one_block_at_a_time(spark, rows, monkeypatch):
+    import gc
+    import weakref
+
+    docs, items = case()
+    docs = docs[:60] + [(3, "again " + (items[4][1] or ""))] * 40
+    blocks = list(decontaminate._blocks(rows(items, "item_id long, text string"), "item_id", "text", 700))
+    assert len(blocks) >= 8
+    held, most, prepare = [], [0], decontaminate.prepare
+
+    def watched(*args):
+        gc.collect()
+        most[0] = max(most[0], 1 + sum(r() is not None for r in held))
+        made = prepare(*args)
+        held.append(weakref.ref(made))
+        return made
+
+    monkeypatch.setattr(decontaminate, "prepare", watched)
+    df, bench = rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.contamination(df, bench, block_bytes=700).collect()), key=str)
+    assert got == contaminated(docs, items)
+    assert len(held) == len(blocks) and most[0] <= 2
+    decontaminate.longest_matches(df, bench, block_bytes=700).count()
+    assert len(held) == 2 * len(blocks) and most[0] <= 2
+
+
+def test_least_of_ranges():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1000, 333)
+    lo = rng.integers(0, 332, 500)
+    hi = np.array([rng.integers(a + 1, 334) for a in lo])
+    assert decontaminate._least(values, lo, hi).tolist() == [values[a:b].min() for a, b in zip(lo, hi, strict=True)]
+    assert len(decontaminate._least(values, lo[:0], hi[:0])) == 0
+
+
+def test_longest_matches_of_repeated_text(rows):
+    import time
+
+    began = time.perf_counter()
+    docs = rows([(i, "a b " * 50_000) for i in range(2)], "doc_id long, text string")
+    got = decontaminate.longest_matches(docs, rows([(7, "a b " * 3000)], "item_id long, text string")).collect()
+    assert len(got) == 5991 and all(r["doc_id"] == 0 and r["doc_word"] == r["item_word"] % 2 and r["n_words"] == 6000 - r["item_word"] for r in got)
+    assert time.perf_counter() - began < 120
+
+
 def test_parts_of_a_long_document(rows, monkeypatch):
     docs, items = case()
     want = contaminated(docs, items)

@@ -17,15 +17,17 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.arrow import bounded_batches, utf8
 from vellumine.llm.words import ALNUM, Words, words
-from vellumine.session import cut
+from vellumine.session import cut, materialized
 
 #: Words of a window.
 WINDOW = 10
@@ -286,6 +288,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterato
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         fetched = sorted(part.collect(), key=lambda r: (r["id"] or "", r["text"] or ""))
         yield [r["id"] for r in fetched], [None if r["text"] is None else r["text"].encode() for r in fetched]
+        fetched = None
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Table, list[bytes]]]:
@@ -322,21 +325,27 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     occurrence; items_sha256 is of those ids as strings, sorted, joined by commas (of nothing if there
     are none). Null and empty texts have no words, null item ids are left out of the ids, rows that
     repeat are each judged, other columns are ignored. A benchmark of more than ``block_bytes`` takes several
-    passes over the documents; their spans then meet by document.
+    passes over the documents, one after the other: each is written before the next block is held; their spans then meet by document.
     """
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = _blocks(benchmark, "item_id", "text", block_bytes)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return _pass(rows, prepare(*first, window), window, False)
-    passes = [_pass(rows, prepare(*block, window), window, True) for block in (first, second, *blocks)]
-    # Each pass saw the same rows: a row stands in all of them as often as it repeats.
-    met = reduce(DataFrame.unionAll, passes).groupBy("doc_id", "digest").agg(
+        return _pass(rows, prepare(*first, window), window, False)[0]
+    parts = []
+    for block in chain((first, second), blocks):
+        found, held = _pass(rows, prepare(*block, window), window, True)
+        # rows that repeat a key and a text have equal spans: they count as one from here on, however many they are
+        found = found.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.first("b").alias("b"), F.first("e").alias("e"), F.first("items").alias("items"), F.count("*").cast("int").alias("copies"))
+        parts.append(materialized(found, "spans"))
+        held.destroy()
+        first = second = block = None  # the driver holds one block at a time
+    met = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "digest").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("b", "e")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") / len(passes)).cast("int").alias("copies"),
+        F.max("copies").alias("copies"),
     )
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
@@ -365,8 +374,8 @@ def _named(of: np.ndarray, window: np.ndarray, items: Items, n: int) -> list[np.
     return out
 
 
-def _pass(rows: DataFrame, items: Items, window: int, partial: bool) -> DataFrame:
-    """One pass over (doc_id, text) with one block of the benchmark; ``partial`` gives spans and ids instead of a verdict."""
+def _pass(rows: DataFrame, items: Items, window: int, partial: bool) -> tuple[DataFrame, Broadcast]:
+    """One pass over (doc_id, text) with one block of the benchmark, and what it broadcasts; ``partial`` gives spans and ids instead of a verdict."""
     held = rows.sparkSession.sparkContext.broadcast(items)
     names = _PARTIAL if partial else _JUDGED
 
@@ -388,7 +397,7 @@ def _pass(rows: DataFrame, items: Items, window: int, partial: bool) -> DataFram
             made = [c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, k in zip(columns, names.values(), strict=True)]
             yield pa.RecordBatch.from_arrays(made, names=list(names))
 
-    return rows.mapInArrow(judge, ", ".join(f"{n} {k}" for n, k in names.items()))
+    return rows.mapInArrow(judge, ", ".join(f"{n} {k}" for n, k in names.items())), held
 
 
 def _spans(covered: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -414,7 +423,12 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WI
     """
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = reduce(DataFrame.unionAll, [_matches(rows, prepare(*block, window), window).withColumn("block", F.lit(k)) for k, block in enumerate(_blocks(benchmark, "item_id", "text", block_bytes))])
+    parts = []
+    for k, block in enumerate(_blocks(benchmark, "item_id", "text", block_bytes)):
+        matches, held = _matches(rows, prepare(*block, window), window)
+        parts.append(materialized(matches.withColumn("block", F.lit(k)), "matches"))
+        held.destroy()
+    found = reduce(DataFrame.unionAll, parts)
     best = F.min(F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_word", "byte_start", "byte_end")).alias("m")
     met = found.groupBy("item_id", "block", "row", "item_word").agg(best)
     return met.select("item_id", "item_word", (-F.col("m.n")).alias("n_words"), "m.doc_id", "m.doc_word", "m.byte_start", "m.byte_end")
@@ -423,8 +437,8 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WI
 _MATCH = "item_id string, row long, item_word long, n_words long, doc_id long, doc_word long, byte_start long, byte_end long"
 
 
-def _matches(rows: DataFrame, items: Items, window: int) -> DataFrame:
-    """The longest match of each suffix of ``items`` in each shard."""
+def _matches(rows: DataFrame, items: Items, window: int) -> tuple[DataFrame, Broadcast]:
+    """The longest match of each suffix of ``items`` in each shard, and what is broadcast."""
     held = rows.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,7 +459,8 @@ def _matches(rows: DataFrame, items: Items, window: int) -> DataFrame:
             ids = table.column("doc_id").to_pylist()
             rank = np.empty(len(texts), dtype=np.int64)
             rank[sorted(range(len(texts)), key=lambda t: (ids[t] is None, ids[t] or 0, t))] = np.arange(len(texts))
-            at = np.array([own[min(array.at[a:b], key=lambda p: (rank[text_of[own[p]]], p))] for a, b in zip(lo[live], hi[live], strict=True)], dtype=np.int64)
+            places = array.at.astype(np.int64)
+            at = own[_least(rank[text_of[own[places]]] * len(own) + places, lo[live], hi[live]) % len(own)]
             text, row = text_of[at], row_of[live]
             begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
             columns = [
@@ -454,7 +469,18 @@ def _matches(rows: DataFrame, items: Items, window: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=[part.split()[0] for part in _MATCH.split(", ")])
 
-    return rows.mapInArrow(find, _MATCH)
+    return rows.mapInArrow(find, _MATCH), held
+
+
+def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of ``values`` from each ``lo`` up to ``hi``, which is behind it: ranges of a power of two, level by level."""
+    out = np.empty(len(lo), values.dtype)
+    level_of = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    for level in range(int(level_of.max(initial=-1)) + 1):
+        own = np.flatnonzero(level_of == level)
+        out[own] = np.minimum(values[lo[own]], values[hi[own] - (1 << level)])
+        values = np.minimum(values[: -(1 << level)], values[1 << level :]) if len(values) > 1 << level else values
+    return out
 
 
 def _longest(array: SuffixArray, items: Items, start: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -483,13 +509,16 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     ``block_bytes`` takes a pass for each block, between which the rows left are written to the checkpoint folder.
     """
     bounded_batches(documents.sparkSession)
-    cleaned = None
+    cleaned = held = None
     for block in _blocks(benchmark, "item_id", "text", block_bytes):
-        cleaned = _cleaned(documents if cleaned is None else cut(cleaned), prepare(*block, window), window)
+        if held is not None:
+            documents = cut(cleaned)
+            held.destroy()
+        cleaned, held = _cleaned(documents, prepare(*block, window), window)
     return cleaned
 
 
-def _cleaned(documents: DataFrame, items: Items, window: int) -> DataFrame:
+def _cleaned(documents: DataFrame, items: Items, window: int) -> tuple[DataFrame, Broadcast]:
     held = documents.sparkSession.sparkContext.broadcast(items)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,4 +528,4 @@ def _cleaned(documents: DataFrame, items: Items, window: int) -> DataFrame:
             clean[np.searchsorted(found.offsets, place, "right") - 1] = False
             yield from table.filter(pa.array(clean)).to_batches()
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(keep, documents.schema), held
