@@ -48,7 +48,7 @@ PASSAGE_WORDS = 16
 ANCHOR = b"|~anchor~of~window~|"
 #: Counts that a task holds before it passes them on.
 MOST_HELD = 500_000
-#: Words longer than the first are read as pieces of that size that overlap by the second, so a window's bytes are bounded.
+#: Words longer than the first are read as pieces of that size that overlap by the second, so a window's bytes are bounded and no byte is lost.
 LONGEST_WORD, OVERLAP = 256, 32
 #: Savings are counted by level below this; ordinary windows that may reach the threshold of a clear one.
 LEVELS, FALSE_SHARE = 24, 0.001
@@ -275,8 +275,11 @@ def _trainings(batches: Iterator[pa.RecordBatch], settings: tuple[int, int, int]
 
 
 def _dictionary(pieces: DataFrame, settings: tuple[int, int, int]) -> bytes:
-    """The dictionary of (h, n, piece), trained in one task that holds TRAINING_BYTES at a time; the driver gets dictionaries only."""
-    ordered = pieces.coalesce(1).sortWithinPartitions("h", "n", "piece").select("piece")
+    """The dictionary of (h, n, piece), trained in one task that holds TRAINING_BYTES at a time; the driver gets dictionaries only.
+
+    Pieces are made on all cores; only they, not the texts, move to that task.
+    """
+    ordered = pieces.repartition(1).sortWithinPartitions("h", "n", "piece").select("piece")
     made = [bytes(r["content"]) for r in ordered.mapInArrow(lambda bs: _trainings(bs, settings), "content binary").collect()]
     if len(made) < 2:
         return made[0] if made else b""
