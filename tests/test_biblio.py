@@ -74,7 +74,9 @@ def test_urls(spark):
     for url, want in [("http://a/?id=1&ots=x&sig=y", "http://a/?id=1"), ("http://a/?ots=x&id=1#f", "http://a/?id=1#f"), ("http://a/?sig=x", "http://a/"), ("http://a/?dots=x", "http://a/?dots=x"), ("http://a", "http://a")]:
         assert one(urls.normalized, url) == want
     assert [urls.page_count(n) for n in (0, 5, 10, 50)] == [1, 1, 2, 6]
-    assert urls.search_url(spark, "https://s", "a b").first()["url"] == "https://s?q=a+b&hl=id"
+    words = spark.createDataFrame([("a b",), (None,), ("c",)], "keyword string")
+    assert sorted(map(tuple, urls.search_url(words, "https://s").collect())) == [("a b", 0, "https://s?q=a+b&hl=id"), ("c", 0, "https://s?q=c&hl=id")]
+    assert [tuple(r) for r in urls.search_urls(words.where("keyword = 'a b'"), "https://s", 10).orderBy("page_no").collect()] == [("a b", i, f"https://s?q=a+b&hl=id&as_sdt=0,5&start={10 * i}") for i in (0, 1)]
 
 
 def test_downloads(rows):

@@ -135,6 +135,28 @@ def test_sample_goldens(spark):
     assert sorted(t for t, r in stats.items() if r["idf"] < 0) == ["pembuatan", "website"]
 
 
+def test_a_failed_stream_batch_runs_again(spark, rows, tmp_path, monkeypatch):
+    from vellumine.streaming import landing
+
+    folder, table, marks = tmp_path / "landing", str(tmp_path / "table"), str(tmp_path / "marks")
+    kinds = blocks(rows).schema
+    data = [{"page_no": 1, "pos": k, "title": f"t{k}", "url": u, "has_pdf_link": False} for k, u in enumerate(["http://a", None, None])]
+    spark.createDataFrame([{f.name: d.get(f.name) for f in kinds} for d in data], kinds).write.parquet(str(folder))
+    written = landing.append_batch
+
+    def fails(*args):
+        written(*args)
+        raise OSError("lost after the write")
+
+    monkeypatch.setattr(landing, "append_batch", fails)
+    with pytest.raises(Exception, match="lost after the write"):
+        ingest_folder(spark, str(folder), table, marks).awaitTermination()
+    assert spark.read.parquet(table).count() == 3
+    monkeypatch.setattr(landing, "append_batch", written)
+    ingest_folder(spark, str(folder), table, marks).awaitTermination()
+    assert sorted(r["title"] for r in spark.read.parquet(table).collect()) == ["t0", "t1", "t2"]
+
+
 def test_streaming_appends_once(spark, rows, tmp_path):
     folder, table = tmp_path / "landing", str(tmp_path / "table")
     blocks(rows).write.parquet(str(folder))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.session import cut
+
 Stemmer = Callable[[str], str]
 
 # Affixes of Indonesian, and the letters that nasal prefixes replace.
@@ -76,10 +78,14 @@ class Confix:
 
 
 def stemmed_terms(terms: DataFrame, stemmer: Stemmer, term: str = "term") -> DataFrame:
-    """(term, stem) of the distinct terms; the stemmer runs once for each, in Arrow batches."""
+    """(term, stem) of the distinct terms; the stemmer runs once for each, in Arrow batches.
+
+    Distinct terms are written first: a join by term then is one of two plain shuffles, which adaptive execution splits where
+    a term is frequent.
+    """
 
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(stemmer, na_action="ignore")
 
-    return terms.select(term).distinct().withColumn("stem", F.pandas_udf(apply, "string")(F.col(term)))
+    return cut(terms.select(term).distinct()).withColumn("stem", F.pandas_udf(apply, "string")(F.col(term)))

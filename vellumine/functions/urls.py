@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine import joins
+
 PDF_MAGIC = b"%PDF"
 #: Results on a page of the paged search source.
 PAGE_SIZE = 10
@@ -64,13 +66,13 @@ def valid_download(status: Column, content_type: Column, content: Column) -> Col
 
 def downloaded_a(blobs: DataFrame, requests: DataFrame) -> DataFrame:
     """``requests`` (pdf_url, title) with ``file`` (null: no valid PDF) by variant A (D13); ``blobs``: path = URL."""
-    got = requests.join(blobs.select(F.col("path").alias("pdf_url"), "status", "content_type", "content"), "pdf_url", "left")
+    got = joins.left(requests, blobs.select(F.col("path").alias("pdf_url"), "status", "content_type", "content"), "pdf_url")
     return got.withColumn("file", F.when(valid_download(F.col("status"), F.col("content_type"), F.col("content")), pdf_path(F.col("title")))).select(*requests.columns, "file")
 
 
 def downloaded_b(blobs: DataFrame, requests: DataFrame, folder: str = "pdfs") -> DataFrame:
     """``requests`` (pdf_url) with ``file`` by variant B (D14): suffix ``.pdf``, no error status, no "forbidden" in the body."""
-    got = requests.join(blobs.select(F.col("path").alias("pdf_url"), "status", "content"), "pdf_url", "left")
+    got = joins.left(requests, blobs.select(F.col("path").alias("pdf_url"), "status", "content"), "pdf_url")
     fine = has_suffix(F.col("pdf_url")) & (F.col("status") < 400) & ~mentions(F.col("content"))
     return got.withColumn("file", F.when(F.coalesce(fine, F.lit(False)), download_path(F.col("pdf_url"), folder))).select(*requests.columns, "file")
 
@@ -80,15 +82,15 @@ def page_count(max_results: int) -> int:
     return max_results // PAGE_SIZE + 1
 
 
-def search_urls(spark: SparkSession, base: str, keyword: str, max_results: int, language: str = "id") -> DataFrame:
-    """(page_no, url) of the paged search source (S2): each space a ``+``, ten results a page."""
-    start = (F.col("id") * PAGE_SIZE).cast("int")
-    query = F.replace(F.lit(keyword), F.lit(" "), F.lit("+"))
-    url = F.format_string(f"{base}?q=%s&hl={language}&as_sdt=0,5&start=%d", query, start)
-    return spark.range(page_count(max_results)).select(F.col("id").cast("int").alias("page_no"), url.alias("url"))
+def search_urls(keywords: DataFrame, base: str, max_results: int, language: str = "id", keyword: str = "keyword") -> DataFrame:
+    """(keyword, page_no, url) of the paged search source for each row of ``keywords`` (S2): each space a ``+``, ten results a page. Null keywords have none."""
+    rows = keywords.where(F.col(keyword).isNotNull()).select(F.col(keyword).alias("keyword"), F.explode(F.sequence(F.lit(0), F.lit(page_count(max_results) - 1))).alias("page_no"))
+    url = F.format_string(f"{base}?q=%s&hl={language}&as_sdt=0,5&start=%d", F.replace("keyword", F.lit(" "), F.lit("+")), F.col("page_no") * PAGE_SIZE)
+    return rows.select("keyword", "page_no", url.alias("url"))
 
 
-def search_url(spark: SparkSession, base: str, keyword: str, language: str = "id") -> DataFrame:
-    """(page_no, url) of the one-page search source (S3)."""
-    query = F.replace(F.lit(keyword), F.lit(" "), F.lit("+"))
-    return spark.range(1).select(F.lit(0).alias("page_no"), F.concat(F.lit(f"{base}?q="), query, F.lit(f"&hl={language}")).alias("url"))
+def search_url(keywords: DataFrame, base: str, language: str = "id", keyword: str = "keyword") -> DataFrame:
+    """(keyword, page_no, url) of the one-page search source for each row of ``keywords`` (S3). Null keywords have none."""
+    query = F.replace("keyword", F.lit(" "), F.lit("+"))
+    rows = keywords.where(F.col(keyword).isNotNull()).select(F.col(keyword).alias("keyword"))
+    return rows.select("keyword", F.lit(0).alias("page_no"), F.concat(F.lit(f"{base}?q="), query, F.lit(f"&hl={language}")).alias("url"))

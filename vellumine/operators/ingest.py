@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from vellumine import joins
 from vellumine.functions import biblio
 
 
@@ -32,8 +33,8 @@ def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def unseen(candidates: DataFrame, existing: DataFrame, key: str = "url") -> DataFrame:
-    """Candidates whose key is not in ``existing`` (J1): exact equality, null keys are kept."""
-    return candidates.join(existing.select(key).distinct(), key, "left_anti")
+    """Candidates whose key is not in ``existing`` (J1): exact equality, null keys are kept and not shuffled."""
+    return joins.without(candidates, existing, key)
 
 
 def with_title(blocks: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def articles_a(blocks: DataFrame, existing: DataFrame, now: Column, max_results:
     fresh = unseen(fresh, existing, "url")
     got = F.lit(False)
     if downloaded is not None:
-        fresh = fresh.join(downloaded.select("pdf_url").distinct().withColumn("_got", F.lit(True)), "pdf_url", "left")
+        fresh = joins.left(fresh, downloaded.select("pdf_url").distinct().withColumn("_got", F.lit(True)), "pdf_url")
         got = F.col("_got")
     info = biblio.info_a(F.col("info"))
     pdf = biblio.pdf_status(F.col("has_pdf_link"), F.col("pdf_url"), got)
@@ -84,9 +85,9 @@ def articles_b(blocks: DataFrame, now: Column, max_results: int = 10, downloaded
     texts for one address the greatest counts, so that a block gives one row at most.
     """
     rows = with_title(blocks.where(F.col("pos") <= max_results))
-    rows = rows.join(downloaded.select("pdf_url").distinct().withColumn("_got", F.lit(True)), "pdf_url", "left") if downloaded is not None else rows.withColumn("_got", F.lit(False))
-    rows = rows.join(pdf_refs.groupBy("pdf_url").agg(F.max("references_text").alias("_pdf")), "pdf_url", "left") if pdf_refs is not None else rows.withColumn("_pdf", F.lit(""))
-    rows = rows.join(html_refs.groupBy("url").agg(F.max("html_references").alias("_html")), "url", "left") if html_refs is not None else rows.withColumn("_html", F.lit(""))
+    rows = joins.left(rows, downloaded.select("pdf_url").distinct().withColumn("_got", F.lit(True)), "pdf_url") if downloaded is not None else rows.withColumn("_got", F.lit(False))
+    rows = joins.left(rows, pdf_refs.groupBy("pdf_url").agg(F.max("references_text").alias("_pdf")), "pdf_url") if pdf_refs is not None else rows.withColumn("_pdf", F.lit(""))
+    rows = joins.left(rows, html_refs.groupBy("url").agg(F.max("html_references").alias("_html")), "url") if html_refs is not None else rows.withColumn("_html", F.lit(""))
     info = biblio.info_b(F.col("info"))
     refs = biblio.reference_status(F.col("pdf_url"), F.col("_got"), F.col("_pdf"), F.col("_html"))
     pdf = F.when(biblio.has_text(F.col("pdf_url")), F.col("pdf_url"))
@@ -104,3 +105,14 @@ def append(df: DataFrame, path: str) -> int:
     counted, seen = observed(df)
     counted.write.mode("append").parquet(path)
     return seen.get["success"]
+
+
+def append_batch(df: DataFrame, path: str, writer: str, batch: int) -> int:
+    """Rows of one numbered batch of a ``writer`` into a Parquet table; returns how many.
+
+    Each batch has a folder of its own, ``writer=.../batch=...``, which a batch that is run again replaces: its
+    rows stand in the table once, however often it ran, those with null keys too. The two names are columns of the table.
+    """
+    counted, seen = observed(df)
+    counted.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch}")
+    return seen.get["success"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import text as X
 from vellumine.functions.stem import Stemmer, stemmed_terms
+from vellumine.session import cut
 
 
 def corpus_of_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,8 +124,9 @@ def inverse_frequency(corpus: DataFrame, frequency: DataFrame) -> DataFrame:
 def tfidf(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer | None = None) -> DataFrame:
     """(id, field, term, tfidf) of every posting."""
     posted = postings(corpus, stopwords, stemmer)
-    stats = inverse_frequency(corpus, document_frequency(document_terms(corpus, stopwords, stemmer)))
-    # Every term has its statistics. A left join may broadcast those, never the postings, and splits frequent terms.
+    # Every term has its statistics. A left join may broadcast those, never the postings. They are written, so that the join is one of
+    # two plain shuffles, of which adaptive execution splits a frequent term's postings.
+    stats = cut(inverse_frequency(corpus, document_frequency(document_terms(corpus, stopwords, stemmer))))
     return posted.join(stats, "term", "left").select("id", "field", "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 

@@ -432,11 +432,11 @@ def results_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ingest ---------------------------------------------------------------------------------------
 
 
-@_query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@_query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
 def anti_join_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates whose key is not persisted yet: customers without an order."""
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return ingest.unseen(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
+    """Candidates whose key is not persisted yet: orders of which no large line is held. Keys that are held repeat."""
+    held = _table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return ingest.unseen(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), held, "o_orderkey")
 
 
 @_query("SELECT min(doc_id) AS doc_id, length(text) AS n_chars FROM documents GROUP BY text")
@@ -451,9 +451,13 @@ def position_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.where(urls.has_suffix(F.col("url"), ".html")).select("page_id", F.col("position").cast("long").alias("position"))
 
 
-@_query("SELECT CAST(i AS INTEGER) AS page_no, 'https://search.example.org/scholar?q=sistem+informasi+desa&hl=id&as_sdt=0,5&start=' || (i * 10) AS url FROM range(0, 50 // 10 + 1) AS r(i)")
+@_query("SELECT c_name || ' ' || c_mktsegment AS keyword, CAST(i AS INTEGER) AS page_no, 'https://search.example.org/scholar?q=' || replace(c_name || ' ' || c_mktsegment, ' ', '+') || '&hl=id&as_sdt=0,5&start=' || (i * 10) AS url FROM customer, range(0, 50 // 10 + 1) AS r(i)")
 def search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.search_urls(spark, "https://search.example.org/scholar", "sistem informasi desa", 50)
+    return urls.search_urls(_keywords(spark, sf_dir), "https://search.example.org/scholar", 50)
+
+
+def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("keyword"))
 
 
 @_query(
@@ -537,13 +541,23 @@ def _scratch(spark: SparkSession, name: str) -> str:
 )
 def csv_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exported table, written with quotes and cells of several lines, read back by its schema."""
+    return readers.articles_csv(spark, _exported(spark, sf_dir)).select("id", "title", "abstract", "year", "url")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> str:
     path = _scratch(spark, "csv")
     rows = _table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("title"), F.concat(F.lit("first line\n"), "c_name").alias("abstract"),
         F.col("c_nationkey").alias("year"), F.concat(F.lit("http://x.org/"), "c_custkey").alias("url"),
     )
     rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return readers.articles_csv(spark, path).select("id", "title", "abstract", "year", "url")
+    return path
+
+
+@_query(SQL["csv_articles"])
+def csv_split_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same exported table, read in byte ranges of its files instead of file by file."""
+    return readers.articles_csv_split(spark, _exported(spark, sf_dir)).select("id", "title", "abstract", "year", "url")
 
 
 @_query(
@@ -622,6 +636,6 @@ def download_triage_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.downloaded_b(*_fetched(spark, sf_dir))
 
 
-@_query("SELECT CAST(0 AS INTEGER) AS page_no, 'https://search.example.org/scholar?q=sistem+informasi+desa&hl=id' AS url")
+@_query("SELECT c_name || ' ' || c_mktsegment AS keyword, CAST(0 AS INTEGER) AS page_no, 'https://search.example.org/scholar?q=' || replace(c_name || ' ' || c_mktsegment, ' ', '+') || '&hl=id' AS url FROM customer")
 def search_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.search_url(spark, "https://search.example.org/scholar", "sistem informasi desa")
+    return urls.search_url(_keywords(spark, sf_dir), "https://search.example.org/scholar")

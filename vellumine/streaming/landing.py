@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vellumine.operators.ingest import articles_a
+from vellumine.operators.ingest import append_batch, articles_a
 from vellumine.schemas import RESULT_BLOCKS, schema
 from vellumine.sources.readers import persisted
 
@@ -14,14 +16,18 @@ from vellumine.sources.readers import persisted
 def ingest_folder(spark: SparkSession, folder: str, table: str, checkpoint: str, max_results: int | None = None) -> StreamingQuery:
     """Read Parquet files of result blocks as they land, append unseen articles to ``table``.
 
-    Each micro-batch is de-duplicated against the table, so a batch that is run again appends nothing twice. ``max_results``
-    caps a micro-batch; by default every block counts, since files once read are not read again.
+    Each micro-batch is de-duplicated against what other batches brought and has a folder of its own in the table, by the
+    name of its checkpoint and its number; a batch that is run again replaces that folder, so every row, also
+    one without a URL, stands there once. ``max_results`` caps a micro-batch; by default every block counts, since files
+    once read are not read again.
     """
+    writer = "w" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        del batch_id
-        fresh = articles_a(batch, persisted(batch.sparkSession, table), F.current_timestamp(), max_results)
-        fresh.write.mode("append").parquet(table)
+        # a run of this batch that failed half way is no reason to leave its rows out
+        held = persisted(batch.sparkSession, table, but=(writer, batch_id))
+        append_batch(articles_a(batch, held, F.current_timestamp(), max_results), table, writer, batch_id)
 
     blocks = spark.readStream.schema(schema(RESULT_BLOCKS)).parquet(folder)
     return blocks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
