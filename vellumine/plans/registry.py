@@ -402,16 +402,16 @@ _BLOCKS = f"""blocks AS (
 
 
 def _result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_no, html): each order a result block; some have no title link, address, citations or PDF."""
+    """(page_no, html): each order a result block; some have no title link, address, citations or PDF. Of links of a kind there are two: the first counts."""
     key, status, priority, customer = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey")
     info = F.concat(F.lit("Clerk-"), customer, F.lit(" - "), priority, F.lit(", "), F.year("o_orderdate"), F.lit(" - "), status, F.lit(".org"))
-    link = F.concat(F.lit("<a"), F.when(priority != "5-LOW", F.concat(F.lit(' href="http://x.org/'), customer, F.lit('"'))).otherwise(""), F.lit(">Order <b>"), key, F.lit("</b> &amp; more</a>"))
+    link = F.concat(F.lit("<a"), F.when(priority != "5-LOW", F.concat(F.lit(' href="http://x.org/'), customer, F.lit('"'))).otherwise(""), F.lit(">Order <b>"), key, F.lit('</b> &amp; more</a> <a href="http://x.org/second">second title</a>'))
     cited = F.when(priority == "1-URGENT", F.lit("/s?cites=1")).when(priority == "2-HIGH", F.lit("/cites/2"))
     block = F.concat(
         F.lit('<div class="gs_r gs_or gs_scl"><h3 class="gs_rt">'), F.when(status != "P", link).otherwise("no link"),
         F.lit('</h3><div class="gs_a">'), info, F.lit('</div><div class="gs_rs">Status<br>'), status, F.lit("</div>"),
-        F.coalesce(F.concat(F.lit('<a href="'), cited, F.lit('">Cited '), customer, F.lit(" times</a>")), F.lit("")),
-        F.when(priority.isin("2-HIGH", "3-MEDIUM"), F.concat(F.lit('<div class="gs_or_ggsm"><a href="http://x.org/'), key, F.lit('.pdf">PDF</a></div>'))).otherwise(""),
+        F.coalesce(F.concat(F.lit('<a href="'), cited, F.lit('">Cited '), customer, F.lit(' times</a> <a href="'), cited, F.lit('9">Cited 0 times</a>')), F.lit("")),
+        F.when(priority.isin("2-HIGH", "3-MEDIUM"), F.concat(F.lit('<div class="gs_or_ggsm"><a href="http://x.org/'), key, F.lit('.pdf">PDF</a> <a href="http://x.org/second.pdf">PDF</a></div>'))).otherwise(""),
         F.lit("</div>"),
     )
     pages = _table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 10").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("b")))).alias("blocks"))
