@@ -81,3 +81,29 @@ def test_a_batch_that_runs_again_replaces_itself(spark, rows, tmp_path):
     later = ingest.unseen(batch, readers.persisted(spark, table, but=("w1", 1)))
     assert ingest.append_batch(later, table, "w1", 1) == 2  # rows without an address are always new
     assert spark.read.parquet(table).count() == 5 and readers.persisted(spark, table).count() == 5
+
+
+def test_a_stream_forgets_keys_behind_its_watermark(spark, tmp_path):
+    from vellumine.streaming.landing import deduplicate_folder
+
+    folder, table, marks = tmp_path / "landing", str(tmp_path / "table"), str(tmp_path / "marks")
+    kinds = "url string, at timestamp, n int"
+
+    def run(*data):
+        made = spark.createDataFrame(data, "url string, at string, n int").select("url", F.to_timestamp("at").alias("at"), "n")
+        made.coalesce(1).write.mode("append").parquet(str(folder))
+        query = deduplicate_folder(spark, str(folder), table, marks, kinds, "url", "at", "1 hour")
+        query.awaitTermination()
+        return query
+
+    run(("a", "2026-01-01 00:00:00", 1), ("a", "2026-01-01 00:10:00", 2), (None, "2026-01-01 00:00:00", 3), (None, "2026-01-01 00:00:00", 3), ("b", None, 4))
+    run(("a", "2026-01-01 00:30:00", 5), ("b", "2026-01-01 00:20:00", 6), ("b", None, 7))  # a again within the hour
+    run(("c", "2026-01-01 05:00:00", 8))  # moves the watermark to 04:00
+    run(("a", "2026-01-01 04:30:00", 9), ("d", "2026-01-01 01:00:00", 10), (None, "2026-01-01 01:00:00", 11))  # a is new again, d too late, no key
+    run(("a", "2026-01-01 04:40:00", 12))
+    got = Counter((r["url"], r["n"]) for r in spark.read.parquet(table).collect())
+    first = [k for k in got if k in {("a", 1), ("a", 2)}]
+    assert len(first) == 1 and got == Counter([first[0], (None, 3), (None, 3), ("b", 4), ("b", 6), ("b", 7), ("c", 8), ("a", 9), (None, 11)])
+    # a run without new files adds nothing
+    deduplicate_folder(spark, str(folder), table, marks, kinds, "url", "at", "1 hour").awaitTermination()
+    assert spark.read.parquet(table).count() == 9

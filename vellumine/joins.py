@@ -18,6 +18,10 @@ def left(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return _joined(rows, known, key, "left").select(*rows.columns, *[c for c in known.columns if c != key])
 
 
-def without(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is not among those of ``known``. Rows without a key all stay, spread over all partitions."""
-    return _joined(rows, known.select(key).distinct(), key, "left_anti").select(*rows.columns)
+def without(rows: DataFrame, known: DataFrame, key: str, distinct: bool = True) -> DataFrame:
+    """Rows whose ``key`` is not among those of ``known``. Rows without a key all stay, spread over all partitions.
+
+    ``distinct`` False: keys of ``known``, a written table, are distinct already, and adaptive execution may split a frequent key.
+    """
+    keys = known.select(key)
+    return _joined(rows, keys.distinct() if distinct else keys, key, "left_anti").select(*rows.columns)

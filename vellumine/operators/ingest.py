@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vellumine import joins
 from vellumine.functions import biblio
+from vellumine.operators import numbering
 
 
 def capped(blocks: DataFrame, max_results: int, page: str = "page_no", pos: str = "pos") -> DataFrame:
     """The first ``max_results`` blocks over all pages, with ``position`` from 1.
 
     The cap counts attempted blocks: it comes before blocks without a title go. Only the first blocks
-    by order are taken to be numbered, so no more than the cap meets in one task. Blocks of equal page and place
+    of each task are moved, and they are numbered in ranges, so a cap of many millions meets in no one task. Blocks of equal page and place
     come in any order.
     """
-    first = blocks.orderBy(page, pos).limit(max_results)
-    return first.withColumn("position", F.row_number().over(Window.orderBy(page, pos)))
+    return numbering.leading(blocks, max_results, (page, pos))
 
 
 def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:

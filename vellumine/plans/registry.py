@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions import biblio, refs, text, urls
-from vellumine.operators import ingest, tfidf
+from vellumine.operators import ingest, keyindex, numbering, tfidf
 from vellumine.session import shared_folder, spread
 from vellumine.sources import html, pdf, readers
+from vellumine.streaming import landing
 
 #: Stopwords of the queries: frequent words of the test tables.
 STOP = ("the", "of", "and", "der", "die", "und", "de", "la", "le", "que")
@@ -439,6 +440,34 @@ def anti_join_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.unseen(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), held, "o_orderkey")
 
 
+@_query(SQL["anti_join_dedup"])
+def key_index_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same candidates held against a persisted index of keys, which two batches have filled and one of them twice."""
+    path = _scratch(spark, "index")
+    held = _table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", F.col("l_linenumber") % 2)
+    keyindex.create(spark, path, 1_000_000)
+    for batch, part in ((0, "= 0"), (1, "= 1"), (0, "= 0")):
+        keyindex.add(held.where(f"`(l_linenumber % 2)` {part}"), path, batch, "l_orderkey")
+    return keyindex.unseen(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), path, "o_orderkey")
+
+
+@_query("SELECT user_id, event_type, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS n FROM events")
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's number in the order of time, without one sorted partition."""
+    events = _table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    return numbering.numbered(events, ("ts", "event_id"), "n").select("user_id", "event_type", "n")
+
+
+@_query("SELECT DISTINCT user_id || '/' || event_type AS key FROM events")
+def stream_first_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they land, file by file, with the keys that the stream has seen as its state."""
+    folder, table = _scratch(spark, "events"), _scratch(spark, "first")
+    rows = _table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    rows.repartition(3).write.parquet(folder)
+    landing.deduplicate_folder(spark, folder, table, _scratch(spark, "marks"), "key string, ts timestamp", "key", "ts", "3650 days", 1).awaitTermination()
+    return spark.read.parquet(table).select("key")
+
+
 @_query("SELECT min(doc_id) AS doc_id, length(text) AS n_chars FROM documents GROUP BY text")
 def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("text", "doc_id")

@@ -31,3 +31,31 @@ def ingest_folder(spark: SparkSession, folder: str, table: str, checkpoint: str,
     blocks = spark.readStream.schema(schema(RESULT_BLOCKS)).parquet(folder)
     return blocks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+
+def first_in_window(rows: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+    """A stream's rows without those that repeat a ``key`` within ``delay`` of its first row's ``time``.
+
+    State is one row a key and goes once the watermark (the greatest time of earlier batches less ``delay``) has passed, so it is bounded by the
+    keys of that span and not by the stream. A row older than the watermark is too late: its key may have been forgotten, so
+    it is left out, and the query's progress counts it as dropped by the watermark. Rows without a key or a time are
+    no repeats of anything: all of them pass, and none is held in state.
+    """
+    timed = F.col(key).isNotNull() & F.col(time).isNotNull()
+    once = rows.where(timed).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return once.unionByName(rows.where(~timed))
+
+
+def deduplicate_folder(spark: SparkSession, folder: str, table: str, checkpoint: str, kinds: str, key: str, time: str, delay: str, files: int = 1000) -> StreamingQuery:
+    """Read Parquet files of columns ``kinds`` as they land and append the first row of each ``key`` to ``table``.
+
+    Unlike ``ingest_folder`` no batch reads the table: the keys of the last ``delay`` are the stream's state. ``files`` land in a batch at
+    most; the rest waits for the next one. A batch that is run again replaces its folder.
+    """
+    writer = "w" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch, table, writer, batch_id)
+
+    landed = spark.readStream.schema(kinds).option("maxFilesPerTrigger", files).parquet(folder)
+    stream = first_in_window(landed, key, time, delay).writeStream.outputMode("append").foreachBatch(write)
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
