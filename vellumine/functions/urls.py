@@ -48,9 +48,40 @@ def has_suffix(url: Column, suffix: str = ".pdf") -> Column:
     return F.endswith(F.lower(url), F.lit(suffix.lower()))
 
 
-def mentions(body: Column, word: str = "forbidden") -> Column:
-    """The body, as Latin-1, holds a word, whatever its case (P10)."""
-    return F.contains(F.lower(F.decode(body.cast("binary"), "ISO-8859-1")), F.lit(word.lower()))
+# First bytes that name an encoding, and other spellings of encodings' names.
+BYTE_ORDER_MARKS = (("EFBBBF", "utf-8"), ("FFFE", "utf-16le"), ("FEFF", "utf-16be"))
+CHARSET_NAMES = {"utf8": "utf-8", "utf16": "utf-16le", "utf-16": "utf-16le", "utf-16-le": "utf-16le", "utf-16-be": "utf-16be", "latin1": "iso-8859-1", "latin-1": "iso-8859-1", "us-ascii": "iso-8859-1", "ascii": "iso-8859-1"}
+#: Bytes at the head of a page in which its own statement of an encoding is looked for.
+META_BYTES = 1024
+
+
+def charset(body: Column, content_type: Column | None = None) -> Column:
+    """The encoding of a body, in lower case: by its byte order mark, else its content type, else its own ``<meta>``, else ISO-8859-1.
+
+    A ``<meta>`` that can be read says so in ASCII, so there UTF-16 is taken for UTF-8. UTF-16 without a mark is little-endian.
+    """
+    named = lambda text, pattern: F.nullif(F.lower(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    usual = lambda name: F.coalesce(F.create_map(*[F.lit(x) for pair in CHARSET_NAMES.items() for x in pair])[name], name)
+    body = body.cast("binary")
+    head = F.decode(F.substring(body, 1, META_BYTES), "ISO-8859-1")
+    marks = [F.when(F.startswith(F.hex(F.substring(body, 1, 3)), F.lit(mark)), F.lit(name)) for mark, name in BYTE_ORDER_MARKS]
+    header = usual(named(F.coalesce(content_type, F.lit("")), r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)")) if content_type is not None else F.lit(None).cast("string")
+    meta = usual(named(head, r"(?is)<meta\s[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)"))
+    return F.coalesce(*marks, header, F.when(F.startswith(meta, F.lit("utf-16")), F.lit("utf-8")).otherwise(meta), F.lit("iso-8859-1"))
+
+
+def mentions(body: Column, word: str = "forbidden", content_type: Column | None = None) -> Column:
+    """The body, read by its ``charset``, holds a word, whatever its case (P10).
+
+    UTF-8 that is not valid is read with replacements. UTF-16 is searched unit by unit, so units that are no text end
+    nothing; there only letters of ASCII match in both cases. Encodings other than these are read as ISO-8859-1.
+    """
+    kind, body = charset(body, content_type), body.cast("binary")
+    plain = F.decode(body, "ISO-8859-1")
+    units = lambda order: F.rlike(plain, F.lit("(?is)^(?:..)*?" + "".join(rf"\x{b:02x}" for b in word.encode(order))))
+    found = F.when(kind == "utf-16le", units("utf-16-le")).when(kind == "utf-16be", units("utf-16-be"))
+    found = found.when(kind == "utf-8", F.contains(F.lower(F.make_valid_utf8(body.cast("string"))), F.lit(word.lower())))
+    return found.otherwise(F.contains(F.lower(plain), F.lit(word.lower())))
 
 
 def starts_with(content: Column, magic: bytes = PDF_MAGIC) -> Column:
@@ -71,9 +102,10 @@ def downloaded_a(blobs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def downloaded_b(blobs: DataFrame, requests: DataFrame, folder: str = "pdfs") -> DataFrame:
-    """``requests`` (pdf_url) with ``file`` by variant B (D14): suffix ``.pdf``, no error status, no "forbidden" in the body."""
-    got = joins.left(requests, blobs.select(F.col("path").alias("pdf_url"), "status", "content"), "pdf_url")
-    fine = has_suffix(F.col("pdf_url")) & (F.col("status") < 400) & ~mentions(F.col("content"))
+    """``requests`` (pdf_url) with ``file`` by variant B (D14): suffix ``.pdf``, no error status, no "forbidden" in the body, which is read by its encoding."""
+    kind = F.col("content_type") if "content_type" in blobs.columns else F.lit(None).cast("string")
+    got = joins.left(requests, blobs.select(F.col("path").alias("pdf_url"), F.col("status").alias("_status"), F.col("content").alias("_content"), kind.alias("_kind")), "pdf_url")
+    fine = has_suffix(F.col("pdf_url")) & (F.col("_status") < 400) & ~mentions(F.col("_content"), content_type=F.col("_kind"))
     return got.withColumn("file", F.when(F.coalesce(fine, F.lit(False)), download_path(F.col("pdf_url"), folder))).select(*requests.columns, "file")
 
 

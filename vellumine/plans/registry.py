@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumine import sqlfunctions
 from vellumine.functions import biblio, refs, text, urls
-from vellumine.operators import ingest, keyindex, numbering, tfidf
+from vellumine.operators import ingest, keyindex, numbering, sketches, tfidf
 from vellumine.session import shared_folder, spread
 from vellumine.sources import html, pdf, readers
 from vellumine.streaming import landing
@@ -668,3 +669,55 @@ def download_triage_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT c_name || ' ' || c_mktsegment AS keyword, CAST(0 AS INTEGER) AS page_no, 'https://search.example.org/scholar?q=' || replace(c_name || ' ' || c_mktsegment, ' ', '+') || '&hl=id' AS url FROM customer")
 def search_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.search_url(_keywords(spark, sf_dir), "https://search.example.org/scholar")
+
+
+_MARKED = "CASE page_id % 4 WHEN 0 THEN 'utf-16le' WHEN 1 THEN 'utf-16be' ELSE 'utf-8' END"
+
+
+@_query(f"SELECT page_id, {_MARKED} AS charset, contains(lower(html), 'was') AS was, contains(lower(html), 'für') AS fuer FROM pages WHERE html IS NOT NULL")
+def body_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in bodies of four kinds: UTF-16 with a mark, UTF-16 by its content type, UTF-8 by its content type and by its own statement."""
+    html, kind = F.col("html"), F.col("page_id") % 4
+    body = F.when(kind == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE"))).when(kind == 1, F.encode(html, "UTF-16BE")).otherwise(html.cast("binary"))
+    stated = F.when(kind == 1, "text/html; charset=UTF-16BE").when(kind == 2, "text/html;charset='utf8'").otherwise("text/html")
+    bodies = _table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", body.alias("body"), stated.alias("stated"))
+    at = {"body": F.col("body"), "content_type": F.col("stated")}
+    return bodies.select("page_id", urls.charset(**at).alias("charset"), urls.mentions(word="was", **at).alias("was"), urls.mentions(word="für", **at).alias("fuer"))
+
+
+@_query(f"SELECT source, count(*) AS n_rows, count(DISTINCT term) AS n_exact, true AS near FROM (SELECT source, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY source")
+def distinct_terms_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of each source by sketches of its languages, stored in two batches and merged, beside the exact number: within 2 percent of it."""
+    path = _scratch(spark, "sketches")
+    documents = spread(_table(spark, sf_dir, "documents").select("source", "lang", "text", "doc_id"))
+    words = documents.select("source", "lang", (F.col("doc_id") % 2).alias("half"), F.explode(text.tokens(F.col("text"))).alias("term"))
+    for batch in (0, 1):
+        sketches.store(sketches.sketched(words.where(F.coalesce(F.col("half"), F.lit(0)) == batch), "term", "source", "lang"), path, batch)
+    exact = words.groupBy("source").agg(F.countDistinct("term").alias("n_exact")).withColumnRenamed("source", "_source")
+    both = sketches.total(spark, path, "source").join(exact, F.col("source").eqNullSafe(F.col("_source")))
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 0.02 * F.col("n_exact")
+    return both.select("source", "n_rows", "n_exact", near.alias("near"))
+
+
+@_query(
+    f"SELECT pdf_url, page_no, text, CAST(NULL AS VARCHAR) AS error FROM ({SQL['pdf_page_texts']}) UNION ALL "
+    "SELECT 'doc-' || doc_id || '.pdf', CAST(len(string_split(text, chr(10))) + 1 AS INTEGER), NULL, 'UnicodeDecodeError' FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL"
+)
+def pdf_page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of files by a lateral join with the parser's table function; every third file ends in a page that can't be read, and a row says so."""
+    tail = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("0CFF0C41"))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(F.concat(F.lit("%PDF-1.4\n"), F.translate("text", "\n", "\f")).cast("binary"), tail)
+    blobs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("doc-"), "doc_id", F.lit(".pdf")).alias("path"), content.alias("content"))
+    return pdf.pages_with_errors(blobs, pdf.strict_form_feed_parser)
+
+
+@_query(f"{_WITH} SELECT id, field, term, round(tf * idf, {PLACES}) AS tfidf FROM postings JOIN stats USING (term) WHERE df_t >= 3 AND term NOT IN {_STOP}")
+def tfidf_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF as one SQL query over the session's functions, with bound arguments and a given table."""
+    return sqlfunctions.tfidf(_corpus(spark, sf_dir), 3, STOP).withColumn("tfidf", _rounded("tfidf"))
+
+
+@_query(SQL["search_urls"])
+def search_urls_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search addresses by a table function of the session, joined laterally."""
+    return sqlfunctions.search(_keywords(spark, sf_dir), "https://search.example.org/scholar", 50)
