@@ -1,6 +1,6 @@
 """A persisted index of keys (J1, S5): key files by bucket, and a Bloom filter for each block of a bucket.
 
-Candidates ask the filters first, so only buckets that may hold some of them are read. All of it is
+Candidates ask the filters first (some 11 bits a key, read whole), so only buckets that may hold some of them are read. All of it is
 column expressions; filters are bitmaps that Spark's own aggregates build and merge.
 """
 
@@ -37,9 +37,8 @@ def add(keys: DataFrame, path: str, batch: int, key: str = "url") -> None:
     filters pass keys that the key files then deny.
     """
     placed = cut(_placed(keys.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key")).distinct(), path))
-    bits = placed.select("bucket", "block", F.explode(_positions()).alias("at"))
-    filters = bits.groupBy("bucket", "block").agg(F.bitmap_construct_agg("at").alias("bits"))
-    filters.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{FILTERS}/batch={batch}")
+    filters = placed.select("block", F.explode(_positions()).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    filters.write.mode("overwrite").parquet(f"{path}/{FILTERS}/batch={batch}")
     # a bucket's rows meet in few files; a key is in one bucket, and hashes fill buckets alike
     placed.select("key", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{KEYS}/batch={batch}")
 
@@ -47,7 +46,7 @@ def add(keys: DataFrame, path: str, batch: int, key: str = "url") -> None:
 def possible(keys: DataFrame, path: str) -> DataFrame:
     """(key, bucket) of those distinct ``keys`` (one column, ``key``) that the filters do not rule out."""
     spark = keys.sparkSession
-    held = _read(spark, f"{path}/{FILTERS}", "block long, bits binary, batch int, bucket int")
+    held = _read(spark, f"{path}/{FILTERS}", "block long, bits binary, batch int")
     whole = held.groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
     asked = _placed(keys, path).join(whole, "block")
     byte = lambda p: F.conv(F.hex(F.substring("bits", (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
