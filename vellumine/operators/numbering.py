@@ -42,8 +42,9 @@ def leading(df: DataFrame, most: int, order: Sequence[str], name: str = "positio
     """The first ``most`` rows by ``order``, numbered from 1; of rows that tie at the end any are taken.
 
     Each task keeps its own first ``most`` rows before anything is shuffled, so a small number moves little, and a number of
-    many millions meets in ranges, never in one task.
+    many millions meets in ranges, never in one task. Those rows are written first: finding the ranges reads them once more, and what made them
+    may be dear.
     """
     row = "_row" + "".join(df.columns)  # longer than any column's name
     own = df.sortWithinPartitions(*order).withColumn(row, _row()).where(F.col(row) < most).drop(row)
-    return numbered(own, order, name).where(F.col(name) <= most)
+    return numbered(materialized(own, "leading"), order, name).where(F.col(name) <= most)
