@@ -1,0 +1,55 @@
+"""The native block splitter against a tree of nodes, on odd markup, and what it costs on a large page."""
+
+import random
+import time
+
+import pytest
+
+from blocktree import parse_blocks
+from vellumine.sources import html
+
+OPEN = ['<div class="gs_r gs_or gs_scl">', "<div class='x gs_scl gs_or gs_r' data-x=\"a>b\">", '<h3 class="gs_rt">', "<div class=gs_a>", '<div class="gs_rs" title="class=gs_a">', '<div class="gs_or_ggsm">', "<p>", "<li>", "<B>", '<span title="it\'s > 1">', "<DIV>"]
+LINKS = ['<a href="/s?cites=1&amp;x=2">', "<a href=/cites/7>", "<a>", '<a title="<b>" href="http://a/b?c=1&d=2">', '<a href="">', "<A HREF='/u'>"]
+OTHER = ["<br>", "<br/>", '<img class="gs_a">', "<!-- <div class='gs_r gs_or gs_scl'> -->", "<script>if (a<b) '<a href=\"x\">'</script>", "<style>.gs_a > p {}</style>", "\n", " two  words ", "a &amp; b", "&lt;b&gt;", "&#233;&#xE9;", "caf&eacute;", "&nbsp;", "1 < 2", "&unknown; &", "&#128;", "x\ny"]
+CLOSE = ["</div>", "</a>", "</h3>", "</p>", "</B>", "</span>", "</nothing>"]
+
+
+def page(rng: random.Random) -> str:
+    return "".join(rng.choice(rng.choices([OPEN, LINKS, OTHER, CLOSE], [4, 3, 4, 6])[0]) for _ in range(rng.randint(1, 90)))
+
+
+def blocks(df):
+    return sorted(map(str, (r.asDict() for r in html.result_blocks(df).collect())))
+
+
+def test_equals_the_tree_on_broken_markup(rows):
+    rng = random.Random(5)
+    data = [(i, page(rng)) for i in range(400)]
+    expected = sorted(str({"page_no": n} | b) for n, text in data for b in parse_blocks(text))
+    assert len(expected) > 400
+    assert blocks(rows(data, "page_no int, html string")) == expected
+
+
+def test_empty_pages_repeated_pages_and_other_columns(rows):
+    one = '<div class="gs_r gs_or gs_scl"><h3 class="gs_rt"><a href="/u">T</a></h3></div>'
+    df = rows([(1, one, "x", "y"), (1, one, "x", "y"), (None, one, None, None), (3, None, "", ""), (4, "", "", ""), (5, "no markup", "", "")], "page_no int, html string, title string, pos string")
+    got = html.result_blocks(df)
+    assert got.columns == ["page_no", "pos", "title", "url", "info", "abstract", "cite_text", "cite_text_loose", "has_pdf_link", "pdf_url"]
+    assert sorted((r["page_no"] or 0, r["pos"], r["title"], r["url"]) for r in got.collect()) == [(0, 1, "T", "/u"), (1, 1, "T", "/u"), (1, 1, "T", "/u")]
+    assert html.result_blocks(rows([], "page_no int, html string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["blocks", "quotes", "open", "comment", "stray"])
+def test_large_pages(rows, name):
+    one = '<div class="gs_r gs_or gs_scl"><h3 class="gs_rt"><a href="/u">T</a></h3><div class="gs_a">%s</div></div>'
+    text = {
+        "blocks": one % ("word " * 200) * 3000,
+        "quotes": one % ("<i " + "x=\"'\" " * 300_000 + ">in</i>"),
+        "open": one % ("<li>" * 4000),
+        "comment": one % ("<!-- x" * 200_000),
+        "stray": one % ("< " * 300_000),
+    }[name]
+    start = time.time()
+    got = html.result_blocks(rows([(1, text)], "page_no int, html string")).select("pos", "title").collect()
+    assert len(got) == (3000 if name == "blocks" else 1) and {r["title"] for r in got} == {"T"}
+    assert time.time() - start < 60

@@ -38,17 +38,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-#: Queries over the three pluggable parts that are Python: block parser, PDF parser, stemmer.
-PLUGGED = {"result_blocks", "results_per_page", "ingest_articles", "ingest_articles_uncapped", "ingest_references", "pdf_page_texts", "pdf_page_errors", "tfidf_stemmed"}
-#: Of these, the one whose blocks are written before they are numbered: its last plan reads them and shows no Python.
-WRITTEN = {"ingest_articles"}
+#: Queries over the two pluggable parts that are Python: PDF parser, stemmer.
+PLUGGED = {"pdf_page_texts", "pdf_page_errors", "tfidf_stemmed"}
 
 
 def test_plans_stay_native(spark):
     for name, query in registry.QUERIES.items():
         text = plan(query(spark, SF))
         assert "CartesianProduct" not in text, name
-        assert (name in PLUGGED - WRITTEN) == any(x in text for x in ("Python", "InPandas", "ArrowEval", "UDTF")), name
+        assert (name in PLUGGED) == any(x in text for x in ("Python", "InPandas", "ArrowEval", "UDTF")), name
 
 
 def test_scan_is_pruned(spark):

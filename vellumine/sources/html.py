@@ -1,130 +1,195 @@
-"""Result blocks of stored HTML pages (S4, H1-H6, F44) and two plain extractors (links, title).
+"""Result blocks of stored HTML pages (S4, H1-H6, F44) and two plain extractors (links, title), all native.
 
-The block splitter is the one place where markup is parsed in Python, in Arrow batches over the
-standard library's parser. Filter and de-duplicate pages before it.
+A page stays one row until it is split into blocks, so nothing is shuffled: its markup becomes an array of tokens, a fold
+over the tags with a stack of open elements gives the elements in question as intervals, and a selector is a test of which interval lies in which.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.schemas import RESULT_BLOCKS
-
 # Class names of the page layout, and elements that have no end tag.
-BLOCK = {"gs_r", "gs_or", "gs_scl"}
+BLOCK = ("gs_r", "gs_or", "gs_scl")
 TITLE, INFO, ABSTRACT, PDF = "gs_rt", "gs_a", "gs_rs", "gs_or_ggsm"
 CITES, CITES_LOOSE = "cites=", "cites"
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-HIDDEN = {"script", "style", "template"}
-
-
-class _Node:
-    def __init__(self, tag: str, attrs: dict[str, str | None], up: _Node | None):
-        self.tag, self.attrs, self.up = tag, attrs, up
-        self.classes = set((attrs.get("class") or "").split())
-        self.children: list[_Node | str] = []
-
-    def walk(self) -> Iterator[_Node]:
-        """Elements below, in document order. A stack: pages nest as deep as they like."""
-        stack = [c for c in reversed(self.children) if isinstance(c, _Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, _Node)]
-
-    def text(self) -> str:
-        parts, stack = [], [self]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                parts.append(x)
-            elif x.tag == "br":
-                parts.append("\n")
-            elif x.tag not in HIDDEN:
-                stack += reversed(x.children)
-        lines = [" ".join(line.split()) for line in "".join(parts).split("\n")]
-        return "\n".join(line for line in lines if line)
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        node = _Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.at.children.append(_Node(tag, dict(attrs), self.at))
-
-    def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.up is not None and node.tag != tag:
-            node = node.up
-        if node.up is not None:
-            self.at = node.up
-
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-
-def _first(node: _Node, classes: str | None = None, link_in: bool = False, href: str | None = None) -> _Node | None:
-    for x in node.walk():
-        if classes is not None and classes in x.classes:
-            if not link_in:
-                return x
-            if (found := next((y for y in x.walk() if y.tag == "a"), None)) is not None:
-                return found
-        if href is not None and x.tag == "a" and href in (x.attrs.get("href") or ""):
-            return x
-    return None
-
-
-def parse_blocks(html: str | None) -> list[dict]:
-    """Blocks of a page in document order; fields that a block lacks are null."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    out = []
-    for block in (x for x in tree.root.walk() if BLOCK <= x.classes):
-        title, info, abstract = _first(block, TITLE, link_in=True), _first(block, INFO), _first(block, ABSTRACT)
-        cite, loose, pdf = _first(block, href=CITES), _first(block, href=CITES_LOOSE), _first(block, PDF, link_in=True)
-        out.append(
-            {
-                "pos": len(out) + 1,
-                "title": title.text() if title else None,
-                "url": title.attrs.get("href") if title else None,
-                "info": info.text() if info else None,
-                "abstract": abstract.text() if abstract else None,
-                "cite_text": cite.text() if cite else None,
-                "cite_text_loose": loose.text() if loose else None,
-                "has_pdf_link": pdf is not None,
-                "pdf_url": pdf.attrs.get("href") if pdf else None,
-            }
-        )
-    return out
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+HIDDEN = ("script", "style", "template")
+
+# What an element is to the selectors: bits of its role.
+IS_BLOCK, IS_TITLE, IS_INFO, IS_ABSTRACT, IS_PDF, IS_LINK, IS_CITE, IS_CITE_LOOSE = (1 << i for i in range(8))
+
+# A quote counts only behind "=". All loops are possessive, so that none takes stack or steps back.
+_IN_TAG = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_HIDDEN = "|".join(HIDDEN)
+TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<({_HIDDEN})(?=[\s/>]){_IN_TAG}.*?(?:</\1\s*+>|\z)|<[!?][^>]*+>?|</?[a-z][^\s/>]*+{_IN_TAG}|<?[^<]++|<"
+_TAG = rf"(?i)^<(?!(?:{_HIDDEN})[\s/>])/?[a-z]"
+_NO_TEXT = rf"(?is)^<(?:[!?]|(?:{_HIDDEN})[\s/>]|/?[a-z].*>\z)"
+
+# Character references: the standard library's table, and what 128 to 159 mean on the web.
+_NAMED = {k.rstrip(";") if k.endswith(";") else k: v for k, v in html5.items()}
+_SHORT = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 
 
-def result_blocks(pages: DataFrame, page_no: str = "page_no", html: str = "html") -> DataFrame:
-    """One row per block of each page, ``pos`` from 1. A null or blank page has none."""
-    names = [part.split()[0] for part in RESULT_BLOCKS.split(", ")]
+def _attribute(tag: Column, name: str) -> Column:
+    """The first attribute of that name with a value, quotes kept; empty where there is none."""
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+    others = rf"""(?:[\s/]++|=|(?!{name}[\s=])[^\s=>/]++(?:\s*+=\s*+{value})?+)*+"""
+    return F.regexp_extract(tag, rf"(?is)^<[a-z][^\s/>]*+{others}{name}\s*+=\s*+({value})", 1)
+
+
+def _unquoted(value: Column) -> Column:
+    return F.when(value.startswith('"') | value.startswith("'"), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def unescaped(text: Column, attribute: bool = False) -> Column:
+    """``text`` with its character references resolved; unknown ones stay.
+
+    Names that may stand without a semicolon do so in an ``attribute`` only ahead of something that can't go on with the name or the address.
+    """
+    behind = "(?![=A-Za-z0-9])" if attribute else ""
+    parts = F.regexp_extract_all(text, F.lit(rf"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+;|(?:{_SHORT}){behind})|[^&]++|&"), F.lit(0))
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+
+    def one(x: Column) -> Column:
+        digits = F.regexp_extract(x, "([0-9a-fA-F]+);?$", 1)
+        code = F.coalesce(F.when(F.lower(x).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"), F.lit(-1))
+        bad = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(code)), 8, "0")), "UTF-32")
+        number = F.when(code.between(128, 159), F.substring(F.lit(_WINDOWS), (code - 127).cast("int"), F.lit(1))).otherwise(point)
+        known = F.when(x == "&amp;", "&").when(x == "&lt;", "<").when(x == "&gt;", ">").when(x == "&nbsp;", "\u00a0")
+        return F.when(~x.startswith("&"), x).when(known.isNotNull(), known).when(x.startswith("&#"), number).when(x.startswith("&") & (F.length(x) > 1), F.coalesce(named[F.regexp_extract(x, "^&([^;]*)", 1)], x)).otherwise(x)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def _role(tag: Column) -> Column:
+    has = lambda name: tag["classes"].contains(f" {name} ")
+    bit = lambda on, value: F.when(on, value).otherwise(0)
+    block = has(BLOCK[0]) & has(BLOCK[1]) & has(BLOCK[2])
+    classed = bit(block, IS_BLOCK) + bit(has(TITLE), IS_TITLE) + bit(has(INFO), IS_INFO) + bit(has(ABSTRACT), IS_ABSTRACT) + bit(has(PDF), IS_PDF)
+    cites = bit(tag["href"].contains(CITES), IS_CITE) + bit(tag["href"].contains(CITES_LOOSE), IS_CITE_LOOSE)
+    return F.when(tag["classes"].isNull(), 0).otherwise(classed) + bit(tag["name"] == "a", F.lit(IS_LINK) + cites)
+
+
+def _tags(tokens: Column) -> Column:
+    """Tags of a page: place among the tokens, name, whether they end, need no end, and what they are to the selectors."""
+    placed = F.filter(F.transform(tokens, lambda x, i: F.struct(i.alias("at"), x.alias("raw"))), lambda x: x["raw"].startswith("<") & x["raw"].endswith(">") & x["raw"].rlike(_TAG))
+
+    def read(x: Column) -> Column:
+        raw, start = x["raw"], ~x["raw"].startswith("</")
+        name = F.translate(F.lower(F.regexp_extract(raw, r"^</?([^\s/>]+)", 1)), ":;,=", "____")
+        classes = F.when(start & F.lower(raw).contains("class"), F.nullif(_attribute(raw, "class"), F.lit("")))
+        href = F.when(start & (name == "a"), F.nullif(_attribute(raw, "href"), F.lit("")))
+        return F.struct(x["at"].alias("at"), name.alias("name"), (~start).alias("ends"), raw.endswith("/>").alias("closed"), classes.alias("classes"), href.alias("href"))
+
+    def plain(x: Column) -> Column:
+        return F.struct(x["at"].alias("at"), x["name"].alias("name"), x["ends"].alias("ends"), x["closed"].alias("closed"), F.concat(F.lit(" "), F.translate(_unquoted(x["classes"]), "\t\n\f\r", "    "), F.lit(" ")).alias("classes"), unescaped(_unquoted(x["href"]), attribute=True).alias("href"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
-                rows = [{"page_no": n} | b for n, h in zip(part["page_no"], part["html"], strict=True) for b in parse_blocks(h)]
-                yield pd.DataFrame(rows, columns=names)
+    def judged(x: Column) -> Column:
+        alone = x["closed"] | x["name"].isin(*VOID)
+        return F.struct(x["at"].alias("at"), x["name"].alias("name"), x["ends"].alias("ends"), alone.alias("alone"), F.when(x["ends"], 0).otherwise(_role(x)).alias("role"), x["href"].alias("href"))
 
-    return pages.select(F.col(page_no).cast("int").alias("page_no"), F.col(html).alias("html")).mapInPandas(split, RESULT_BLOCKS)
+    return F.transform(F.transform(F.transform(placed, read), plain), judged)
+
+
+def _elements(tags: Column, size: Column) -> Column:
+    """Elements with a role in document order: own number, number behind the last one inside, first and last token, role, address.
+
+    An end tag closes the nearest open element of its name and all within; without one it does nothing. The page's end closes the rest.
+    The fold copies its state at each tag, so open elements (``/name:rank,tag,role``) and closed ones (``;end tag,last=`` and what it closed) are short strings.
+    """
+    zero = F.struct(F.lit("").alias("open"), F.lit("").alias("done"), F.lit(0).alias("n"), F.lit(0).alias("k"))
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+    def step(a: Column, x: Column) -> Column:
+        told, mark = x["role"] != 0, said("/", x["name"], ":")
+        own = F.when(told, said(a["n"], ",", a["k"], ",", x["role"])).otherwise("")
+        inner = F.call_function("substring_index", a["open"], mark, F.lit(-1))
+        found = a["open"].contains(mark)
+        rest = F.left(a["open"], F.length(a["open"]) - F.length(inner) - F.length(mark))
+        return F.struct(
+            F.when(x["ends"], F.when(found, rest).otherwise(a["open"])).when(x["alone"], a["open"]).otherwise(said(a["open"], mark, own)).alias("open"),
+            F.when(x["ends"] & found & inner.contains(","), said(a["done"], ";", a["k"], ",", a["n"], "=", inner))
+            .when(~x["ends"] & x["alone"] & told, said(a["done"], ";", a["k"], ",", a["n"] + 1, "=", own))
+            .otherwise(a["done"]).alias("done"),
+            (a["n"] + told.cast("int")).alias("n"),
+            (a["k"] + 1).alias("k"),
+        )
+
+    closed = F.aggregate(tags, zero, step, lambda a: said(a["k"], ",", a["n"], "=", a["open"], a["done"]))
+
+    def spans(group: Column) -> Column:
+        stop, last = group["end"][0].cast("int"), group["end"][1].cast("int")
+
+        def span(entry: Column) -> Column:
+            tag = F.get(tags, entry[1].cast("int"))
+            return F.struct(entry[0].cast("int").alias("rank"), last.alias("last"), tag["at"].alias("at"), F.coalesce(F.get(tags, stop)["at"], size).alias("stop"), tag["role"].alias("role"), tag["href"].alias("href"))
+
+        return F.transform(F.transform(F.filter(F.split(group["inner"], "[/:]"), lambda e: e.contains(",")), lambda e: F.split(e, ",")), span)
+
+    groups = F.transform(F.transform(F.split(closed, ";"), lambda g: F.split(g, "=")), lambda g: F.struct(F.split(g[0], ",").alias("end"), g[1].alias("inner")))
+    return F.array_sort(F.flatten(F.transform(groups, spans)))
+
+
+def _texts(tokens: Column) -> Column:
+    """What each token shows: text with white space as spaces, a line break for ``br``, nothing for other markup."""
+    shown = lambda x: F.translate(unescaped(x), "\t\n\x0b\f\r\u00a0", " " * 6)
+    return F.transform(tokens, lambda x: F.when(~x.startswith("<"), shown(x)).when(x.rlike(r"(?i)^<br[\s/>]"), "\n").when(x.rlike(_NO_TEXT), "").otherwise(shown(x)))
+
+
+def result_blocks(pages: DataFrame, page_no: str = "page_no", html: str = "html") -> DataFrame:
+    """One row per block of each page, ``pos`` from 1; fields that a block lacks are null. A null or blank page has none.
+
+    Of several elements for a field the first counts. Blocks within blocks are rows of their own. Pages that are repeated give their blocks
+    again; further columns of ``pages`` are not read. Markup may be broken: elements without an end end with the one around them, comments and scripts show nothing.
+    """
+    bit = lambda e, value: e["role"].bitwiseAND(value) != 0
+    tokens = pages.select(F.col(page_no).cast("int").alias("page_no"), F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    tagged = tokens.withColumn("tags", _tags(F.col("tokens")))
+    told = tagged.select("page_no", "tokens", _elements(F.col("tags"), F.size("tokens")).alias("elements"))
+    inside = lambda column, at, size: F.slice(column, at, F.greatest(size, F.lit(0)))
+    cut = F.transform(
+        F.filter("elements", lambda e: bit(e, IS_BLOCK)),
+        lambda b: F.struct(
+            (b["at"] + 1).alias("base"),
+            inside(F.col("tokens"), b["at"] + 2, b["stop"] - b["at"] - 1).alias("tokens"),
+            inside(F.col("elements"), b["rank"] + 2, b["last"] - b["rank"] - 1).alias("elements"),
+        ),
+    )
+    blocks = told.select("page_no", F.posexplode(cut).alias("pos", "b")).select("page_no", (F.col("pos") + 1).alias("pos"), "b.*")
+    shown = blocks.select("page_no", "pos", "base", "elements", _texts(F.col("tokens")).alias("texts"))
+
+    first = lambda value: F.get(F.filter("elements", lambda e: bit(e, value)), F.lit(0))
+
+    def link_in(value: int) -> Column:
+        around = F.filter("elements", lambda e: bit(e, value))
+        within = lambda y: F.exists(around, lambda t: (t["rank"] < y["rank"]) & (y["rank"] < t["last"]))
+        return F.get(F.filter(F.filter("elements", lambda e: bit(e, IS_LINK)), within), F.lit(0))
+
+    def text(name: str) -> Column:
+        e = F.col(name)
+        joined = F.array_join(inside(F.col("texts"), e["at"] - F.col("base") + 2, F.when(e.isNotNull(), e["stop"] - e["at"] - 1)), "")
+        return F.when(e.isNotNull(), F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), joined, F.lit("\n")), " +", " "), " ?\n[ \n]*", "\n"), F.lit("\n")))
+
+    found = {"e_title": link_in(IS_TITLE), "e_info": first(IS_INFO), "e_abstract": first(IS_ABSTRACT), "e_cite": first(IS_CITE), "e_loose": first(IS_CITE_LOOSE), "e_pdf": link_in(IS_PDF)}
+    picked = shown.select("page_no", "pos", "base", "texts", *[v.alias(k) for k, v in found.items()])
+    return picked.select(
+        "page_no",
+        "pos",
+        text("e_title").alias("title"),
+        F.col("e_title.href").alias("url"),
+        text("e_info").alias("info"),
+        text("e_abstract").alias("abstract"),
+        text("e_cite").alias("cite_text"),
+        text("e_loose").alias("cite_text_loose"),
+        F.col("e_pdf").isNotNull().alias("has_pdf_link"),
+        F.col("e_pdf.href").alias("pdf_url"),
+    )
 
 
 def title(html: Column) -> Column:
