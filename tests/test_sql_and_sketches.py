@@ -1,11 +1,13 @@
 """Sketches, SQL functions, the parser's table function and encodings."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vellumine import sqlfunctions
 from vellumine.functions import urls
 from vellumine.operators import sketches
+from vellumine.plans import registry
 from vellumine.sources import pdf
 
 
@@ -93,3 +95,20 @@ def test_encodings_of_bodies(spark, body, stated, kind, found):
     df = spark.createDataFrame([(bytearray(body) if body is not None else None, stated)], "body binary, stated string")
     got = df.select(urls.charset(F.col("body"), F.col("stated")), urls.mentions(F.col("body"), content_type=F.col("stated"))).first()
     assert tuple(got) == (kind, found)
+
+
+@pytest.mark.parametrize("order", ["utf-16-le", "utf-16-be", "utf-8"])
+def test_words_match_in_every_case_of_every_letter(spark, order):
+    texts = ["x FÜR", "xx für", "Für", "fÜr", "FUR", "f\u5cfcr", "STRAßE für", "\U0001f600FÜR"]
+    df = spark.createDataFrame([(i, bytearray(t.encode(order))) for i, t in enumerate(texts)], "i int, body binary").orderBy("i")
+    found = df.select(urls.mentions(F.col("body"), "Für", F.lit(f"text/html; charset={order}")).alias("found")).collect()
+    assert [r["found"] for r in found] == ["für" in t.lower() for t in texts]
+
+
+def test_body_charsets_of_upper_case_and_blank_pages(spark, tmp_path):
+    data = [(i, "u", t) for i, t in enumerate(["<p>FÜR", "WAS FÜR", "Für", "FÜR was"] * 3 + ["", "", "", ""])] + [(None, "u", "für"), (-3, "u", "FÜR")]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((str(r["page_id"]), r["charset"], r["was"], r["fuer"]) for r in registry.QUERIES["body_charsets"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted((str(r[0]), *r[1:]) for r in duck.execute(registry.SQL["body_charsets"]).fetchall())

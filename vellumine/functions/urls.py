@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,15 +73,26 @@ def charset(body: Column, content_type: Column | None = None) -> Column:
     return F.coalesce(*marks, header, F.when(F.startswith(meta, F.lit("utf-16")), F.lit("utf-8")).otherwise(meta), F.lit("iso-8859-1"))
 
 
+@functools.cache
+def _with_lower(lower: str) -> tuple[str, ...]:
+    """All characters whose lower case is ``lower``, itself included."""
+    return (lower, *(c for c in map(chr, range(sys.maxunicode + 1)) if c != lower and c.lower() == lower))
+
+
+def _cases(lower: str, order: str) -> str:
+    """A pattern of the bytes of a character in all its cases."""
+    return "(?:" + "|".join("".join(rf"\x{b:02x}" for b in c.encode(order)) for c in _with_lower(lower)) + ")"
+
+
 def mentions(body: Column, word: str = "forbidden", content_type: Column | None = None) -> Column:
     """The body, read by its ``charset``, holds a word, whatever its case (P10).
 
     UTF-8 that is not valid is read with replacements. UTF-16 is searched unit by unit, so units that are no text end
-    nothing; there only letters of ASCII match in both cases. Encodings other than these are read as ISO-8859-1.
+    nothing. Encodings other than these are read as ISO-8859-1.
     """
     kind, body = charset(body, content_type), body.cast("binary")
     plain = F.decode(body, "ISO-8859-1")
-    units = lambda order: F.rlike(plain, F.lit("(?is)^(?:..)*?" + "".join(rf"\x{b:02x}" for b in word.encode(order))))
+    units = lambda order: F.rlike(plain, F.lit("(?s)^(?:..)*?" + "".join(_cases(c, order) for c in word.lower())))
     found = F.when(kind == "utf-16le", units("utf-16-le")).when(kind == "utf-16be", units("utf-16-be"))
     found = found.when(kind == "utf-8", F.contains(F.lower(F.make_valid_utf8(body.cast("string"))), F.lit(word.lower())))
     return found.otherwise(F.contains(F.lower(plain), F.lit(word.lower())))

@@ -678,7 +678,7 @@ _MARKED = "CASE page_id % 4 WHEN 0 THEN 'utf-16le' WHEN 1 THEN 'utf-16be' ELSE '
 def body_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in bodies of four kinds: UTF-16 with a mark, UTF-16 by its content type, UTF-8 by its content type and by its own statement."""
     html, kind = F.col("html"), F.col("page_id") % 4
-    body = F.when(kind == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE"))).when(kind == 1, F.encode(html, "UTF-16BE")).otherwise(html.cast("binary"))
+    body = F.when(kind == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE"))).when(kind == 1, F.encode(html, "UTF-16BE")).when(kind == 2, html.cast("binary")).otherwise(F.concat(F.lit('<meta charset="utf-8">'), html).cast("binary"))
     stated = F.when(kind == 1, "text/html; charset=UTF-16BE").when(kind == 2, "text/html;charset='utf8'").otherwise("text/html")
     bodies = _table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", body.alias("body"), stated.alias("stated"))
     at = {"body": F.col("body"), "content_type": F.col("stated")}
