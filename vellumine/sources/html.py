@@ -2,6 +2,7 @@
 
 A page stays one row until it is split into blocks, so nothing is shuffled: its markup becomes an array of tokens, a fold
 over the tags with a stack of open elements gives the elements in question as intervals, and a selector is a test of which interval lies in which.
+Pages of plain markup, in which every element ends in its place, are cut by patterns instead, which know elements within elements to a depth and cost a fraction.
 """
 
 from __future__ import annotations
@@ -35,6 +36,48 @@ _SHORT = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k
 _WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 
 
+# Plain markup: lower-case names, attributes in double quotes, every element but ``br`` ended in its place, at most DEPTH within each other.
+DEPTH = 12
+_ATTRIBUTE = r'\s++%s[a-z][a-z0-9_-]*+(?:="[^"<>]*+")?+(?=[\s>])'
+_ATTRIBUTES = rf"(?:{_ATTRIBUTE % ''})*+\s*+"
+_UNSEEN = rf"<!--.*?-->|<(?<h%s>{_HIDDEN}){_ATTRIBUTES}>.*?(?i:</\k<h%s>\s*+>)"
+_BREAK = r"<br(?:\s*+/)?+>"
+_NAME = rf"(?!(?:{'|'.join((*VOID, *HIDDEN))})[\s>])[a-z][a-z0-9]*+"
+
+
+def _inside(text: str, level: int = 1) -> str:
+    """Anything but an end tag; elements with all that is in them."""
+    deeper = rf"|<(?<n{level}>{_NAME}){_ATTRIBUTES}>{_inside(text, level + 1)}</\k<n{level}>>" if level <= DEPTH else ""
+    return f"(?:{text.replace('%s', str(level))}|{_BREAK}{deeper})*+"
+
+
+def _rest(level: int = 1) -> str:
+    """The same where markup is known to be plain, with the end tag behind it."""
+    deeper = f"|<[a-z][^>]*+>{_rest(level + 1)}" if level <= DEPTH else ""
+    return f"(?:[^<]++|{_BREAK}{deeper})*+</[^>]++>"
+
+
+def _with(name: str, value: str) -> str:
+    """Attributes of which the first of that name with a value has one that meets ``value``."""
+    return rf"""(?:{_ATTRIBUTE % f'(?!{name}=)'})*+\s++{name}="{value}[^>]*+"""
+
+
+def _classed(*names: str) -> str:
+    """An element of plain markup that has all these class names."""
+    wanted = "".join(rf'(?=(?:[^"]*[ \t\n\f\r])??{n}[ \t\n\f\r"])' for n in names)
+    return rf"(?s)<[a-z][a-z0-9]*+{_with('class', wanted)}>{_rest()}"
+
+
+def _linked(href: str | None = None) -> str:
+    """A link of plain markup, one with ``href`` in its address if that is given."""
+    return rf"(?s)<a(?=[\s>]){'[^>]*+' if href is None else _with('href', f'(?=[^"]*{href})')}>{_rest()}"
+
+
+_SEEN = r"[^<\x00\x01]++"
+_PLAIN = rf"(?s)^(?:<!(?:doctype|DOCTYPE)[^<>]*+>)?+{_inside(f'{_SEEN}|{_UNSEEN}')}\z"
+#: References that may stand for a part of what is searched for in addresses, or for the mark of a line break.
+_REFERENCES = r'(?i)href="[^"]*&(?!amp;)|&#x?0*1(?![0-9a-f])'
+
 def _attribute(tag: Column, name: str) -> Column:
     """The first attribute of that name with a value, quotes kept; empty where there is none."""
     value = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
@@ -142,6 +185,39 @@ def _texts(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.when(~x.startswith("<"), shown(x)).when(x.rlike(r"(?i)^<br[\s/>]"), "\n").when(x.rlike(_NO_TEXT), "").otherwise(shown(x)))
 
 
+def _marked(element: Column) -> Column:
+    """An element of plain markup with marks for tags, which part character references as they part tokens, and for line breaks."""
+    broken = F.when(element.contains("<br"), F.regexp_replace(element, F.lit(_BREAK), F.lit("\x01"))).otherwise(element)
+    return F.regexp_replace(broken, F.lit("<[^>]*+>"), F.lit("\x00"))
+
+
+def _shown(marked: Column) -> Column:
+    resolved = F.when(~marked.contains("&"), marked).when(marked.rlike("&(?!amp;)"), unescaped(marked)).otherwise(F.replace(marked, F.lit("&amp;"), F.lit("&")))
+    return F.translate(resolved, "\t\n\x0b\f\r \x01\x00", " " * 6 + "\n")
+
+
+def _stripped(shown: Column) -> Column:
+    return F.when(shown.contains("\n") | shown.contains("  "), _lined(shown)).otherwise(F.trim(shown))
+
+
+def _several(block: Column, name: str) -> Column:
+    return F.substring_index(block, name, 2) != block
+
+
+def _lined(text: Column) -> Column:
+    """Text without spaces at the ends of lines, without empty lines and with single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), text, F.lit("\n")), " +", " "), " ?\n[ \n]*", "\n"), F.lit("\n"))
+
+
+def _behind_tag(element: Column) -> Column:
+    return F.substr(element, F.locate(">", element) + 1)
+
+
+def _address(link: Column) -> Column:
+    value = F.regexp_extract(link, rf"""^<a(?:{_ATTRIBUTE % '(?!href=)'})*+\s++href=("[^"<>]*+")""", 1)
+    return F.replace(_unquoted(F.nullif(value, F.lit(""))), F.lit("&amp;"), F.lit("&"))
+
+
 def result_blocks(pages: DataFrame, page_no: str = "page_no", html: str = "html") -> DataFrame:
     """One row per block of each page, ``pos`` from 1; fields that a block lacks are null. A null or blank page has none.
 
@@ -149,20 +225,32 @@ def result_blocks(pages: DataFrame, page_no: str = "page_no", html: str = "html"
     again; further columns of ``pages`` are not read. Markup may be broken: elements without an end end with the one around them, comments and scripts show nothing.
     """
     bit = lambda e, value: e["role"].bitwiseAND(value) != 0
-    tokens = pages.select(F.col(page_no).cast("int").alias("page_no"), F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    source = pages.select(F.col(page_no).cast("int").alias("page_no"), F.col(html).alias("html"))
+    references = F.when(F.replace("html", F.lit("&amp;"), F.lit("")).contains("&"), F.col("html").rlike(_REFERENCES)).otherwise(False)
+    plain = F.col("html").rlike(_PLAIN) & ~references
+    unseen = F.when(F.col("html").rlike(rf"<(?:!--|{_HIDDEN})"), F.regexp_replace("html", F.lit(f"(?s){_UNSEEN}".replace("%s", "")), F.lit("\x00"))).otherwise(F.col("html"))
+    found = source.withColumn("whole", F.when(plain, F.regexp_extract_all(unseen, F.lit(_classed(*BLOCK)), F.lit(0))))
+    # the first title or PDF may not be the one with the link, or there is a block inside
+    general = F.coalesce(F.exists("whole", lambda b: _several(b, TITLE) | _several(b, PDF) | _several(b, BLOCK[-1])), F.lit(True))
+    tokens = found.select("page_no", "whole", F.when(general, F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("tokens"))
     tagged = tokens.withColumn("tags", _tags(F.col("tokens")))
-    told = tagged.select("page_no", "tokens", _elements(F.col("tags"), F.size("tokens")).alias("elements"))
+    told = tagged.select("page_no", "whole", "tokens", _elements(F.col("tags"), F.size("tokens")).alias("elements"))
     inside = lambda column, at, size: F.slice(column, at, F.greatest(size, F.lit(0)))
     cut = F.transform(
         F.filter("elements", lambda e: bit(e, IS_BLOCK)),
         lambda b: F.struct(
+            F.lit(None).cast("string").alias("whole"),
             (b["at"] + 1).alias("base"),
             inside(F.col("tokens"), b["at"] + 2, b["stop"] - b["at"] - 1).alias("tokens"),
             inside(F.col("elements"), b["rank"] + 2, b["last"] - b["rank"] - 1).alias("elements"),
         ),
     )
+    kind = told.select(cut.alias("c")).schema["c"].dataType.elementType
+    none = lambda name: F.lit(None).cast(kind[name].dataType).alias(name)
+    whole = F.transform("whole", lambda b: F.struct(_behind_tag(b).alias("whole"), none("base"), none("tokens"), none("elements")))
+    cut = F.when(F.col("tokens").isNull(), whole).otherwise(cut)
     blocks = told.select("page_no", F.posexplode(cut).alias("pos", "b")).select("page_no", (F.col("pos") + 1).alias("pos"), "b.*")
-    shown = blocks.select("page_no", "pos", "base", "elements", _texts(F.col("tokens")).alias("texts"))
+    shown = blocks.select("page_no", "pos", "whole", "base", "elements", _texts(F.col("tokens")).alias("texts"))
 
     first = lambda value: F.get(F.filter("elements", lambda e: bit(e, value)), F.lit(0))
 
@@ -174,21 +262,33 @@ def result_blocks(pages: DataFrame, page_no: str = "page_no", html: str = "html"
     def text(name: str) -> Column:
         e = F.col(name)
         joined = F.array_join(inside(F.col("texts"), e["at"] - F.col("base") + 2, F.when(e.isNotNull(), e["stop"] - e["at"] - 1)), "")
-        return F.when(e.isNotNull(), F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), joined, F.lit("\n")), " +", " "), " ?\n[ \n]*", "\n"), F.lit("\n")))
+        return F.when(e.isNotNull(), _lined(joined))
+
+    def part(around: Column, pattern: str, name: str) -> Column:
+        return F.when(around.contains(name), F.nullif(F.regexp_extract(around, pattern, 0), F.lit("")))
 
+    block = F.col("whole")
     found = {"e_title": link_in(IS_TITLE), "e_info": first(IS_INFO), "e_abstract": first(IS_ABSTRACT), "e_cite": first(IS_CITE), "e_loose": first(IS_CITE_LOOSE), "e_pdf": link_in(IS_PDF)}
-    picked = shown.select("page_no", "pos", "base", "texts", *[v.alias(k) for k, v in found.items()])
+    parts = {
+        "p_title": part(_behind_tag(part(block, _classed(TITLE), TITLE)), _linked(), "<a"), "p_info": part(block, _classed(INFO), INFO), "p_abstract": part(block, _classed(ABSTRACT), ABSTRACT),
+        "p_cite": part(block, _linked(CITES), CITES), "p_loose": part(block, _linked(CITES_LOOSE), CITES_LOOSE), "p_pdf": part(_behind_tag(part(block, _classed(PDF), PDF)), _linked(), "<a"),
+    }
+    picked = shown.select("page_no", "pos", "whole", "base", "texts", *[v.alias(k) for k, v in (found | parts).items()], _address(parts["p_title"]).alias("a_title"), _address(parts["p_pdf"]).alias("a_pdf"))
+    for of in (_marked, _shown, _stripped):  # one after the other, as each reads its text more than once
+        picked = picked.withColumns({p: of(F.col(p)) for p in parts})
+    either = lambda plain, general, name: F.when(block.isNotNull(), F.col(plain)).otherwise(general).alias(name)
+    both = lambda end, name: either(f"p_{end}", text(f"e_{end}"), name)
     return picked.select(
         "page_no",
         "pos",
-        text("e_title").alias("title"),
-        F.col("e_title.href").alias("url"),
-        text("e_info").alias("info"),
-        text("e_abstract").alias("abstract"),
-        text("e_cite").alias("cite_text"),
-        text("e_loose").alias("cite_text_loose"),
-        F.col("e_pdf").isNotNull().alias("has_pdf_link"),
-        F.col("e_pdf.href").alias("pdf_url"),
+        both("title", "title"),
+        either("a_title", F.col("e_title.href"), "url"),
+        both("info", "info"),
+        both("abstract", "abstract"),
+        both("cite", "cite_text"),
+        both("loose", "cite_text_loose"),
+        F.coalesce(F.col("p_pdf"), F.col("e_pdf.at").cast("string")).isNotNull().alias("has_pdf_link"),
+        either("a_pdf", F.col("e_pdf.href"), "pdf_url"),
     )
 
 
