@@ -27,9 +27,10 @@ def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     other columns.
     """
     rest = [c for c in df.columns if c not in (*order, key)]
-    keyed = df.where(F.col(key).isNotNull())
-    best = keyed.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order, *[F.col(c).cast("string") for c in rest])).alias("_r"))
-    return best.select("_r.*").unionByName(df.where(F.col(key).isNull()))
+    # rows without a key are groups by themselves, so that ``df``, which may be dear, is made once
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    best = df.groupBy(key, own.alias("_own")).agg(F.min_by(F.struct(*df.columns), F.struct(*order, *[F.col(c).cast("string") for c in rest])).alias("_r"))
+    return best.select("_r.*")
 
 
 def unseen(candidates: DataFrame, existing: DataFrame, key: str = "url") -> DataFrame:
@@ -38,7 +39,8 @@ def unseen(candidates: DataFrame, existing: DataFrame, key: str = "url") -> Data
 
 
 def with_title(blocks: DataFrame) -> DataFrame:
-    return blocks.where(F.col("title").isNotNull())
+    """Blocks that have a title. Filters behind a generator aren't pushed into what makes the columns, which would make them twice."""
+    return blocks.select(F.inline(F.array(F.struct(*blocks.columns)))).where(F.col("title").isNotNull())
 
 
 def typed_articles(df: DataFrame, now: Column) -> DataFrame:
