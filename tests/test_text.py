@@ -2,8 +2,9 @@ import math
 
 from pyspark.sql import functions as F
 
+from vellumine import sqlfunctions
 from vellumine.functions import text as X
-from vellumine.functions.stem import Confix, identity, stemmed_terms
+from vellumine.functions.stem import Confix, identity, stemmed_lists, stemmed_terms
 from vellumine.operators import tfidf
 
 
@@ -86,3 +87,20 @@ def test_sums_are_one(rows):
     df = rows([(i, "a b c " * (i + 1), "x y" if i % 2 else None) for i in range(20)], "id long, title string, abstract string")
     for r in tfidf.postings(df).groupBy("id", "field").agg(F.sum("tf").alias("s")).collect():
         assert abs(r["s"] - 1) < 1e-9
+
+
+def test_stems_are_made_in_the_row_without_a_shuffle(rows):
+    lists = rows([(1, ["walked", "in", "walked"], True), (2, ["walked"], False), (3, [], True), (4, ["gone", "x"], True)], "id int, tokens array<string>, stem boolean")
+    df = stemmed_lists(lists.coalesce(1), lambda w: None if w == "gone" else w.removesuffix("ed"))
+    got = {r["id"]: (r["tokens"], r["stem"]) for r in df.collect()}
+    assert got == {1: (["walk", "in", "walk"], True), 2: (["walked"], False), 3: ([], True), 4: (["gone", "x"], True)}
+
+
+def test_postings_shuffle_nothing(spark, rows):
+    corpus = rows([(1, "a a b", None), (2, "walked the b", "c"), (3, None, "")], "id long, title string, abstract string").localCheckpoint()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(tfidf.postings(corpus, ("the",), lambda w: w.removesuffix("ed")))
+    # by SQL: one count of documents by term and one join by term
+    assert plan(sqlfunctions.tfidf(corpus)).count("hashpartitioning(id") == 0
+    found = {(r["id"], r["field"], r["term"], r["freq"]) for r in tfidf.postings(corpus, ("the",), lambda w: w.removesuffix("ed")).collect()}
+    assert found == {(1, "title", "a", 2), (1, "title", "b", 1), (2, "title", "walk", 1), (2, "title", "b", 1), (2, "abstract", "c", 1)}

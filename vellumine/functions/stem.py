@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,3 +92,37 @@ def stemmed_terms(terms: DataFrame, stemmer: Stemmer, term: str = "term") -> Dat
             yield batch.map(stemmer, na_action="ignore")
 
     return cut(terms.select(term).distinct()).withColumn("stem", F.pandas_udf(apply, "string")(F.col(term)))
+
+
+#: Stems that a task remembers; beyond, it begins anew, and terms are stemmed again.
+REMEMBERED = 200_000
+
+
+def stemmed_lists(lists: DataFrame, stemmer: Stemmer) -> DataFrame:
+    """``lists`` (columns ``tokens`` and ``stem`` among them) with the tokens of rows marked by ``stem`` replaced by their stems.
+
+    Nothing is shuffled: the stemmer runs in the row's task, once for each distinct term that the task remembers. A term without a stem stays.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+
+        def stem(word: str) -> str:
+            if word not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = stemmer(word)
+                known[word] = word if found is None else found
+            return known[word]
+
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat, lengths = tokens.flatten(), np.asarray(pc.list_value_length(tokens))
+            marked = np.repeat(np.asarray(batch.column("stem").to_numpy(zero_copy_only=False), bool), lengths)
+            coded = flat.filter(pa.array(marked)).dictionary_encode()
+            stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], flat.type).take(coded.indices)
+            words = pc.replace_with_mask(flat, pa.array(marked), stems)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            yield batch.set_column(batch.schema.get_field_index("tokens"), "tokens", pa.ListArray.from_arrays(ends, words))
+
+    return lists.mapInArrow(apply, lists.schema)

@@ -45,8 +45,9 @@ def preprocess(text: Column, stopwords: Sequence[str]) -> tuple[Column, Column]:
 
     The gate sees the text before stopwords go.
     """
-    raw = tokens(text)
-    return without(raw, stopwords), gate(raw, stopwords)
+    # one filter for both, by a set; no token is empty
+    kept = F.filter(F.split(clean(text), " "), lambda t: ~t.isin([*stopwords, ""]))
+    return F.coalesce(kept, F.array().cast("array<string>")), gate(tokens(text), stopwords)
 
 
 def first_line(text: Column) -> Column:

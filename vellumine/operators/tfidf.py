@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as X
-from vellumine.functions.stem import Stemmer, stemmed_terms
+from vellumine.functions.stem import Stemmer, stemmed_lists
 from vellumine.session import cut
 
 
@@ -65,11 +65,10 @@ def postings(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: Stemmer
     """(id, field, term, freq, tf): term frequencies over token counts.
 
     A document's tokens all stand in one row, so counting them needs no shuffle. With a
-    ``stemmer``, tokens of texts in the language are replaced by their stems first: the distinct
-    terms are stemmed and joined back.
+    ``stemmer``, tokens of texts in the language are replaced by their stems first, in the row too.
     """
     lists = _lists(corpus, stopwords, stemmer)
-    runs = lists.select("id", "field", F.array_sort("tokens").alias("_sorted")).withColumn("_starts", _runs("_sorted"))
+    runs = lists.select("id", "field", F.sort_array("tokens").alias("_sorted")).withColumn("_starts", _runs("_sorted"))
     ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(1))), F.array(F.size("_sorted") + 1))
     zipped = F.arrays_zip(F.col("_starts").alias("s"), ends.alias("e"))
     terms = F.transform(zipped, lambda p: F.struct(F.element_at("_sorted", p["s"]).alias("term"), (p["e"] - p["s"]).cast("long").alias("freq")))
@@ -86,16 +85,7 @@ def document_terms(corpus: DataFrame, stopwords: Sequence[str] = (), stemmer: St
 
 def _lists(corpus: DataFrame, stopwords: Sequence[str], stemmer: Stemmer | None) -> DataFrame:
     lists = token_lists(corpus, stopwords)
-    return lists if stemmer is None else _stemmed(lists, stemmer)
-
-
-def _stemmed(lists: DataFrame, stemmer: Stemmer) -> DataFrame:
-    words = lists.select("id", "field", "stem", F.posexplode("tokens").alias("pos", "term"))
-    stems = stemmed_terms(words.where("stem"), stemmer)
-    joined = words.join(stems.withColumnRenamed("stem", "_stem"), "term", "left")
-    word = F.when(F.col("stem"), F.coalesce("_stem", "term")).otherwise(F.col("term"))
-    back = joined.groupBy("id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))), lambda p: p["w"]).alias("tokens"))
-    return back
+    return lists if stemmer is None else stemmed_lists(lists, stemmer)
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
