@@ -104,7 +104,7 @@ def stemmed_lists(lists: DataFrame, stemmer: Stemmer) -> DataFrame:
     Nothing is shuffled: the stemmer runs in the row's task, once for each distinct term that the task remembers. A term without a stem stays.
     """
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known: dict[str, str] = {}
 
         def stem(word: str) -> str:
@@ -115,14 +115,13 @@ def stemmed_lists(lists: DataFrame, stemmer: Stemmer) -> DataFrame:
                 known[word] = word if found is None else found
             return known[word]
 
-        for batch in batches:
-            tokens = batch.column("tokens")
+        for tokens, gate in batches:
             flat, lengths = tokens.flatten(), np.asarray(pc.list_value_length(tokens))
-            marked = np.repeat(np.asarray(batch.column("stem").to_numpy(zero_copy_only=False), bool), lengths)
+            marked = np.repeat(np.asarray(gate.to_numpy(zero_copy_only=False), bool), lengths)
             coded = flat.filter(pa.array(marked)).dictionary_encode()
             stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], flat.type).take(coded.indices)
             words = pc.replace_with_mask(flat, pa.array(marked), stems)
             ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            yield batch.set_column(batch.schema.get_field_index("tokens"), "tokens", pa.ListArray.from_arrays(ends, words))
+            yield pa.ListArray.from_arrays(ends, words)
 
-    return lists.mapInArrow(apply, lists.schema)
+    return lists.withColumn("tokens", F.arrow_udf(apply, "array<string>")("tokens", "stem"))
