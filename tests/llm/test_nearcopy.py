@@ -130,3 +130,23 @@ def test_components(rows):
     got = {r["id"]: r["component"] for r in components(rows(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(rows([], "a long, b long")).count() == 0
+
+
+def test_components_in_few_tasks(spark, rows):
+    """Few edges in many partitions: the driver is asked for few tasks, and no star is made twice."""
+    edges = [(i, i // 7) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(5)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("few-tasks", "components")
+    try:
+        got = {r["id"]: r["component"] for r in components(rows(edges, "a long, b long")).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, value in held.items():
+            spark.conf.set(k, value)
+    assert got == {i: 0 for i in range(400)} | {i: 1000 for i in range(1000, 1006)}
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert tasks < 3500, tasks  # 5,196 where stars were made again and read in all partitions, 2,720 now

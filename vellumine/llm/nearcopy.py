@@ -42,6 +42,7 @@ RARE_SAMPLE = 64
 BROADCAST_IDS = 1 << 20
 
 _SCAN_BYTES = 1 << 19
+_HAS_SET = "n_shingles > 0 AND doc_id IS NOT NULL"
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,10 +194,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, perm
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(signatures(documents, size, permutations, rows))
-    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    full = signed.where(_HAS_SET)
     # Aggregates are written before they are joined: a join of two plain shuffles is one that adaptive execution splits where a key is hot.
     first = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    member = full.select("doc_id", "d1", "d2").distinct().join(first, ["d1", "d2"]).select("doc_id", "d1", "d2", "rep")
     bands = full.join(first, ["d1", "d2"]).where("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
 
     buckets = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("rep") % 1_000_000_007).alias("who")).where("n > 1")
@@ -206,7 +206,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, perm
     ids = cut(held.select(F.col("rep").alias("doc_id")).distinct())
     count = ids.count()
     if not count:
-        return _result(signed, member, [])
+        return _result(signed, first, [])
     sets = cut(_sets(documents.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi"), size))
 
     stars = components(_star_links(held, sets, percent))
@@ -215,7 +215,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, perm
     large = blocked.where("k1 > 1")
     if not large.isEmpty():
         found = found.union(_by_prefix(large, sets, percent))
-    return _result(signed, member, [stars, components(found)])
+    return _result(signed, first, [stars, components(found)])
 
 
 def _star_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -306,13 +306,18 @@ def _compared(blocked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shipped.groupBy("band", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
 
 
-def _result(signed: DataFrame, member: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """Compose doc -> representative -> component of each of ``found`` in turn."""
-    label = member.select("doc_id", "d1", "d2", "rep")
+def _result(signed: DataFrame, first: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """Compose set -> representative -> component of each of ``found`` in turn; documents meet their set last.
+
+    What is composed has one row a set and is written, so that documents are shuffled once and few stages run at a time: the driver's need
+    grows with those.
+    """
+    label = first
     for step in found:
         label = _labelled(label, step).withColumn("rep", F.col("component")).drop("component")
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(label, ["doc_id", "d1", "d2"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
+    label = cut(label.select("d1", "d2", "rep")) if found else label
+    with_set = signed.where(_HAS_SET).join(label, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+    out = with_set.union(signed.where(~F.expr(_HAS_SET)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
